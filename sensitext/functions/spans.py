@@ -107,6 +107,14 @@ def _without_overlaps(raw: Column) -> Column:
     )
 
 
+def resolve_overlaps(matches: Column) -> Column:
+    """Applies the overlap rule to ordered matches, for example those of ``scan_text(overlaps=True)``."""
+    return let(
+        matches,
+        lambda ms: fold_emit(ms, F.lit(0), lambda end, m: (m["end"], m["start"] >= end, m), MATCH),
+    )
+
+
 def scan_text(text: Column, rules: Rules = Rules(), overlaps: bool = False) -> Column:
     """Matches of all active rules in ``text``, in order of position.
 
@@ -201,7 +209,7 @@ def placeholder(type_: Column, ordinal: Column) -> Column:
     return F.concat(F.lit("["), type_, F.lit("_"), ordinal.cast("string"), F.lit("]"))
 
 
-def _pieces(text: Column, spans: Column, put: str) -> Column:
+def replace_spans(text: Column, spans: Column, put: str) -> Column:
     """Text with each span replaced by its ``put`` field."""
 
     def build(args: Column) -> Column:
@@ -248,7 +256,7 @@ def _pieces(text: Column, spans: Column, put: str) -> Column:
 
 def redact_text(text: Column, tokenized: Column) -> Column:
     """``text`` with every match replaced by its placeholder."""
-    return _pieces(text, tokenized, "token")
+    return replace_spans(text, tokenized, "token")
 
 
 def token_entries(tokenized: Column) -> Column:
@@ -276,11 +284,21 @@ def restore_text(text: Column, token_map: Column) -> Column:
                 F.coalesce(F.element_at(tokens, p["value"]), p["value"]).alias("value"),
             ),
         )
-        return _pieces(text, found, "value")
+        return replace_spans(text, found, "value")
 
     return F.when(F.size(token_map) > 0, let(token_map, with_map)).otherwise(text)
 
 
+def redaction(text: Column, tokenized: Column) -> dict[str, Column]:
+    """The columns every redacting operator adds."""
+    return {
+        "redacted": redact_text(text, tokenized),
+        "items": F.size(tokenized),
+        "types": match_types(tokenized),
+        "ambiguous": has_placeholder(text),
+    }
+
+
 def has_placeholder(text: Column) -> Column:
     """True where the input already holds placeholder-like text, which cannot round-trip."""
     return F.coalesce(text.contains("[") & text.rlike(ANY_PLACEHOLDER), F.lit(False))

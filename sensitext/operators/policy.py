@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import let
 from ..functions.rules import Rules
-from .detect import scan
-from .tokens import redact
+from ..functions.spans import number_matches, redaction, resolve_overlaps, scan_text
+from .base import with_once
 
 REDACT, BLOCK = "redact", "block"
 MESSAGE = "Request blocked by DLP policy: contains "
-RESULT = "struct<blocked:boolean,blocked_types:array<string>,message:string>"
 
 
 class Policy:
@@ -36,7 +35,6 @@ class Policy:
 
 def policy_result(matches: Column, policy: Policy) -> Column:
     """``struct<blocked,blocked_types,message>``; types in upper case, in order of first match."""
-    passed = F.lit(None).cast(RESULT)
     passed = F.struct(
         F.lit(False).alias("blocked"), F.array().cast("array<string>").alias("blocked_types"),
         F.lit(None).cast("string").alias("message"),
@@ -93,29 +91,17 @@ def classify(
 ) -> DataFrame:
     """All rows with blocked, blocked_types, message, redacted, items and types, in one pass over the text.
 
-    ``before_overlap`` also sees matches that lost against a longer one.
+    ``before_overlap`` lets the policy also see matches that lost against a longer one.
     """
-    seen = scan(df, text, rules, "_all", overlaps=True) if before_overlap else df
-    rows = redact(seen, text, rules, with_map=False) if before_overlap else None
-    if rows is not None:
-        return evaluate_policy(rows, policy, "_all", "_p").select("*", "_p.*").drop("_p", "_all")
-    return _classify_once(df, policy, text, rules)
-
-
-def _classify_once(df: DataFrame, policy: Policy, text: str, rules: Rules) -> DataFrame:
-    from ..functions.spans import has_placeholder, match_types, number_matches, redact_text, scan_text
-    from .base import with_once
-
-    numbered = with_once(df, _t=number_matches(scan_text(F.col(text), rules)))
-    rows = with_once(numbered, _p=policy_result(F.col("_t"), policy))
-    return rows.withColumns(
-        {
-            "redacted": redact_text(F.col(text), F.col("_t")),
-            "items": F.size("_t"),
-            "types": match_types(F.col("_t")),
-            "ambiguous": has_placeholder(F.col(text)),
-        }
-    ).select("*", "_p.*").drop("_p", "_t")
+    source = F.col(text)
+    if before_overlap:
+        seen = with_once(df, _all=scan_text(source, rules, overlaps=True))
+        numbered = with_once(seen, _t=number_matches(resolve_overlaps(F.col("_all"))))
+    else:
+        numbered = with_once(df, _t=number_matches(scan_text(source, rules)))
+    judged = F.col("_all" if before_overlap else "_t")
+    rows = with_once(numbered, _p=policy_result(judged, policy))
+    return rows.withColumns(redaction(source, F.col("_t"))).select("*", "_p.*").drop("_p", "_t", "_all")
 
 
 def policy_summary(spark: SparkSession, policy: Policy) -> DataFrame:

@@ -13,15 +13,13 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import Rules
 from ..functions.spans import (
-    ANY_PLACEHOLDER,
-    MATCH,
-    _pieces,
     has_placeholder,
     match_types,
     number_matches,
     placeholder,
     placeholders_in,
-    redact_text,
+    redaction,
+    replace_spans,
     restore_text,
     scan_text,
     token_entries,
@@ -35,7 +33,6 @@ def redact(
     df: DataFrame,
     text: str = "text",
     rules: Rules = Rules(),
-    out: str = "redacted",
     with_map: bool = False,
 ) -> DataFrame:
     """Adds the redacted text, the number of replacements and the types; scope is the row.
@@ -44,12 +41,7 @@ def redact(
     ``with_map`` adds ``tokens``, a map from placeholder to raw value.
     """
     scanned = with_once(df, _t=number_matches(scan_text(F.col(text), rules)))
-    columns = {
-        out: redact_text(F.col(text), F.col("_t")),
-        "items": F.size("_t"),
-        "types": match_types(F.col("_t")),
-        "ambiguous": has_placeholder(F.col(text)),
-    }
+    columns = redaction(F.col(text), F.col("_t"))
     if with_map:
         columns["tokens"] = F.map_from_entries(token_entries(F.col("_t")))
     return scanned.withColumns(columns).drop("_t")
@@ -117,7 +109,7 @@ def _replaced(df: DataFrame, keys: list[str], spans: DataFrame, text: str, out:
     joined = df.alias("d").join(per_row.alias("p"), _same("d", "p", keys), "left").select("d.*", "p._spans")
     no_spans = F.array().cast("array<struct<start:int,end:int,type:string,put:string>>")
     joined = joined.withColumn("_spans", F.coalesce("_spans", no_spans))
-    return joined.withColumn(out, _pieces(F.col(text), F.col("_spans"), "put"))
+    return joined.withColumn(out, replace_spans(F.col(text), F.col("_spans"), "put"))
 
 
 def redact_table(
