@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,3 +27,9 @@ def explode_rows(df: DataFrame, keep: list[str], array: str, marker: str) -> Dat
     """
     out = df.select(*keep, F.explode_outer(array).alias("_item"))
     return out.filter(F.col(f"_item.{marker}").isNotNull()).select(*keep, "_item.*")
+
+
+def literal_rows(spark: SparkSession, rows: Iterable[tuple], names: list[str]) -> DataFrame:
+    """A small constant table (catalog, configuration) as literals in the plan: no Python worker reads it."""
+    made = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*made)))

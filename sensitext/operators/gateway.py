@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import empty_array
 from ..functions.rules import Rules
 from ..functions.spans import match_types, number_matches, placeholders_in, scan_text
-from ..settings import DEFAULTS, Settings
+from ..settings import DEFAULTS, Settings, cut_lineage
 from .access import authenticate, rate_limit
 from .base import with_once
 from .policy import Policy, policy_result
@@ -68,12 +68,17 @@ def gateway_decisions(
     which cache hits have no response replays exactly. In a what-if replay where every request has one,
     the budget also counts the usage of requests the cache would have served.
 
-    Bodies are read once, next to the source; only narrow rows are shuffled.
+    Bodies are read once, next to the source; only narrow rows are shuffled. Each replay step reads its
+    input several times, so the narrow rows are written to the scratch folder between steps.
     """
-    rows = request_facts(requests, policy, rules, key_columns)
+    rows = request_facts(requests, policy, rules, key_columns).join(
+        response_facts(responses), "request_id", "left"
+    )
     if users is not None:
-        rows = authenticate(rows, users, open_if_empty=open_if_empty)
+        rows = cut_lineage(authenticate(rows, users, open_if_empty=open_if_empty), "authenticated")
         rows = rate_limit(rows, window_seconds=settings.rate_window_seconds)
+        if settings.budgets:
+            rows = cut_lineage(rows, "rate-limited")
     else:
         rows = rows.withColumns(
             {
@@ -82,10 +87,7 @@ def gateway_decisions(
                 "rate_error": F.lit(None).cast("string"),
             }
         )
-    rows = rows.drop("authorization", "rate_limit", "admitted").join(
-        response_facts(responses), "request_id", "left"
-    )
-
+    rows = rows.drop("authorization", "rate_limit", "admitted")
     entered = F.col("auth_error").isNull() & F.col("rate_error").isNull()
     upstream = entered & ~F.col("policy.blocked")
     rows = rows.withColumns(
@@ -100,9 +102,9 @@ def gateway_decisions(
         ).drop("spent_before")
     else:
         rows = rows.withColumn("budget_error", F.lit(None).cast("string"))
-    reached = upstream & F.col("budget_error").isNull()
     if use_cache:
-        asked = F.when(entered & F.col("budget_error").isNull() & ~F.col("policy.blocked"), F.col("content_key"))
+        rows = cut_lineage(rows, "budgeted")
+        asked = F.when(upstream & F.col("budget_error").isNull(), F.col("content_key"))
         rows = ttl_cache_hits(
             rows.withColumn("_asked", asked), key="_asked", ttl_seconds=settings.cache_ttl_seconds
         ).drop("_asked")
@@ -138,7 +140,7 @@ def gateway_decisions(
         F.lit(0),
         lambda total, n: total + n,
     )
-    out = rows.withColumn("outcome", outcome).withColumn("reached", reached)
+    out = rows.withColumn("outcome", outcome)
     return out.select(
         "request_id", "ts", "method", "path", "source", "user_id", "user", "group", "outcome",
         code.cast("int").alias("code"), message.alias("message"), "content_key", "hit", "stored", "source_id",

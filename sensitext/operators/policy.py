@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import let
 from ..functions.rules import Rules
 from ..functions.spans import number_matches, redaction, resolve_overlaps, scan_text
-from .base import with_once
+from .base import literal_rows, with_once
 
 REDACT, BLOCK = "redact", "block"
 MESSAGE = "Request blocked by DLP policy: contains "
@@ -30,7 +30,9 @@ class Policy:
         return sorted(t for t, action in self.actions.items() if action == BLOCK)
 
     def to_df(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(sorted(self.actions.items()), "type string, action string")
+        if not self.actions:
+            return spark.createDataFrame([], "type string, action string")
+        return literal_rows(spark, sorted(self.actions.items()), ["type", "action"])
 
 
 def policy_result(matches: Column, policy: Policy) -> Column:

@@ -67,7 +67,7 @@ def users(registry: DataFrame) -> DataFrame:
 
 def user_by_id(registry: DataFrame, user_id: str) -> DataFrame:
     """The user with this id; an unknown id gives an error row when the frame is evaluated."""
-    wanted = registry.sparkSession.createDataFrame([(user_id,)], "wanted string")
+    wanted = registry.sparkSession.range(1).select(F.lit(user_id).alias("wanted"))
     found = F.broadcast(wanted).join(registry, F.col("wanted") == F.col("id"), "left")
     unknown = F.raise_error(F.concat(F.lit("user not found: "), F.col("wanted")))
     checked = F.when(F.col("id").isNull(), unknown.cast("string")).otherwise(F.col("id"))

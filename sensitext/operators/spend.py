@@ -10,6 +10,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.formats import fixed
 from ..settings import DEFAULTS
 from .base import with_once
 from .ordering import total_before
@@ -106,7 +107,9 @@ def budget_of(group: Column, budgets: Mapping[str, float]) -> Column:
 
 
 def budget_message(group: Column, spent: Column, budget: Column) -> Column:
-    return F.format_string("budget exceeded for group %s: $%.2f / $%.2f", group, spent, budget)
+    return F.concat(
+        F.lit("budget exceeded for group "), group, F.lit(": $"), fixed(spent, 2), F.lit(" / $"), fixed(budget, 2)
+    )
 
 
 def budget_status(

@@ -90,7 +90,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _derived(spark: SparkSession, sf_dir: str, name: str, sql: str) -> DataFrame:
-    return spark.sql(sql.replace(f"from {name}", "from {src}"), src=table(spark, sf_dir, name))
+    # Braces of JSON literals are doubled: {src} alone stands for the given table.
+    text = sql.replace("{", "{{").replace("}", "}}").replace(f"from {name}", "from {src}")
+    return spark.sql(text, src=table(spark, sf_dir, name))
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,19 +44,24 @@ def build_session(app: str = "sensitext", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the checkpoint folder and reads it back, so that later steps see frozen rows.
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``. Only a local session may do without it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    folder = tempfile.mkdtemp(prefix="sensitext-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
-    The folder is the shared one in ``spark.checkpoint.dir``. Only a local session without that setting
-    gets a temporary folder.
+
+def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
+    """Writes ``df`` once to the scratch folder and reads it back: frozen rows with known sizes.
+
+    Later steps that read it several times neither repeat the work before it nor depend on executors
+    that may be gone. The table stays until the folder is cleaned.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="sensitext-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{scratch_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

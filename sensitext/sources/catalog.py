@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.base import literal_rows
+
 # Id, name, address, category. Entries without an address are for search only.
 PROVIDERS = (
     ("openai", "OpenAI", "https://api.openai.com", "foundation"),
@@ -82,9 +84,8 @@ def providers(spark: SparkSession, service: bool = False) -> DataFrame:
             for id_, name, url, category in PROVIDERS
             if category in SERVICE_CATEGORIES and id_ not in SERVICE_ABSENT
         ]
-    return spark.createDataFrame(
-        [(*row, CATEGORIES[row[3]]) for row in rows],
-        "id string, name string, url string, category string, category_label string",
+    return literal_rows(
+        spark, [(*row, CATEGORIES[row[3]]) for row in rows], ["id", "name", "url", "category", "category_label"]
     )
 
 

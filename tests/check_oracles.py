@@ -5,6 +5,7 @@ import time
 
 sys.path.insert(0, __file__.rsplit("/", 2)[0])
 import duckdb
+import pandas as pd
 
 import __spark_entry__ as entry
 from sensitext.settings import build_session
@@ -15,7 +16,7 @@ TABLES = (
 
 
 def plain(value):
-    if value is None or value != value:
+    if pd.isna(value):
         return "~"
     if isinstance(value, float):
         return f"{value:.9g}"
