@@ -110,7 +110,8 @@ def gateway_decisions(
         ).drop("_asked")
     else:
         rows = rows.withColumns(
-            {"hit": F.lit(False), "stored": F.lit(False), "source_id": F.lit(None).cast("bigint")}
+            {"hit": F.lit(False), "stored": F.lit(False), "source_id": F.lit(None).cast("bigint"),
+             "source_status": F.lit(None).cast("int")}
         )
     outcome = (
         F.when(F.col("auth_error").isNotNull(), "auth_fail")
@@ -127,6 +128,7 @@ def gateway_decisions(
         .when(F.col("outcome") == "over_budget", 402)
         .when(F.col("outcome") == "blocked", 403)
         .when(F.col("outcome") == "failed", 502)
+        .when(F.col("outcome") == "cache_hit", F.col("source_status"))
         .otherwise(F.col("status"))
     )
     message = F.coalesce("auth_error", "rate_error", "budget_error", F.col("policy.message"))

@@ -39,7 +39,7 @@ def _anchors(lifetime: int):
                 if (keys[i], stretches[i]) != current or now - stored_at > lifetime:
                     current, stored_at = (keys[i], stretches[i]), now
                     stores.append(i)
-            yield batch.iloc[stores][[batch.columns[0], "_us", "_id"]]
+            yield batch.iloc[stores][[batch.columns[0], "_us", "_id", "_code"]]
 
     return fold
 
@@ -55,8 +55,8 @@ def ttl_cache_hits(
     """Replays a response store with a lifetime over a request log.
 
     Adds ``hit`` (the key was stored at most ``ttl_seconds`` ago; hits do not prolong it), ``stored`` (a
-    miss whose 2xx response is kept) and ``source_id``, the request whose response is in use. Rows with a
-    null key take no part. Stores of one key are more than a lifetime apart, so time cells one lifetime
+    miss whose 2xx response is kept), ``source_id`` and ``source_status``, the request whose response is in
+    use and its status. Rows with a null key take no part. Stores of one key are more than a lifetime apart, so time cells one lifetime
     wide hold at most one store each: a request finds its store by an equi-join on (key, cell). Only
     distinct storable instants in unbroken multi-cell stretches of a key go through the sequential fold.
     """
@@ -66,10 +66,11 @@ def ttl_cache_hits(
     rows = rows.withColumn("_cell", F.expr(f"_us div {width}"))
     can_store = F.col(status).between(200, 299) if status else F.lit(True)
     storable = rows.filter(can_store & F.col(key).isNotNull()).select(
-        F.col(key).alias("_key"), "_us", "_cell", F.col(order).alias("_id")
+        F.col(key).alias("_key"), "_us", "_cell", F.col(order).alias("_id"),
+        (F.col(status).cast("int") if status else F.lit(None).cast("int")).alias("_code"),
     )
     per_cell = storable.groupBy("_key", "_cell").agg(
-        F.min(F.struct("_us", "_id")).alias("_first"), F.max("_us").alias("_last_us")
+        F.min(F.struct("_us", "_id", "_code")).alias("_first"), F.max("_us").alias("_last_us")
     )
     by_cell = Window.partitionBy("_key").orderBy("_cell")
     gap = F.col("_first._us") - F.lag("_last_us").over(by_cell)
@@ -81,20 +82,21 @@ def ttl_cache_hits(
     whole = Window.partitionBy("_key", "_stretch")
     per_cell = per_cell.withColumn("_cells", F.count("*").over(whole))
     # A stretch inside one cell stores once, at its first instant.
-    simple = per_cell.filter("_cells = 1").select("_key", "_first._us", "_first._id")
+    simple = per_cell.filter("_cells = 1").select("_key", "_first.*")
     long = per_cell.filter("_cells > 1").select("_key", "_cell", "_stretch")
     instants = (
         storable.join(long, ["_key", "_cell"])
         .groupBy("_key", "_stretch", "_us")
-        .agg(F.min("_id").alias("_id"))
+        .agg(F.min(F.struct("_id", "_code")).alias("_m"))
+        .select("_key", "_stretch", "_us", "_m.*")
         .repartition("_key", "_stretch")
         .sortWithinPartitions("_key", "_stretch", "_us")
     )
     types = dict(storable.dtypes)
     folded = instants.mapInPandas(
-        _anchors(lifetime), f"_key {types['_key']}, _us bigint, _id {types['_id']}"
+        _anchors(lifetime), f"_key {types['_key']}, _us bigint, _id {types['_id']}, _code int"
     )
-    store = F.struct(F.col("_us").alias("us"), F.col("_id").alias("id"))
+    store = F.struct(F.col("_us").alias("us"), F.col("_id").alias("id"), F.col("_code").alias("code"))
     stores = simple.unionByName(folded).select("_key", F.expr(f"_us div {width}").alias("_own"), store.alias("_s"))
     # Each store serves its own cell and the next one.
     lookup = (
@@ -107,15 +109,17 @@ def ttl_cache_hits(
     )
     joined = rows.join(lookup, (F.col(key) == F.col("_key")) & (F.col("_cell") == F.col("_at")), "left")
     me = F.struct(F.col("_us").alias("us"), F.col(order).alias("id"))
-    used = F.when(F.col("_here") <= me, F.col("_here")).when(
+    here = F.struct(F.col("_here.us").alias("us"), F.col("_here.id").alias("id"))
+    used = F.when(F.col("_here").isNotNull() & (here <= me), F.col("_here")).when(
         F.col("_back.us") + lifetime >= F.col("_us"), F.col("_back")
     )
     joined = joined.withColumn("_used", used)
-    stored = F.coalesce(F.col("_used") == me, F.lit(False))
+    stored = F.coalesce(F.col("_used.id") == F.col(order), F.lit(False))
     return (
         joined.withColumn("stored", stored)
         .withColumn("hit", F.col("_used").isNotNull() & ~F.col("stored"))
         .withColumn("source_id", F.col("_used.id"))
+        .withColumn("source_status", F.col("_used.code"))
         .drop("_us", "_cell", "_key", "_at", "_here", "_back", "_used")
     )
 

@@ -571,7 +571,7 @@ def _decisions(spark, sf_dir):
     "gateway_decisions",
     f"""with {_DECIDED} select request_id, user_name as "user", outcome,
       cast(case outcome when 'auth_fail' then 401 when 'rate_limited' then 429 when 'over_budget' then 402 when 'blocked' then 403
-        else status end as integer) as code, items, types, src_id as source_id,
+        when 'cache_hit' then 200 else status end as integer) as code, items, types, src_id as source_id,
       case when outcome = 'forwarded' then sent end as sent_bytes from decided""",
 )
 def gateway_decisions(spark, sf_dir):

@@ -100,9 +100,9 @@ class _RateLimiter(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         times = list(self.state.get()[0]) if self.state.exists() else []
         # A micro-batch may deliver one user's rows in several pieces and in any order.
-        batch = pd.concat(list(rows)).sort_values(["_us", "request_id"])
+        batch = pd.concat(list(rows)).sort_values(["us", "request_id"])
         passed = []
-        for now, limit in zip(batch["_us"].tolist(), batch["rate_limit"].tolist()):
+        for now, limit in zip(batch["us"].tolist(), batch["rate_limit"].tolist()):
             times = [t for t in times if t > now - self.window]
             ok = not limit or limit <= 0 or len(times) < limit
             if ok and limit and limit > 0:
@@ -110,7 +110,7 @@ class _RateLimiter(StatefulProcessor):
             passed.append(ok)
         self.state.update((times,))
         yield pd.DataFrame(
-            {"request_id": batch["request_id"], "user_id": key[0], "us": batch["_us"], "admitted": passed}
+            {"request_id": batch["request_id"], "user_id": key[0], "us": batch["us"], "admitted": passed}
         )
 
     def close(self) -> None:
@@ -128,7 +128,7 @@ def stream_rate_limit(
     """
     rows = requests.select(
         F.col(order).cast("bigint").alias("request_id"), F.col(user).cast("string").alias("user_id"),
-        F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"),
+        F.unix_micros(F.col(ts).cast("timestamp")).alias("us"),
         F.coalesce(F.col(limit), F.lit(0)).cast("bigint").alias("rate_limit"),
     )
     return rows.groupBy("user_id").transformWithStateInPandas(
@@ -150,9 +150,9 @@ class _ResponseStore(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         stored = tuple(self.state.get()) if self.state.exists() else None
-        batch = pd.concat(list(rows)).sort_values(["_us", "request_id"])
+        batch = pd.concat(list(rows)).sort_values(["us", "request_id"])
         hits, sources = [], []
-        for now, request, status in zip(batch["_us"].tolist(), batch["request_id"].tolist(), batch["status"].tolist()):
+        for now, request, status in zip(batch["us"].tolist(), batch["request_id"].tolist(), batch["status"].tolist()):
             hit = stored is not None and now - stored[0] <= self.lifetime
             if not hit:
                 stored = (now, request) if 200 <= status <= 299 else None
@@ -180,7 +180,7 @@ def stream_cache_hits(
     """(request_id, content_key, hit, source_id) as requests arrive. Needs the RocksDB state store."""
     rows = requests.select(
         F.col(order).cast("bigint").alias("request_id"), F.col(key).alias("content_key"),
-        F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"),
+        F.unix_micros(F.col(ts).cast("timestamp")).alias("us"),
         F.coalesce(F.col(status), F.lit(0)).cast("bigint").alias("status"),
     )
     lifetime = (ttl_seconds if ttl_seconds > 0 else DEFAULTS.cache_ttl_seconds) * 1_000_000
