@@ -12,17 +12,43 @@ import re
 from pyspark.sql import SparkSession
 
 SPACE = r"\t\n\f\r "
-BOUNDARY = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
+# The look-aheads come first: they fail fastest where there is no boundary.
+BOUNDARY = r"(?:(?=\w)(?<!\w)|(?!\w)(?<=\w))"
 NOT_BOUNDARY = r"(?:(?<!\w)(?!\w)|(?<=\w)(?=\w))"
 BEFORE_WORD = r"(?<!\w)"
 
-# A leading \b followed by something that has to be a word character needs one look-behind only.
-_WORD_STARTS = re.compile(r"(?:\(\?:)*(?:\\[dw]|\w|\[(?:A-Z|a-z|0-9|_|\\w|\\d)+\])(?![*?]|\{0)")
+# What may follow \b: a run of digits, a literal word, or a class of word characters only.
+_DIGITS = re.compile(r"\\d(?:\{(\d+)\})?(?![*+?{])")
+_WORD = re.compile(r"[A-Za-z0-9_]+(?![*+?{])")
+_WORD_CLASS = re.compile(r"(?:\\w|\[(?:A-Z|a-z|0-9|_|\\w|\\d)+\])(?![*?]|\{0)")
 _FLAGS = re.compile(r"\(\?([a-zA-Z]*)(-[a-zA-Z]+)?([:)])")
 _UNESCAPED = {"b": BOUNDARY, "B": NOT_BOUNDARY, "s": f"[{SPACE}]", "S": f"[^{SPACE}]"}
 _IN_CLASS = {"s": SPACE, "S": r"\S\x0B"}
 
 
+def _word_start(pattern: str, i: int) -> tuple[str, int]:
+    """The boundary at ``pattern[i:]`` and what follows it, if that has to be a word character.
+
+    The look-behind goes behind the first literal or digit where possible, so that the matcher tests
+    the cheap part first. Gives ("", i) if the boundary has to be tested on both sides.
+    """
+    start = i
+    # Opening groups may be stepped over only if no alternative could start with something else.
+    while "|" not in pattern and pattern.startswith("(?:", i):
+        i += 3
+    opened = pattern[start:i]
+    if found := _DIGITS.match(pattern, i):
+        rest = int(found.group(1) or 1) - 1
+        if rest >= 0:
+            tail = "" if rest == 0 else r"\d{%d}" % rest
+            return f"{opened}\\d(?<!\\w\\d){tail}", found.end()
+    if found := _WORD.match(pattern, i):
+        return f"{opened}{found.group()}(?<!\\w{found.group()})", found.end()
+    if _WORD_CLASS.match(pattern, i):
+        return BEFORE_WORD + opened, i
+    return "", start
+
+
 def to_spark_regex(pattern: str) -> str:
     """The Java pattern that matches what ``pattern`` matches in the RE2 dialect."""
     multiline = any("m" in flags for flags, _, _ in _FLAGS.findall(pattern))
@@ -37,10 +63,13 @@ def to_spark_regex(pattern: str) -> str:
                 i = end
                 continue
             code = pattern[i + 1 : i + 2]
-            if code == "b" and not in_class and _WORD_STARTS.match(pattern, i + 2):
-                out.append(BEFORE_WORD)
-            else:
-                out.append((_IN_CLASS if in_class else _UNESCAPED).get(code, ch + code))
+            if code == "b" and not in_class:
+                checked, end = _word_start(pattern, i + 2)
+                if checked:
+                    out.append(checked)
+                    i = end
+                    continue
+            out.append((_IN_CLASS if in_class else _UNESCAPED).get(code, ch + code))
             i += 2
         elif in_class:
             posix = re.match(r"\[:(\w+):\]", pattern[i:])

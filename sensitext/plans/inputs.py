@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
+
 _K = "cast(c_custkey as string)"
 _H = f"md5({_K})"
 _PAD4 = "lpad(cast(c_custkey % 10000 as string), 4, '0')"
@@ -89,22 +91,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _derived(spark: SparkSession, sf_dir: str, name: str, sql: str) -> DataFrame:
+def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table whose texts are to be scanned."""
+    return spread(table(spark, sf_dir, name), key)
+
+
+def _derived(spark: SparkSession, sf_dir: str, name: str, sql: str, key: str | None = None) -> DataFrame:
     # Braces of JSON literals are doubled: {src} alone stands for the given table.
     text = sql.replace("{", "{{").replace("}", "}}").replace(f"from {name}", "from {src}")
-    return spark.sql(text, src=table(spark, sf_dir, name))
+    return spark.sql(text, src=texts(spark, sf_dir, name, key) if key else table(spark, sf_dir, name))
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _derived(spark, sf_dir, "customer", CUSTOMERS)
+    return _derived(spark, sf_dir, "customer", CUSTOMERS, "c_custkey")
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _derived(spark, sf_dir, "events", REQUESTS)
+    return _derived(spark, sf_dir, "events", REQUESTS, "event_id")
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _derived(spark, sf_dir, "events", RESPONSES)
+    return _derived(spark, sf_dir, "events", RESPONSES, "event_id")
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:

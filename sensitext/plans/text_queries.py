@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import BUILTIN, Rule, Rules
 from ..operators import detect, policy, tokens
 from . import inputs, sql
-from .inputs import customers, table
+from .inputs import customers, table, texts
 from .registered import query
 
 DOCS = "select doc_id, text, lang, source from documents"
@@ -42,12 +42,12 @@ def pii_findings_customers(spark, sf_dir):
 
 @query("pii_findings_documents", f"with {sql.found(DOCS, 'doc_id')} select doc_id, {SPANS} from found")
 def pii_findings_documents(spark, sf_dir):
-    return detect.findings(table(spark, sf_dir, "documents"), ["doc_id"])
+    return detect.findings(texts(spark, sf_dir, "documents", "doc_id"), ["doc_id"])
 
 
 @query("pii_findings_pages", f"with {sql.found(PAGES, 'page_id')} select page_id, {SPANS} from found")
 def pii_findings_pages(spark, sf_dir):
-    return detect.findings(table(spark, sf_dir, "pages"), ["page_id"], text="html")
+    return detect.findings(texts(spark, sf_dir, "pages", "page_id"), ["page_id"], text="html")
 
 
 @query(
@@ -67,7 +67,7 @@ def pii_findings_before_overlap_removal(spark, sf_dir):
     cast(strlen(substr(s.text, 1, f.stop)) as integer) as end_byte from found f join src s on s.doc_id = f.doc_id""",
 )
 def pii_byte_offsets(spark, sf_dir):
-    return detect.findings(table(spark, sf_dir, "documents"), ["doc_id"], byte_offsets=True)
+    return detect.findings(texts(spark, sf_dir, "documents", "doc_id"), ["doc_id"], byte_offsets=True)
 
 
 @query(
@@ -77,7 +77,7 @@ def pii_byte_offsets(spark, sf_dir):
     select s.doc_id, coalesce(k.types, '') as types from src s left join kinds k on k.doc_id = s.doc_id""",
 )
 def pii_types_per_doc(spark, sf_dir):
-    typed = detect.pii_types(table(spark, sf_dir, "documents"))
+    typed = detect.pii_types(texts(spark, sf_dir, "documents", "doc_id"))
     return typed.select("doc_id", F.array_join("types", ",").alias("types"))
 
 
@@ -91,7 +91,7 @@ def _counts_query(name: str, by: str) -> None:
         from found f join src s on s.doc_id = f.doc_id group by s.{by}, f.type""",
     )
     def run(spark, sf_dir):
-        return detect.pii_counts(table(spark, sf_dir, "documents"), [by])
+        return detect.pii_counts(texts(spark, sf_dir, "documents", "doc_id"), [by])
 
 
 _counts_query("pii_counts_by_lang", "lang")
@@ -100,7 +100,7 @@ _counts_query("pii_counts_by_source", "source")
 
 @query("pii_counts_documents", f"with {sql.found(DOCS, 'doc_id')} select type, {_COUNTS} from found group by type")
 def pii_counts_documents(spark, sf_dir):
-    return detect.pii_counts(table(spark, sf_dir, "documents"))
+    return detect.pii_counts(texts(spark, sf_dir, "documents", "doc_id"))
 
 
 @query(
@@ -121,7 +121,7 @@ def pii_counts_benchmark(spark, sf_dir):
 )
 def pii_vs_labels(spark, sf_dir):
     # Scan next to the source and join the narrow result, so that no text is shuffled.
-    scanned = detect.scan(table(spark, sf_dir, "documents")).select("doc_id", (F.size("matches") > 0).alias("hit"))
+    scanned = detect.scan(texts(spark, sf_dir, "documents", "doc_id")).select("doc_id", (F.size("matches") > 0).alias("hit"))
     return (
         scanned.join(table(spark, sf_dir, "labels"), "doc_id")
         .groupBy("quality", "toxic")
@@ -151,7 +151,7 @@ _WITHOUT = Rules().disable("SECRET", "PHONE")
     f"with {sql.found(DOCS, 'doc_id', _WITHOUT)} select type, {_COUNTS} from found group by type",
 )
 def disabled_rule_counts(spark, sf_dir):
-    return detect.pii_counts(table(spark, sf_dir, "documents"), rules=_WITHOUT)
+    return detect.pii_counts(texts(spark, sf_dir, "documents", "doc_id"), rules=_WITHOUT)
 
 
 # ── Redaction ────────────────────────────────────────────────────────────────────────────────────
@@ -169,7 +169,7 @@ def _redact(df, key, text="text"):
 
 @query("redact_documents", _redact_sql(DOCS, "doc_id"))
 def redact_documents(spark, sf_dir):
-    return _redact(table(spark, sf_dir, "documents"), "doc_id")
+    return _redact(texts(spark, sf_dir, "documents", "doc_id"), "doc_id")
 
 
 @query("redact_customers", _redact_sql(inputs.CUSTOMERS, "c_custkey"))
@@ -179,7 +179,7 @@ def redact_customers(spark, sf_dir):
 
 @query("redact_pages", _redact_sql(PAGES, "page_id"))
 def redact_pages(spark, sf_dir):
-    return _redact(table(spark, sf_dir, "pages"), "page_id", "html")
+    return _redact(texts(spark, sf_dir, "pages", "page_id"), "page_id", "html")
 
 
 def _map_sql(source: str, key: str) -> str:
@@ -188,7 +188,7 @@ def _map_sql(source: str, key: str) -> str:
 
 @query("token_map_documents", _map_sql(DOCS, "doc_id"))
 def token_map_documents(spark, sf_dir):
-    return tokens.token_map(table(spark, sf_dir, "documents"), ["doc_id"])
+    return tokens.token_map(texts(spark, sf_dir, "documents", "doc_id"), ["doc_id"])
 
 
 @query("token_map_customers", _map_sql(inputs.CUSTOMERS, "c_custkey"))
@@ -207,7 +207,7 @@ def token_stats_customers(spark, sf_dir):
 
 @query("restore_roundtrip_documents", "select doc_id, text as restored, false as ambiguous from documents")
 def restore_roundtrip_documents(spark, sf_dir):
-    redacted = tokens.redact(table(spark, sf_dir, "documents"), with_map=True)
+    redacted = tokens.redact(texts(spark, sf_dir, "documents", "doc_id"), with_map=True)
     return tokens.restore(redacted).select("doc_id", "restored", "ambiguous")
 
 
@@ -237,7 +237,7 @@ def restore_replies(spark, sf_dir):
     f"{sql.tokens('doc_id', 'source')}, {sql.redacted('doc_id')} select doc_id, redacted, items, types from red",
 )
 def redact_by_source(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = texts(spark, sf_dir, "documents", "doc_id").select("doc_id", "source", "text")
     redacted, _ = tokens.redact_table(docs, ["doc_id"], ["source"])
     return redacted.select("doc_id", "redacted", "items", F.array_join("types", ",").alias("types"))
 
@@ -249,13 +249,13 @@ def redact_by_source(spark, sf_dir):
     f"{sql.tokens('doc_id', 'source')} select source, token, type, ordinal, value from tokens",
 )
 def token_map_by_source(spark, sf_dir):
-    found = detect.findings(table(spark, sf_dir, "documents"), ["doc_id", "source"])
+    found = detect.findings(texts(spark, sf_dir, "documents", "doc_id"), ["doc_id", "source"])
     return tokens.assign_tokens(found, ["source"], ["doc_id"])
 
 
 @query("restore_roundtrip_by_source", "select doc_id, text as restored from documents")
 def restore_roundtrip_by_source(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = texts(spark, sf_dir, "documents", "doc_id").select("doc_id", "source", "text")
     redacted, numbered = tokens.redact_table(docs, ["doc_id"], ["source"])
     return tokens.restore_table(redacted, ["doc_id"], ["source"], numbered).select("doc_id", "restored")
 
@@ -273,7 +273,7 @@ _TURNS = """select conv_id * 1000 + turn as row_key, conv_id, turn, concat(text,
     f"select s.conv_id, s.turn, r.redacted, r.items from red r join src s on s.row_key = r.row_key",
 )
 def redact_conversations(spark, sf_dir):
-    turns = inputs._derived(spark, sf_dir, "conversations", _TURNS)
+    turns = inputs._derived(spark, sf_dir, "conversations", _TURNS, "conv_id")
     redacted, _ = tokens.redact_table(turns, ["conv_id", "turn"], ["conv_id"])
     return redacted.select("conv_id", "turn", "redacted", "items")
 
@@ -296,7 +296,7 @@ def _policy_sql(source: str, key: str, found: str = "found") -> str:
     from blocked b join src s on s.doc_id = b.doc_id""",
 )
 def policy_blocked_docs(spark, sf_dir):
-    _, blocked = policy.quarantine_split(table(spark, sf_dir, "documents"), POLICY)
+    _, blocked = policy.quarantine_split(texts(spark, sf_dir, "documents", "doc_id"), POLICY)
     return blocked.select("doc_id", F.array_join("blocked_types", ", ").alias("blocked_types"), "message", "text")
 
 
@@ -305,7 +305,7 @@ def policy_blocked_docs(spark, sf_dir):
     f"with {_policy_sql(DOCS, 'doc_id')} select doc_id, redacted, items from red where doc_id not in (select doc_id from blocked)",
 )
 def policy_clean_docs(spark, sf_dir):
-    clean, _ = policy.quarantine_split(table(spark, sf_dir, "documents"), POLICY)
+    clean, _ = policy.quarantine_split(texts(spark, sf_dir, "documents", "doc_id"), POLICY)
     return clean.select("doc_id", "redacted", "items")
 
 
@@ -327,7 +327,7 @@ def policy_before_overlap_removal(spark, sf_dir):
     count(*) as findings from found group by type""",
 )
 def policy_actions(spark, sf_dir):
-    counts = detect.pii_counts(table(spark, sf_dir, "documents"))
+    counts = detect.pii_counts(texts(spark, sf_dir, "documents", "doc_id"))
     return counts.select("type", policy.policy_action(F.col("type"), POLICY).alias("action"), "findings")
 
 
@@ -338,7 +338,7 @@ def policy_actions(spark, sf_dir):
     from src s left join blocked b on b.doc_id = s.doc_id group by 1""",
 )
 def policy_docs_by_action(spark, sf_dir):
-    scanned = detect.scan(table(spark, sf_dir, "documents"))
+    scanned = detect.scan(texts(spark, sf_dir, "documents", "doc_id"))
     judged = policy.evaluate_policy(scanned, POLICY)
     action = F.when(F.col("policy.blocked"), policy.BLOCK).otherwise(policy.REDACT)
     return judged.groupBy(action.alias("action")).agg(F.count("*").alias("docs"))

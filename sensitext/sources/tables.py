@@ -21,6 +21,18 @@ def _read(spark: SparkSession, path: str, schema: str, format: str) -> DataFrame
     return spark.read.schema(schema).format(format).load(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deals the rows of a table just read out to all cores, if its files give fewer splits than that.
+
+    A file with one row group is one task however large the cluster is, and text work is heavy per row.
+    Where the files already give a split per core, which is every large table, nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *[F.col(k) for k in keys])
+
+
 def read_requests(spark: SparkSession, path: str, format: str = "json") -> DataFrame:
     return _read(spark, path, REQUESTS, format)
 

@@ -7,7 +7,16 @@ from sensitext.functions.rules import BUILTIN, Rules
 @pytest.mark.parametrize(
     "pattern, expected",
     [
-        (r"\bEMP-\d{6}", r"(?<!\w)EMP-\d{6}"),
+        (r"\bEMP-\d{6}", r"EMP(?<!\wEMP)-\d{6}"),
+        (r"\b\d{3}-", r"\d(?<!\w\d)\d{2}-"),
+        (r"\b\dx", r"\d(?<!\w\d)x"),
+        (r"\b(?:10\.)", r"(?:10(?<!\w10)\.)"),
+        (r"\b(?:10|/a)", r"(?:(?=\w)(?<!\w)|(?!\w)(?<=\w))(?:10|/a)"),
+        (r"\b[A-Z]+x", r"(?<!\w)[A-Z]+x"),
+        (r"\bab?", r"a(?<!\wa)b?"),
+        (r"\ba?b", r"(?:(?=\w)(?<!\w)|(?!\w)(?<=\w))a?b"),
+        (r"\b\d*b", r"(?:(?=\w)(?<!\w)|(?!\w)(?<=\w))\d*b"),
+        (r"\b\d{0,2}b", r"(?:(?=\w)(?<!\w)|(?!\w)(?<=\w))\d{0,2}b"),
         (r"a\sb", "a[\\t\\n\\f\\r ]b"),
         (r"[\s-]x", "[\\t\\n\\f\\r -]x"),
         (r"[^\s]x", "[^\\t\\n\\f\\r ]x"),
@@ -47,6 +56,10 @@ def test_ascii_semantics(spark):
     cases = [
         (r"\bab\b", "üabß", ["ab"]),
         (r"\Bb", "ab b", ["b"]),
+        (r"\b(?:1|-)x", "1x a1x -x a-x", ["1x", "-x"]),
+        (r"\bü", "aü ü", ["ü"]),
+        (r"\bcat", "cat concat ücat", ["cat", "cat"]),
+        (r"\b\d{2}", "123 a12 12", ["12", "12"]),
         (r"a\sb", "a\x0bb a\tb", ["a\tb"]),
         (r"(?i)k", "k \u212a", ["k", "\u212a"]),
         (r"a$", "a\na", ["a"]),

@@ -234,9 +234,9 @@ def test_scan_runs_once_under_a_filter(spark):
     """
     df = spark.range(3).select(F.concat(F.lit("a@b.com "), "id").alias("text"))
     plan = detect.scan(df).filter(F.size("matches") > 0)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("ghp_[a-zA-Z0-9]{36,}") == 2
+    assert plan.count("ghp_(?<!") == 2
     plan = detect.findings(df.withColumn("id", F.lit(1)), ["id"])._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("ghp_[a-zA-Z0-9]{36,}") == 2
+    assert plan.count("ghp_(?<!") == 2
 
 
 def test_redact_expression_is_row_local(spark):
