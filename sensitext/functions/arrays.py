@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache, wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,3 +48,21 @@ def fold_emit(
         merge,
         lambda acc: F.concat(F.flatten(acc["closed"]), acc["chunk"]),
     )
+
+
+def remembered(build: Callable) -> Callable:
+    """Keeps the columns ``build`` made for its (hashable) arguments.
+
+    A large expression takes the driver half a second to put together. Columns are immutable and refer to
+    names only, so calls that repeat, such as one per micro-batch, share them within a Spark context.
+    """
+
+    @lru_cache(maxsize=256)
+    def made(context, *args):
+        return build(*args)
+
+    @wraps(build)
+    def call(*args):
+        return made(SparkContext._active_spark_context, *args)
+
+    return call

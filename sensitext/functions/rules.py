@@ -10,7 +10,6 @@ from dataclasses import dataclass, replace
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, SparkSession
-from pyspark.sql import functions as F
 
 from .patterns import check_pattern, to_spark_regex
 

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .arrays import empty_array, fold_emit, let
+from .arrays import empty_array, fold_emit, let, remembered
 from .rules import Rule, Rules
 
 MATCH = "struct<start:int,end:int,type:string,value:string>"
@@ -28,23 +28,27 @@ _BLOCK = 4096
 
 def _pieces_between(text: Column, regex: str) -> Column:
     """Matches paired with the text before each; the last pair holds the rest and no match."""
-    return F.arrays_zip(
-        F.split(text, regex, -1).alias("gap"), F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("value")
-    )
+    return F.arrays_zip(F.split(text, regex, -1), F.regexp_extract_all(text, F.lit(regex), F.lit(0)))
+
+
+def _candidates(text: Column, rules: tuple[Rule, ...]) -> Column:
+    """Per rule the (gap, match) pairs; null where the rule's gate says there is no match."""
+    pairs = [F.when(rule.may_match(text), _pieces_between(text, rule.regex)) for rule in rules]
+    return F.array(*pairs).cast("array<array<struct<gap:string,value:string>>>")
 
 
-def _located(per_rule: Column) -> Column:
-    """Turns (gap, match) pairs of several rules into matches with positions, in one fold."""
+def _located(candidates: Column, rules: tuple[Rule, ...]) -> Column:
+    """Turns the (gap, match) pairs of all rules into matches with positions, in one fold."""
+    types = F.lit([rule.type for rule in rules])
     items = F.flatten(
-        F.transform(
-            per_rule,
-            lambda r: F.transform(
-                r["pairs"],
-                lambda p: F.struct(
-                    r["rule"].alias("rule"), r["type"].alias("type"),
-                    F.length(p["gap"]).alias("gap"), p["value"].alias("value"),
+        F.filter(
+            F.transform(
+                candidates,
+                lambda pairs, i: F.transform(
+                    pairs, lambda p: F.struct(i.alias("rule"), F.length(p["gap"]).alias("gap"), p["value"].alias("value"))
                 ),
             ),
+            lambda listed: listed.isNotNull(),
         )
     )
 
@@ -53,27 +57,13 @@ def _located(per_rule: Column) -> Column:
         end = start + F.length(it["value"])
         out = F.struct(
             start.alias("start"), (-end).alias("neg_end"), it["rule"].alias("rule"),
-            it["type"].alias("type"), it["value"].alias("value"),
+            F.get(types, it["rule"]).alias("type"), it["value"].alias("value"),
         )
         return F.struct(it["rule"].alias("rule"), end.alias("end")), it["value"].isNotNull(), out
 
     return fold_emit(items, F.struct(F.lit(-1).alias("rule"), F.lit(0).alias("end")), step, _RAW)
 
 
-def _candidates(text: Column, rules: tuple[Rule, ...]) -> Column:
-    pairs = "array<struct<gap:string,value:string>>"
-    return F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("rule"),
-                F.lit(rule.type).alias("type"),
-                F.when(rule.may_match(text), _pieces_between(text, rule.regex)).cast(pairs).alias("pairs"),
-            )
-            for i, rule in enumerate(rules)
-        ]
-    )
-
-
 def _as_match(raw: Column) -> Column:
     return F.struct(
         raw["start"].alias("start"),
@@ -125,15 +115,26 @@ def scan_text(text: Column, rules: Rules = Rules(), overlaps: bool = False) -> C
         return empty_array(MATCH)
     gates = {rule.gate_key: rule for rule in active}
     candidate = reduce(lambda a, b: a | b, [rule.may_match(text) for rule in gates.values()])
-    listed = F.filter(_candidates(text, active), lambda r: r["pairs"].isNotNull())
     resolve = _first_per_span if overlaps else _without_overlaps
     found = let(
-        F.array_sort(_located(listed)),
+        F.array_sort(_located(_candidates(text, active), active)),
         lambda r: F.when(F.size(r) > 0, resolve(r)).otherwise(empty_array(MATCH)),
     )
     return F.when(candidate, found).otherwise(empty_array(MATCH))
 
 
+@remembered
+def scan_column(text: str, rules: Rules, overlaps: bool = False) -> Column:
+    """``scan_text`` of a column given by name."""
+    return scan_text(F.col(text), rules, overlaps)
+
+
+@remembered
+def tokenized_column(text: str, rules: Rules) -> Column:
+    """The matches of a column given by name, numbered within the row."""
+    return number_matches(scan_text(F.col(text), rules))
+
+
 def match_types(matches: Column) -> Column:
     """Distinct types in order of first appearance."""
     return F.array_distinct(F.transform(matches, lambda m: m["type"]))
@@ -268,8 +269,8 @@ def token_entries(tokenized: Column) -> Column:
 
 def placeholders_in(text: Column) -> Column:
     """Placeholder-like pieces of a text, as matches of the type ``TOKEN``."""
-    listed = _candidates(text, (Rule("TOKEN", ANY_PLACEHOLDER, literals=("[",)),))
-    return F.transform(_located(F.filter(listed, lambda r: r["pairs"].isNotNull())), _as_match)
+    rules = (Rule("TOKEN", ANY_PLACEHOLDER, literals=("[",)),)
+    return F.transform(_located(_candidates(text, rules), rules), _as_match)
 
 
 def restore_text(text: Column, token_map: Column) -> Column:
@@ -289,13 +290,14 @@ def restore_text(text: Column, token_map: Column) -> Column:
     return F.when(F.size(token_map) > 0, let(token_map, with_map)).otherwise(text)
 
 
-def redaction(text: Column, tokenized: Column) -> dict[str, Column]:
-    """The columns every redacting operator adds."""
+@remembered
+def redaction(text: str, tokenized: str) -> dict[str, Column]:
+    """The columns every redacting operator adds, from a text and its numbered matches."""
     return {
-        "redacted": redact_text(text, tokenized),
+        "redacted": redact_text(F.col(text), F.col(tokenized)),
         "items": F.size(tokenized),
-        "types": match_types(tokenized),
-        "ambiguous": has_placeholder(text),
+        "types": match_types(F.col(tokenized)),
+        "ambiguous": has_placeholder(F.col(text)),
     }
 
 

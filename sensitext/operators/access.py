@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..settings import DEFAULTS
+from .base import key_runs
 from .registry import active_tokens
 
 MISSING = "missing or invalid Authorization header"
@@ -63,27 +65,35 @@ def _micros(ts: str) -> Column:
 
 
 def _admissions(window: int):
-    """Fold over instants ordered by (user, stretch, time): how many requests of each are admitted."""
+    """Fold over instants ordered by (user, stretch, time): how many requests of each are admitted.
+
+    While the limit is used up, the fold jumps to the instant at which the oldest admission expires, so
+    its steps are bounded by the admitted requests, not by all of them.
+    """
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, admitted, held = None, deque(), 0
         for batch in batches:
-            users = batch.iloc[:, 0].tolist()
-            stretches, times = batch["_stretch"].tolist(), batch["_us"].tolist()
-            counts, limits = batch["_n"].tolist(), batch["_limit"].tolist()
-            passed = [0] * len(times)
-            for i, now in enumerate(times):
-                if (users[i], stretches[i]) != current:
-                    current, admitted, held = (users[i], stretches[i]), deque(), 0
-                while admitted and admitted[0][0] <= now - window:
-                    held -= admitted.popleft()[1]
-                passed[i] = max(0, min(counts[i], limits[i] - held))
-                if passed[i]:
-                    admitted.append((now, passed[i]))
-                    held += passed[i]
+            times, counts = batch["_us"].to_numpy(), batch["_n"].to_numpy()
+            limits = batch["_limit"].to_numpy()
+            passed = np.zeros(len(batch), dtype="int64")
+            for key, i, end in key_runs(batch, ["_user", "_stretch"]):
+                if key != current:
+                    current, admitted, held = key, deque(), 0
+                while i < end:
+                    now, limit = int(times[i]), int(limits[i])
+                    while admitted and admitted[0][0] <= now - window:
+                        held -= admitted.popleft()[1]
+                    if held >= limit:
+                        i += int(np.searchsorted(times[i:end], admitted[0][0] + window))
+                        continue
+                    n = min(int(counts[i]), limit - held)
+                    passed[i] = n
+                    admitted.append((now, n))
+                    held += n
+                    i += 1
             batch["_passed"] = passed
-            partly = batch[batch["_passed"] < batch["_n"]]
-            yield partly[[batch.columns[0], "_us", "_passed"]]
+            yield batch.loc[passed < counts, ["_user", "_us", "_passed"]]
 
     return fold
 
@@ -123,8 +133,11 @@ def rate_limit(
     cells = cells.withColumn(
         "_stretch", F.last(starts, ignorenulls=True).over(by_cell.rowsBetween(Window.unboundedPreceding, 0))
     )
-    whole = Window.partitionBy("_user", "_stretch")
-    busy = cells.withColumn("_busy", F.min("_calm").over(whole) == F.lit(False)).filter("_busy")
+    # A stretch needs the fold if it goes beyond its first cell: the rest are not calm. A first cell can
+    # be over the limit by itself where nothing precedes it.
+    cells = cells.withColumn("_start", starts)
+    goes_on = F.lead("_cell").over(by_cell).isNotNull() & F.lead("_start").over(by_cell).isNull()
+    busy = cells.withColumn("_busy", ~F.col("_calm") | goes_on).filter("_busy")
 
     stretch_rows = instants.join(busy.select("_user", "_cell", "_stretch"), ["_user", "_cell"]).select(
         "_user", "_stretch", "_us", "_n", "_limit"

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,12 +13,13 @@ from pyspark.sql import functions as F
 def with_once(df: DataFrame, **columns: Column) -> DataFrame:
     """Adds columns that are evaluated once per row.
 
-    A plain projection is copied into every filter above it. Generating the columns from a one-element
-    array keeps an expensive expression in one place.
+    A plain projection is copied into every filter above it. Here the projected columns pass through a
+    one-element array, which no filter is pushed below. The projection itself stays compiled.
     """
     kept = [c for c in df.columns if c not in columns]
-    made = F.struct(*[column.alias(name) for name, column in columns.items()])
-    return df.select(*[df[c] for c in kept], F.inline(F.array(made)))
+    hidden = {f"_once_{name}": column for name, column in columns.items()}
+    made = F.struct(*[F.col(h).alias(name) for h, name in zip(hidden, columns)])
+    return df.withColumns(hidden).select(*kept, F.inline(F.array(made)))
 
 
 def explode_rows(df: DataFrame, keep: list[str], array: str, marker: str) -> DataFrame:
@@ -33,3 +36,11 @@ def literal_rows(spark: SparkSession, rows: Iterable[tuple], names: list[str]) -
     """A small constant table (catalog, configuration) as literals in the plan: no Python worker reads it."""
     made = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows]
     return spark.range(1).select(F.inline(F.array(*made)))
+
+
+def key_runs(batch: pd.DataFrame, names: list[str]) -> Iterator[tuple[tuple, int, int]]:
+    """(key, from, to) for each stretch of equal keys in a sorted batch."""
+    keys = batch[names]
+    starts = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
+    for at, end in zip(starts, [*starts[1:], len(batch)]):
+        yield tuple(keys.iloc[at]), int(at), int(end)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import Rules
-from ..functions.spans import match_types, scan_text
+from ..functions.spans import match_types, scan_column
 from .base import explode_rows, with_once
 
 
@@ -14,7 +14,7 @@ def scan(
     df: DataFrame, text: str = "text", rules: Rules = Rules(), out: str = "matches", overlaps: bool = False
 ) -> DataFrame:
     """Adds the matches of each text: ``array<struct<start,end,type,value>>``, ordered by position."""
-    return with_once(df, **{out: scan_text(F.col(text), rules, overlaps)})
+    return with_once(df, **{out: scan_column(text, rules, overlaps)})
 
 
 def findings(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import let
 from ..functions.rules import Rules
-from ..functions.spans import number_matches, redaction, resolve_overlaps, scan_text
+from ..functions.spans import number_matches, redaction, resolve_overlaps, scan_column, tokenized_column
 from .base import literal_rows, with_once
 
 REDACT, BLOCK = "redact", "block"
@@ -95,15 +95,14 @@ def classify(
 
     ``before_overlap`` lets the policy also see matches that lost against a longer one.
     """
-    source = F.col(text)
     if before_overlap:
-        seen = with_once(df, _all=scan_text(source, rules, overlaps=True))
+        seen = with_once(df, _all=scan_column(text, rules, True))
         numbered = with_once(seen, _t=number_matches(resolve_overlaps(F.col("_all"))))
     else:
-        numbered = with_once(df, _t=number_matches(scan_text(source, rules)))
+        numbered = with_once(df, _t=tokenized_column(text, rules))
     judged = F.col("_all" if before_overlap else "_t")
     rows = with_once(numbered, _p=policy_result(judged, policy))
-    return rows.withColumns(redaction(source, F.col("_t"))).select("*", "_p.*").drop("_p", "_t", "_all")
+    return rows.withColumns(redaction(text, "_t")).select("*", "_p.*").drop("_p", "_t", "_all")
 
 
 def policy_summary(spark: SparkSession, policy: Policy) -> DataFrame:

@@ -45,8 +45,8 @@ def active_tokens(users: DataFrame) -> DataFrame:
 
 def registry_from_keys(entries: DataFrame, created_at: Column, order: str = "position") -> DataFrame:
     """Users from configured key entries (key, user, group, rate_limit); the last entry of a key wins."""
-    last = Window.partitionBy("key").orderBy(F.col(order).desc())
-    kept = entries.withColumn("_n", F.row_number().over(last)).filter("_n = 1")
+    last = F.max_by(F.struct("user", "group", "rate_limit"), order)
+    kept = entries.groupBy("key").agg(last.alias("e")).select("key", "e.*")
     token = F.struct(
         F.col("key"), F.lit(CONFIG_LABEL).alias("label"), created_at.cast("timestamp").alias("created_at"),
         F.lit(None).cast("timestamp").alias("expires_at"), F.lit(False).alias("revoked"),

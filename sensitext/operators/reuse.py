@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.formats import percent
 from ..settings import DEFAULTS
+from .base import key_runs
 
 
 def content_key(body: Column, *more: Column) -> Column:
@@ -28,18 +30,23 @@ def content_repeats(requests: DataFrame, body: str = "body", *more: str) -> Data
 
 
 def _anchors(lifetime: int):
-    """Fold over storable instants ordered by (key, stretch, time): those that store anew."""
+    """Fold over storable instants ordered by (key, stretch, time): those that store anew.
+
+    From one store it jumps to the first instant after that store has expired.
+    """
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, stored_at = None, 0
         for batch in batches:
-            keys, stretches = batch.iloc[:, 0].tolist(), batch["_stretch"].tolist()
-            stores = []
-            for i, now in enumerate(batch["_us"].tolist()):
-                if (keys[i], stretches[i]) != current or now - stored_at > lifetime:
-                    current, stored_at = (keys[i], stretches[i]), now
+            times, stores = batch["_us"].to_numpy(), []
+            for key, i, end in key_runs(batch, ["_key", "_stretch"]):
+                if key == current:
+                    i += int(np.searchsorted(times[i:end], stored_at + lifetime, side="right"))
+                while i < end:
+                    current, stored_at = key, int(times[i])
                     stores.append(i)
-            yield batch.iloc[stores][[batch.columns[0], "_us", "_id", "_code"]]
+                    i += int(np.searchsorted(times[i:end], stored_at + lifetime, side="right"))
+            yield batch.iloc[stores][["_key", "_us", "_id", "_code"]]
 
     return fold
 
@@ -79,11 +86,11 @@ def ttl_cache_hits(
         "_stretch",
         F.last("_start", ignorenulls=True).over(by_cell.rowsBetween(Window.unboundedPreceding, 0)),
     )
-    whole = Window.partitionBy("_key", "_stretch")
-    per_cell = per_cell.withColumn("_cells", F.count("*").over(whole))
+    goes_on = F.lead("_cell").over(by_cell).isNotNull() & F.lead("_start").over(by_cell).isNull()
+    per_cell = per_cell.withColumn("_long", F.col("_start").isNull() | goes_on)
     # A stretch inside one cell stores once, at its first instant.
-    simple = per_cell.filter("_cells = 1").select("_key", "_first.*")
-    long = per_cell.filter("_cells > 1").select("_key", "_cell", "_stretch")
+    simple = per_cell.filter("not _long").select("_key", "_first.*")
+    long = per_cell.filter("_long").select("_key", "_cell", "_stretch")
     instants = (
         storable.join(long, ["_key", "_cell"])
         .groupBy("_key", "_stretch", "_us")

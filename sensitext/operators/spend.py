@@ -146,7 +146,7 @@ def budget_gate(
     ts: str = "ts",
     order: str = "request_id",
     scope: str = "user",
-    cell: str = "1 hour",
+    cell: str = "1 minute",
     price_in: float = DEFAULTS.price_in,
     price_out: float = DEFAULTS.price_out,
 ) -> DataFrame:
@@ -154,7 +154,7 @@ def budget_gate(
 
     Adds spent_before and budget_error: a request is refused if the spend before it has reached the
     budget of its group. Refused requests cost nothing, but once refused a user stays refused, so a
-    running total of all usage decides the same way.
+    running total of all usage decides the same way. ``cell`` is the time slice one task sums row by row.
     """
     keys = [group] if scope == "group" else [user]
     cells = F.window(F.col(ts), cell).getField("start")

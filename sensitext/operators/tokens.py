@@ -15,14 +15,13 @@ from ..functions.rules import Rules
 from ..functions.spans import (
     has_placeholder,
     match_types,
-    number_matches,
     placeholder,
     placeholders_in,
     redaction,
     replace_spans,
     restore_text,
-    scan_text,
     token_entries,
+    tokenized_column,
 )
 from .base import explode_rows, with_once
 from .detect import scan
@@ -40,8 +39,8 @@ def redact(
     ``ambiguous`` marks inputs that already hold placeholder-like text and may not restore exactly.
     ``with_map`` adds ``tokens``, a map from placeholder to raw value.
     """
-    scanned = with_once(df, _t=number_matches(scan_text(F.col(text), rules)))
-    columns = redaction(F.col(text), F.col("_t"))
+    scanned = with_once(df, _t=tokenized_column(text, rules))
+    columns = dict(redaction(text, "_t"))
     if with_map:
         columns["tokens"] = F.map_from_entries(token_entries(F.col("_t")))
     return scanned.withColumns(columns).drop("_t")
@@ -58,7 +57,7 @@ def token_map(df: DataFrame, keys: list[str], text: str = "text", rules: Rules =
         df.select(*dict.fromkeys([*keys, text])),
         _t=F.array_distinct(
             F.transform(
-                number_matches(scan_text(F.col(text), rules)),
+                tokenized_column(text, rules),
                 lambda m: F.struct(
                     m["token"].alias("token"), m["token_type"].alias("type"),
                     m["ordinal"].alias("ordinal"), m["value"].alias("value"),

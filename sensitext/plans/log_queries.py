@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import formats
-from ..functions.rules import Rules
-from ..operators import access, attempts, audit, detect, gateway, registry, reuse, spend
+from ..operators import access, attempts, audit, gateway, registry, reuse, spend
 from ..operators.policy import Policy
 from ..settings import Settings
 from ..sources import catalog as provider_catalog
