@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..settings import DEFAULTS
-from .base import key_runs
+from ..settings import DEFAULTS, cut_lineage
+from .base import run_splitter
 from .registry import active_tokens
 
 MISSING = "missing or invalid Authorization header"
@@ -71,13 +71,15 @@ def _admissions(window: int):
     its steps are bounded by the admitted requests, not by all of them.
     """
 
+    runs = run_splitter()
+
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, admitted, held = None, deque(), 0
         for batch in batches:
             times, counts = batch["_us"].to_numpy(), batch["_n"].to_numpy()
             limits = batch["_limit"].to_numpy()
             passed = np.zeros(len(batch), dtype="int64")
-            for key, i, end in key_runs(batch, ["_user", "_stretch"]):
+            for key, i, end in runs(batch, ["_user", "_stretch"]):
                 if key != current:
                     current, admitted, held = key, deque(), 0
                 while i < end:
@@ -112,7 +114,8 @@ def rate_limit(
 
     Only (user, instant) counts take part, aggregated before the shuffle. Minutes whose raw count together
     with the minute before stays within the limit admit everything; the sequential fold runs on the
-    stretches between them, each streamed through one task with at most ``limit`` times in memory.
+    stretches between them, each streamed through one task with at most ``limit`` times in memory. The
+    fold runs when this function is called; its rejections, which are read twice, go to the scratch folder.
     """
     window = window_seconds * 1_000_000
     rows = requests.withColumn("_us", _micros(ts))
@@ -143,10 +146,11 @@ def rate_limit(
         "_user", "_stretch", "_us", "_n", "_limit"
     )
     user_type = dict(limited.dtypes)["_user"]
-    cut = (
+    cut = cut_lineage(
         stretch_rows.repartition("_user", "_stretch")
         .sortWithinPartitions("_user", "_stretch", "_us")
-        .mapInPandas(_admissions(window), f"_user {user_type}, _us bigint, _passed bigint")
+        .mapInPandas(_admissions(window), f"_user {user_type}, _us bigint, _passed bigint"),
+        "rejections",
     )
     # Where an instant is admitted in part, find the last admitted request of it.
     in_instant = Window.partitionBy("_user", "_us").orderBy("_order")

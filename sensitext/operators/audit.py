@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.formats import format_tokens, format_usd
+from ..functions.formats import format_tokens, format_usd, percent
 from ..settings import DEFAULTS
 from .base import explode_rows, with_once
-from .reuse import cache_stats
-from .spend import spend_by_user, spend_totals
+from .spend import cost_usd, spend_by_user
 
 EVENT = (
     "ts string, event string, items int, types array<string>, method string, path string, src string, msg string"
@@ -134,27 +133,41 @@ def recent_activity(decisions: DataFrame, last: int = DEFAULTS.recent_activity,
 
 
 def dashboard(decisions: DataFrame, settings=DEFAULTS) -> DataFrame:
-    """One row with totals, cache and spend figures; every part is an aggregate of the same log."""
-    used = decisions.filter("input_tokens is not null or output_tokens is not null")
-    served = decisions.withColumn(
-        "_key", F.when(F.col("outcome").isin("cache_hit", "forwarded", "failed"), F.col("content_key"))
-    )
-    counted = F.count_if(F.col("outcome").isin("blocked", "cache_hit", "forwarded", "failed"))
-    entered = decisions.agg(
+    """One row with totals, cache and spend figures, in one pass over the decisions.
+
+    Everything is summed per content key first, because the number of stored responses needs each key's
+    last request; requests that never reached the cache share the null key.
+    """
+    outcome = F.col("outcome")
+    asked = outcome.isin("cache_hit", "forwarded", "failed")
+    key = F.when(asked, F.col("content_key"))
+    held = F.struct("ts", "request_id", (F.col("hit") | F.col("stored")).alias("held"))
+    per_key = decisions.groupBy(key.alias("key")).agg(
         F.count("*").alias("requests"),
-        F.coalesce(
-            F.sum(F.when(F.col("outcome").isin("forwarded", "failed"), F.col("items"))), F.lit(0)
-        ).alias("redacted"),
-        counted.alias("accepted"),
-        F.count_if(F.col("outcome") == "rate_limited").alias("blocked_by_rate"),
+        F.sum(F.when(outcome.isin("forwarded", "failed"), F.col("items"))).alias("redacted"),
+        F.count_if(outcome.isin("blocked", "cache_hit", "forwarded", "failed")).alias("accepted"),
+        F.count_if(outcome == "rate_limited").alias("blocked_by_rate"),
+        F.count_if(outcome == "cache_hit").alias("hits"),
+        F.count_if(outcome.isin("forwarded", "failed")).alias("misses"),
+        F.max(F.when(asked, held)).alias("last"),
+        F.sum("input_tokens").alias("input_tokens"),
+        F.sum("output_tokens").alias("output_tokens"),
+    )
+
+    def total(name: str) -> Column:
+        return F.coalesce(F.sum(name), F.lit(0).cast("bigint"))
+
+    figures = per_key.agg(
+        *[total(c).alias(c) for c in ("requests", "redacted", "accepted", "blocked_by_rate", "hits", "misses")],
+        F.count_if("last.held").alias("entries"),
+        F.lit(settings.cache_max_entries).cast("bigint").alias("max_entries"),
+        total("input_tokens").alias("total_input"),
+        total("output_tokens").alias("total_output"),
     )
-    one = F.lit(1).alias("_one")
-    spend = spend_totals(used, settings.price_in, settings.price_out)
-    parts = [entered, cache_stats(served, key="_key", max_entries=settings.cache_max_entries), spend]
-    first, *rest = [p.select(one, "*") for p in parts]
-    for part in rest:
-        first = first.join(part, "_one")
-    return first.drop("_one").withColumns(
+    spent = cost_usd(F.col("total_input"), F.col("total_output"), settings.price_in, settings.price_out)
+    return figures.withColumns(
+        {"hit_rate": percent(F.col("hits"), F.col("hits") + F.col("misses")), "total_usd": spent}
+    ).withColumns(
         {
             "spend_text": format_usd(F.col("total_usd")),
             "input_text": format_tokens(F.col("total_input")),

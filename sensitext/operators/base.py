@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,9 +38,17 @@ def literal_rows(spark: SparkSession, rows: Iterable[tuple], names: list[str]) -
     return spark.range(1).select(F.inline(F.array(*made)))
 
 
-def key_runs(batch: pd.DataFrame, names: list[str]) -> Iterator[tuple[tuple, int, int]]:
-    """(key, from, to) for each stretch of equal keys in a sorted batch."""
-    keys = batch[names]
-    starts = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
-    for at, end in zip(starts, [*starts[1:], len(batch)]):
-        yield tuple(keys.iloc[at]), int(at), int(end)
+def run_splitter() -> Callable[[pd.DataFrame, list[str]], Iterator[tuple[tuple, int, int]]]:
+    """A function that gives (key, from, to) for each stretch of equal keys in a sorted batch.
+
+    Made inside a function so that it travels to the Python workers by value: they need not have this
+    package installed.
+    """
+
+    def runs(batch: pd.DataFrame, names: list[str]) -> Iterator[tuple[tuple, int, int]]:
+        keys = batch[names]
+        starts = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
+        for at, end in zip(starts, [*starts[1:], len(batch)]):
+            yield tuple(keys.iloc[at]), int(at), int(end)
+
+    return runs

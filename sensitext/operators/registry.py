@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..settings import cut_lineage
+
 TOKEN = "struct<key:string,label:string,created_at:timestamp,expires_at:timestamp,revoked:boolean>"
 USERS = (
     "id string, name string, email string, group string, rate_limit int, created_at timestamp, "
@@ -66,12 +68,12 @@ def users(registry: DataFrame) -> DataFrame:
 
 
 def user_by_id(registry: DataFrame, user_id: str) -> DataFrame:
-    """The user with this id; an unknown id gives an error row when the frame is evaluated."""
-    wanted = registry.sparkSession.range(1).select(F.lit(user_id).alias("wanted"))
-    found = F.broadcast(wanted).join(registry, F.col("wanted") == F.col("id"), "left")
-    unknown = F.raise_error(F.concat(F.lit("user not found: "), F.col("wanted")))
-    checked = F.when(F.col("id").isNull(), unknown.cast("string")).otherwise(F.col("id"))
-    return found.withColumn("id", checked).drop("wanted")
+    """The user with this id; an unknown id raises an error when the frame is evaluated."""
+    whole = F.struct(*[F.col(c) for c in registry.columns])
+    found = registry.filter(F.col("id") == user_id).agg(F.first(whole).alias("u"))
+    unknown = F.raise_error(F.lit(f"user not found: {user_id}")).cast("string")
+    checked = found.withColumn("id", F.when(F.col("u").isNull(), unknown).otherwise(F.col("u.id")))
+    return checked.select("id", *[F.col(f"u.{c}") for c in registry.columns if c != "id"])
 
 
 def judge_changes(registry: DataFrame, changes: DataFrame) -> DataFrame:
@@ -128,7 +130,7 @@ def judge_changes(registry: DataFrame, changes: DataFrame) -> DataFrame:
 
 def apply_registry_changes(registry: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(the registry after the changes in ``seq`` order, the rejected changes with their error)."""
-    judged = judge_changes(registry, changes)
+    judged = cut_lineage(judge_changes(registry, changes), "judged-changes")
     applied = judged.filter("error is null")
     resets = applied.filter(F.col("op").isin("create_user", "delete_user")).groupBy("user_id").agg(
         F.max(

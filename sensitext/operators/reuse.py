@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.formats import percent
 from ..settings import DEFAULTS
-from .base import key_runs
+from .base import run_splitter
 
 
 def content_key(body: Column, *more: Column) -> Column:
@@ -35,11 +35,13 @@ def _anchors(lifetime: int):
     From one store it jumps to the first instant after that store has expired.
     """
 
+    runs = run_splitter()
+
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, stored_at = None, 0
         for batch in batches:
             times, stores = batch["_us"].to_numpy(), []
-            for key, i, end in key_runs(batch, ["_key", "_stretch"]):
+            for key, i, end in runs(batch, ["_key", "_stretch"]):
                 if key == current:
                     i += int(np.searchsorted(times[i:end], stored_at + lifetime, side="right"))
                 while i < end:

@@ -23,6 +23,7 @@ from ..functions.spans import (
     token_entries,
     tokenized_column,
 )
+from ..settings import cut_lineage
 from .base import explode_rows, with_once
 from .detect import scan
 from .ordering import rank_rows
@@ -117,13 +118,18 @@ def redact_table(
     """Redacts with one numbering per scope: (the table with ``redacted``, ``items``, ``types``; its token map).
 
     Rows are numbered in the order of ``keys``, which must identify a row. The texts are shuffled once, to
-    meet their placeholders; everything else moves matches only.
+    meet their placeholders; everything else moves matches only. Matches and tokens, with raw values, go
+    to the scratch folder when this function is called.
     """
     columns = list(dict.fromkeys([*keys, *scope, text]))
-    found = explode_rows(
-        scan(df.select(*columns), text, rules, "_m"), list(dict.fromkeys([*keys, *scope])), "_m", "start"
+    # The texts are scanned once; the matches, which are small next to them, are read three times.
+    found = cut_lineage(
+        explode_rows(
+            scan(df.select(*columns), text, rules, "_m"), list(dict.fromkeys([*keys, *scope])), "_m", "start"
+        ),
+        "findings",
     )
-    tokens = assign_tokens(found, scope, keys)
+    tokens = cut_lineage(assign_tokens(found, scope, keys), "tokens")
     spans = (
         found.alias("f")
         .join(tokens.alias("t"), _same("f", "t", [*scope, "value"]))

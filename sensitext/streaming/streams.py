@@ -88,33 +88,34 @@ def stream_repeat_filter(
     return keyed.withWatermark(ts, lateness).dropDuplicatesWithinWatermark(["content_key"])
 
 
-class _RateLimiter(StatefulProcessor):
-    """Per user: the times of the admitted requests still inside the window (at most ``limit``)."""
-
-    def __init__(self, window: int):
-        self.window = window
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("admitted", "times array<bigint>")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        times = list(self.state.get()[0]) if self.state.exists() else []
-        # A micro-batch may deliver one user's rows in several pieces and in any order.
-        batch = pd.concat(list(rows)).sort_values(["us", "request_id"])
-        passed = []
-        for now, limit in zip(batch["us"].tolist(), batch["rate_limit"].tolist()):
-            times = [t for t in times if t > now - self.window]
-            ok = not limit or limit <= 0 or len(times) < limit
-            if ok and limit and limit > 0:
-                times.append(now)
-            passed.append(ok)
-        self.state.update((times,))
-        yield pd.DataFrame(
-            {"request_id": batch["request_id"], "user_id": key[0], "us": batch["us"], "admitted": passed}
-        )
-
-    def close(self) -> None:
-        pass
+def _rate_limiter(window: int) -> StatefulProcessor:
+    # The class is local so that it travels to the Python workers by value.
+    class RateLimiter(StatefulProcessor):
+        """Per user: the times of the admitted requests still inside the window (at most ``limit``)."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.state = handle.getValueState("admitted", "times array<bigint>")
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+            times = list(self.state.get()[0]) if self.state.exists() else []
+            # A micro-batch may deliver one user's rows in several pieces and in any order.
+            batch = pd.concat(list(rows)).sort_values(["us", "request_id"])
+            passed = []
+            for now, limit in zip(batch["us"].tolist(), batch["rate_limit"].tolist()):
+                times = [t for t in times if t > now - window]
+                ok = limit <= 0 or len(times) < limit
+                if ok and limit > 0:
+                    times.append(now)
+                passed.append(ok)
+            self.state.update((times,))
+            yield pd.DataFrame(
+                {"request_id": batch["request_id"], "user_id": key[0], "us": batch["us"], "admitted": passed}
+            )
+
+        def close(self) -> None:
+            pass
+
+    return RateLimiter()
 
 
 def stream_rate_limit(
@@ -132,45 +133,45 @@ def stream_rate_limit(
         F.coalesce(F.col(limit), F.lit(0)).cast("bigint").alias("rate_limit"),
     )
     return rows.groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=_RateLimiter(window_seconds * 1_000_000),
+        statefulProcessor=_rate_limiter(window_seconds * 1_000_000),
         outputStructType="request_id bigint, user_id string, us bigint, admitted boolean",
         outputMode="Append",
         timeMode="None",
     )
 
 
-class _ResponseStore(StatefulProcessor):
-    """Per content key: when its response was stored."""
-
-    def __init__(self, lifetime: int):
-        self.lifetime = lifetime
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("stored", "us bigint, request_id bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        stored = tuple(self.state.get()) if self.state.exists() else None
-        batch = pd.concat(list(rows)).sort_values(["us", "request_id"])
-        hits, sources = [], []
-        for now, request, status in zip(batch["us"].tolist(), batch["request_id"].tolist(), batch["status"].tolist()):
-            hit = stored is not None and now - stored[0] <= self.lifetime
-            if not hit:
-                stored = (now, request) if 200 <= status <= 299 else None
-            hits.append(hit)
-            sources.append(stored[1] if stored else None)
-        if stored:
-            self.state.update(stored)
-        else:
-            self.state.clear()
-        yield pd.DataFrame(
-            {
-                "request_id": batch["request_id"], "content_key": key[0], "hit": hits,
-                "source_id": pd.array(sources, dtype="Int64"),
-            }
-        )
-
-    def close(self) -> None:
-        pass
+def _response_store(lifetime: int) -> StatefulProcessor:
+    class ResponseStore(StatefulProcessor):
+        """Per content key: when its response was stored, and for which request."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.state = handle.getValueState("stored", "us bigint, request_id bigint")
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+            stored = tuple(self.state.get()) if self.state.exists() else None
+            batch = pd.concat(list(rows)).sort_values(["us", "request_id"])
+            hits, sources = [], []
+            for now, request, status in batch[["us", "request_id", "status"]].itertuples(index=False):
+                hit = stored is not None and now - stored[0] <= lifetime
+                if not hit:
+                    stored = (int(now), int(request)) if 200 <= status <= 299 else None
+                hits.append(hit)
+                sources.append(stored[1] if stored else None)
+            if stored:
+                self.state.update(stored)
+            else:
+                self.state.clear()
+            yield pd.DataFrame(
+                {
+                    "request_id": batch["request_id"], "content_key": key[0], "hit": hits,
+                    "source_id": pd.array(sources, dtype="Int64"),
+                }
+            )
+
+        def close(self) -> None:
+            pass
+
+    return ResponseStore()
 
 
 def stream_cache_hits(
@@ -185,7 +186,7 @@ def stream_cache_hits(
     )
     lifetime = (ttl_seconds if ttl_seconds > 0 else DEFAULTS.cache_ttl_seconds) * 1_000_000
     return rows.groupBy("content_key").transformWithStateInPandas(
-        statefulProcessor=_ResponseStore(lifetime),
+        statefulProcessor=_response_store(lifetime),
         outputStructType="request_id bigint, content_key string, hit boolean, source_id bigint",
         outputMode="Append",
         timeMode="None",
