@@ -26,11 +26,12 @@ def fold_emit(
     carry: Column,
     step: Callable[[Column, Column], tuple[Column, Column, Column]],
     element: str,
+    skip_carry: bool = False,
 ) -> Column:
     """Left fold that may emit one element per item.
 
-    ``step(carry, item)`` gives (next carry, emit?, element); when nothing is emitted the carry stays.
-    Elements go to an open chunk first, so the cost of appending does not grow with the whole result.
+    ``step(carry, item)`` gives (next carry, emit?, element). The carry moves on with every item, unless
+    ``skip_carry``: then items that emit nothing leave it as it was. Elements go to an open chunk first, so the cost of appending does not grow with the whole result.
     """
 
     def state(next_carry: Column, open_chunk: Column, closed: Column) -> Column:
@@ -40,7 +41,8 @@ def fold_emit(
         next_carry, emit, out = step(acc["carry"], item)
         append = state(next_carry, F.concat(acc["chunk"], F.array(out)), acc["closed"])
         roll = state(next_carry, F.array(out), F.concat(acc["closed"], F.array(acc["chunk"])))
-        return F.when(~emit, acc).when(F.size(acc["chunk"]) < _CHUNK, append).otherwise(roll)
+        kept = acc if skip_carry else state(next_carry, acc["chunk"], acc["closed"])
+        return F.when(~emit, kept).when(F.size(acc["chunk"]) < _CHUNK, append).otherwise(roll)
 
     return F.aggregate(
         items,

@@ -21,40 +21,52 @@ _RAW = "struct<start:int,neg_end:int,rule:int,type:string,value:string>"
 # Placeholder as written into redacted text: [TYPE_n].
 ANY_PLACEHOLDER = r"\[[^\[\]]+_[0-9]+\]"
 
+# Set around matches to cut a text at them.
+_MARK = "\x00"
+
 # From this many replacements on, a text is cut into blocks so that each piece is read near its place.
 _MANY = 32
 _BLOCK = 4096
 
 
-def _pieces_between(text: Column, regex: str) -> Column:
-    """Matches paired with the text before each; the last pair holds the rest and no match."""
-    return F.arrays_zip(F.split(text, regex, -1), F.regexp_extract_all(text, F.lit(regex), F.lit(0)))
+def _pieces(text: Column, regex: str) -> Column:
+    """The text cut at the matches of one rule: text before, match, text before, match, ..., rest.
+
+    Matches are set between marks and the text is split at the marks, so that the pattern runs once. A text
+    that holds the mark itself is matched and split in two runs.
+    """
+    marked = F.split(F.regexp_replace(text, regex, f"{_MARK}$0{_MARK}"), _MARK, -1)
+    pairs = F.arrays_zip(F.split(text, regex, -1), F.regexp_extract_all(text, F.lit(regex), F.lit(0)))
+    two_runs = F.flatten(
+        F.transform(pairs.cast("array<struct<gap:string,value:string>>"), lambda p: F.array(p["gap"], p["value"]))
+    )
+    return F.when(text.contains(_MARK), two_runs).otherwise(marked)
 
 
 def _candidates(text: Column, rules: tuple[Rule, ...]) -> Column:
-    """Per rule the (gap, match) pairs; null where the rule's gate says there is no match."""
-    pairs = [F.when(rule.may_match(text), _pieces_between(text, rule.regex)) for rule in rules]
-    return F.array(*pairs).cast("array<array<struct<gap:string,value:string>>>")
+    """Per rule the pieces of the text; null where the rule's gate says there is no match."""
+    return F.array(*[F.when(rule.may_match(text), _pieces(text, rule.regex)) for rule in rules])
 
 
 def _located(candidates: Column, rules: tuple[Rule, ...]) -> Column:
-    """Turns the (gap, match) pairs of all rules into matches with positions, in one fold."""
+    """Turns the pieces of all rules into matches with positions, in one fold."""
     types = F.lit([rule.type for rule in rules])
     items = F.flatten(
         F.filter(
             F.transform(
                 candidates,
-                lambda pairs, i: F.transform(
-                    pairs, lambda p: F.struct(i.alias("rule"), F.length(p["gap"]).alias("gap"), p["value"].alias("value"))
+                lambda pieces, i: F.transform(
+                    pieces,
+                    lambda p, j: F.struct(i.alias("rule"), F.length(p).alias("size"), F.when(j % 2 == 1, p).alias("value")),
                 ),
             ),
-            lambda listed: listed.isNotNull(),
+            lambda listed: listed.isNotNull() & (F.size(listed) > 1),
         )
     )
 
     def step(last: Column, it: Column):
-        start = F.when(last["rule"] == it["rule"], last["end"]).otherwise(F.lit(0)) + it["gap"]
-        end = start + F.length(it["value"])
+        start = F.when(last["rule"] == it["rule"], last["end"]).otherwise(F.lit(0))
+        end = start + it["size"]
         out = F.struct(
             start.alias("start"), (-end).alias("neg_end"), it["rule"].alias("rule"),
             F.get(types, it["rule"]).alias("type"), it["value"].alias("value"),
@@ -94,6 +106,7 @@ def _without_overlaps(raw: Column) -> Column:
         F.lit(0),
         lambda end, m: (-m["neg_end"], m["start"] >= end, _as_match(m)),
         MATCH,
+        skip_carry=True,
     )
 
 
@@ -101,7 +114,7 @@ def resolve_overlaps(matches: Column) -> Column:
     """Applies the overlap rule to ordered matches, for example those of ``scan_text(overlaps=True)``."""
     return let(
         matches,
-        lambda ms: fold_emit(ms, F.lit(0), lambda end, m: (m["end"], m["start"] >= end, m), MATCH),
+        lambda ms: fold_emit(ms, F.lit(0), lambda end, m: (m["end"], m["start"] >= end, m), MATCH, skip_carry=True),
     )
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..settings import cut_lineage
+from .ordering import total_before
 
 TOKEN = "struct<key:string,label:string,created_at:timestamp,expires_at:timestamp,revoked:boolean>"
 USERS = (
@@ -16,6 +17,8 @@ CHANGES = (
     "seq bigint, ts timestamp, op string, user_id string, name string, email string, group string, "
     "rate_limit int, token_key string, label string, expires_in_hours int"
 )
+# Changes of one user are put in order in slices of this many sequence numbers.
+_SEQ_CELL = 100_000
 DEFAULT_GROUP, DEFAULT_LABEL, CONFIG_LABEL = "default", "api-key", "config"
 
 
@@ -97,35 +100,33 @@ def judge_changes(registry: DataFrame, changes: DataFrame) -> DataFrame:
     c = c.join(known, "user_id", "left").join(
         held.withColumn("_held", F.lit(True)), ["user_id", "token_key"], "left"
     )
-    reset = F.when((F.col("op") == "create_user") & (F.coalesce("name", F.lit("")) != ""), "create_user").when(
-        F.col("op") == "delete_user", "delete_user"
-    )
-    earlier = Window.partitionBy("user_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("_reset", reset)
-    c = c.withColumns(
-        {
-            "era": F.count("_reset").over(earlier),
-            "_exists": F.coalesce(
-                F.last("_reset", ignorenulls=True).over(earlier) == "create_user",
-                F.col("_known"),
-                F.lit(False),
-            ),
-        }
-    )
-    added = F.max((F.col("op") == "add_token") & F.col("_exists")).over(
-        Window.partitionBy("user_id", "token_key", "era")
-        .orderBy("seq")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    has_token = F.coalesce(added, F.lit(False)) | ((F.col("era") == 0) & F.coalesce("_held", F.lit(False)))
+    resets_user = ((F.col("op") == "create_user") & (F.coalesce("name", F.lit("")) != "")) | (
+        F.col("op") == "delete_user"
+    )
+    c = c.withColumn("_reset", resets_user.cast("int"))
+    c = total_before(c, ["user_id"], ["seq"], F.expr(f"seq div {_SEQ_CELL}"), {"era": "_reset"})
+    # What began an era says whether the user is there in it; before the first reset the registry does.
+    began = c.filter("_reset = 1").select("user_id", (F.col("era") + 1).alias("era"), F.col("op").alias("_began"))
+    c = c.join(began, ["user_id", "era"], "left").withColumn(
+        "_exists", F.coalesce(F.col("_began") == "create_user", F.col("_known"), F.lit(False))
+    )
+    added = (
+        c.filter((F.col("op") == "add_token") & F.col("_exists"))
+        .groupBy("user_id", "token_key", "era")
+        .agg(F.min("seq").alias("_added"))
+    )
+    c = c.join(added, ["user_id", "token_key", "era"], "left")
+    has_token = F.coalesce(F.col("_added") < F.col("seq"), F.lit(False)) | (
+        (F.col("era") == 0) & F.coalesce("_held", F.lit(False))
+    )
     no_user = F.concat(F.lit("user not found: "), F.coalesce("user_id", F.lit("")))
     error = (
-        F.when(F.col("op") == "create_user", F.when(F.col("_reset").isNull(), F.lit("Name is required")))
+        F.when(F.col("op") == "create_user", F.when(F.col("_reset") == 0, F.lit("Name is required")))
         .when(F.coalesce("user_id", F.lit("")) == "", F.lit("user_id is required"))
         .when(~F.col("_exists"), no_user)
         .when((F.col("op") == "revoke_token") & ~has_token, F.lit("token not found"))
     )
-    return c.withColumn("error", error).drop("_known", "_held", "_reset", "_exists")
+    return c.withColumn("error", error).drop("_known", "_held", "_reset", "_exists", "_began", "_added")
 
 
 def apply_registry_changes(registry: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
