@@ -1,6 +1,7 @@
 """Detection rules: an ordered, immutable list of (type, pattern) with cheap gates.
 
-A *gate* is a condition every text with a match must meet. Gates decide, inside generated code, whether a
+A *gate* is a condition every text with a match must meet: it holds all ``literals``, one of ``any_of``, a match of
+``gate`` (or one of ``gate_start`` in its first 40 characters). Gates decide, inside generated code, whether a
 text is worth the exact pattern, so most texts never reach a look-around.
 """
 
@@ -10,12 +11,16 @@ from dataclasses import dataclass, replace
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 from .patterns import check_pattern, to_spark_regex
 
 # Gates shared by several rules (regular expressions that hold wherever the rule can match).
 DIGIT_GROUPS = r"[0-9][0-9\t\n\f\r .()-]{8}"
-LONG_RUN = r"(?<![+-z])[+-z]{40}"
+# A run of 40 after some other character or at the start of the text; one range holds all characters of
+# the run, and testing for what comes before it skips the inside of shorter runs.
+LONG_RUN = r"[^+-z][+-z]{40}"
+LONG_START = r"\A[+-z]{40}"
 
 
 @dataclass(frozen=True)
@@ -25,6 +30,7 @@ class Rule:
     literals: tuple[str, ...] = ()
     gate: str | None = None
     any_of: tuple[str, ...] = ()
+    gate_start: str | None = None
 
     @cached_property
     def regex(self) -> str:
@@ -36,7 +42,10 @@ class Rule:
         if self.any_of:
             tests.append(reduce(lambda a, b: a | b, [text.contains(word) for word in self.any_of]))
         if self.gate:
-            tests.append(text.rlike(self.gate))
+            inside = text.rlike(self.gate)
+            if self.gate_start:
+                inside = inside | F.substring(text, 1, 40).rlike(self.gate_start)
+            tests.append(inside)
         if not tests:
             tests.append(text.rlike(self.regex))
         return reduce(lambda a, b: a & b, tests)
@@ -59,8 +68,8 @@ BUILTIN = (
     Rule("API_KEY", r"\bglpat-[a-zA-Z0-9\-_]{20,}\b", literals=("glpat-",)),
     Rule("API_KEY", r"\bxoxb-[a-zA-Z0-9\-]+\b", literals=("xoxb-",)),
     Rule("API_KEY", r"\bAIza[a-zA-Z0-9_\-]{35}\b", literals=("AIza",)),
-    Rule("API_KEY", r"\b[A-Z0-9]{20}:[a-zA-Z0-9/+]{40}\b", gate=LONG_RUN),
-    Rule("SECRET", r"\b[A-Za-z0-9+/]{40,}={0,2}\b", gate=LONG_RUN),
+    Rule("API_KEY", r"\b[A-Z0-9]{20}:[a-zA-Z0-9/+]{40}\b", gate=LONG_RUN, gate_start=LONG_START),
+    Rule("SECRET", r"\b[A-Za-z0-9+/]{40,}={0,2}\b", gate=LONG_RUN, gate_start=LONG_START),
     Rule("PASSWORD", r"""(?i)(?:password|passwd|pwd)\s*[:=]\s*["']?([^\s"']+)["']?""",
          gate=r"[wW](?:[oO][rR])?[dD][\t\n\f\r ]*[:=]"),
     Rule("PATH", r"""(?i)[A-Z]:\\Users\\[^\\]+\\[^\s"']+""", literals=(":\\",)),

@@ -97,9 +97,11 @@ def gateway_decisions(
         }
     )
     if users is not None and settings.budgets:
+        # Requests let in without a key have no budget.
+        rows = rows.withColumn("_group", F.when(F.col("user_id").isNotNull(), F.col("group")))
         rows = budget_gate(
-            rows, settings.budgets, price_in=settings.price_in, price_out=settings.price_out
-        ).drop("spent_before")
+            rows, settings.budgets, group="_group", price_in=settings.price_in, price_out=settings.price_out
+        ).drop("spent_before", "_group")
     else:
         rows = rows.withColumn("budget_error", F.lit(None).cast("string"))
     if use_cache:

@@ -44,16 +44,20 @@ def build_session(app: str = "sensitext", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+_LOCAL_SCRATCH: dict[str, str] = {}
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``. Only a local session may do without it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="sensitext-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_SCRATCH:
+        _LOCAL_SCRATCH[application] = tempfile.mkdtemp(prefix="sensitext-")
+    return _LOCAL_SCRATCH[application]
 
 
 def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
