@@ -58,6 +58,8 @@ from .sources.tables import (
     read_registry_changes,
     read_requests,
     read_responses,
+    spread,
+    stream_audit,
     stream_requests,
     write_audit,
     write_registry,

@@ -1,7 +1,9 @@
 """Column expressions for matches inside one text: find, resolve overlaps, number, replace, restore.
 
 A match is ``struct<start:int,end:int,type:string,value:string>`` with half-open character offsets.
-Everything here is a row-local expression: no shuffle, no Python worker.
+Everything here is a row-local expression: no shuffle, no Python worker. Scan, numbering and replacement go
+into a DataFrame one after the other (``operators/base.py: with_tokens``): nested into one expression they
+would need more passes of the analyzer than it makes.
 """
 
 from __future__ import annotations
@@ -11,12 +13,11 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .arrays import empty_array, fold_emit, let, remembered
+from .arrays import empty_array, let, remembered, running_max, running_sum
 from .rules import Rule, Rules
 
 MATCH = "struct<start:int,end:int,type:string,value:string>"
 TOKENIZED = "struct<start:int,end:int,type:string,value:string,token:string,token_type:string,ordinal:int>"
-_RAW = "struct<start:int,neg_end:int,rule:int,type:string,value:string>"
 
 # Placeholder as written into redacted text: [TYPE_n].
 ANY_PLACEHOLDER = r"\[[^\[\]]+_[0-9]+\]"
@@ -37,9 +38,9 @@ def _pieces(text: Column, regex: str) -> Column:
     """
     marked = F.split(F.regexp_replace(text, regex, f"{_MARK}$0{_MARK}"), _MARK, -1)
     pairs = F.arrays_zip(F.split(text, regex, -1), F.regexp_extract_all(text, F.lit(regex), F.lit(0)))
-    two_runs = F.flatten(
-        F.transform(pairs.cast("array<struct<gap:string,value:string>>"), lambda p: F.array(p["gap"], p["value"]))
-    )
+    named = pairs.cast("array<struct<gap:string,value:string>>")
+    # The rest of the text has no match after it.
+    two_runs = F.array_compact(F.flatten(F.transform(named, lambda p: F.array(p["gap"], p["value"]))))
     return F.when(text.contains(_MARK), two_runs).otherwise(marked)
 
 
@@ -48,32 +49,45 @@ def _candidates(text: Column, rules: tuple[Rule, ...]) -> Column:
     return F.array(*[F.when(rule.may_match(text), _pieces(text, rule.regex)) for rule in rules])
 
 
-def _located(candidates: Column, rules: tuple[Rule, ...]) -> Column:
-    """Turns the pieces of all rules into matches with positions, in one fold."""
+def _located(text: Column, candidates: Column, rules: tuple[Rule, ...]) -> Column:
+    """Turns the pieces of all rules into matches with positions.
+
+    The pieces of one rule add up to the text, so one running sum over all pieces gives the positions in
+    the k-th listed rule after k text lengths are taken off.
+    """
     types = F.lit([rule.type for rule in rules])
+    listed = F.filter(
+        F.transform(candidates, lambda pieces, i: F.struct(i.alias("rule"), pieces.alias("pieces"))),
+        lambda r: F.size(r["pieces"]) > 1,
+    )
     items = F.flatten(
-        F.filter(
-            F.transform(
-                candidates,
-                lambda pieces, i: F.transform(
-                    pieces,
-                    lambda p, j: F.struct(i.alias("rule"), F.length(p).alias("size"), F.when(j % 2 == 1, p).alias("value")),
+        F.transform(
+            listed,
+            lambda r, k: F.transform(
+                r["pieces"],
+                lambda p, j: F.struct(
+                    r["rule"].alias("rule"), k.alias("nth"), F.length(p).alias("size"),
+                    F.when(j % 2 == 1, p).alias("value"),
                 ),
             ),
-            lambda listed: listed.isNotNull() & (F.size(listed) > 1),
         )
     )
 
-    def step(last: Column, it: Column):
-        start = F.when(last["rule"] == it["rule"], last["end"]).otherwise(F.lit(0))
-        end = start + it["size"]
-        out = F.struct(
-            start.alias("start"), (-end).alias("neg_end"), it["rule"].alias("rule"),
-            F.get(types, it["rule"]).alias("type"), it["value"].alias("value"),
-        )
-        return F.struct(it["rule"].alias("rule"), end.alias("end")), it["value"].isNotNull(), out
+    def placed(its: Column) -> Column:
+        def with_ends(args: Column) -> Column:
+            def match(it: Column, i: Column) -> Column:
+                end = F.get(args["ends"], i) - it["nth"] * args["length"]
+                return F.struct(
+                    (end - it["size"]).alias("start"), (-end).alias("neg_end"), it["rule"].alias("rule"),
+                    F.get(types, it["rule"]).alias("type"), it["value"].alias("value"),
+                )
+
+            return F.filter(F.transform(its, match), lambda m: m["value"].isNotNull())
 
-    return fold_emit(items, F.struct(F.lit(-1).alias("rule"), F.lit(0).alias("end")), step, _RAW)
+        ends = running_sum(F.transform(its, lambda it: it["size"]))
+        return let(F.struct(ends.alias("ends"), F.length(text).alias("length")), with_ends)
+
+    return let(items, placed)
 
 
 def _as_match(raw: Column) -> Column:
@@ -87,35 +101,72 @@ def _as_match(raw: Column) -> Column:
 
 def _first_per_span(raw: Column) -> Column:
     """Sorted candidates; the same value at the same place is kept for the first rule only."""
-    return fold_emit(
-        raw,
-        F.struct(F.lit(-1).alias("start"), F.lit(0).alias("neg_end")),
-        lambda last, m: (
-            F.struct(m["start"].alias("start"), m["neg_end"].alias("neg_end")),
-            (m["start"] != last["start"]) | (m["neg_end"] != last["neg_end"]),
-            _as_match(m),
-        ),
-        MATCH,
-    )
+
+    def is_first(m: Column, i: Column) -> Column:
+        last = F.get(raw, i - 1)
+        return (i == 0) | (m["start"] != last["start"]) | (m["neg_end"] != last["neg_end"])
+
+    return F.transform(F.filter(raw, is_first), _as_match)
 
 
-def _without_overlaps(raw: Column) -> Column:
-    """Earliest first, longest first on ties; a match starting inside a kept one is dropped whole."""
-    return fold_emit(
-        raw,
-        F.lit(0),
-        lambda end, m: (-m["neg_end"], m["start"] >= end, _as_match(m)),
-        MATCH,
-        skip_carry=True,
+def _fold_cluster(cluster: Column) -> Column:
+    """Keeps what starts after the last kept match ends; only integers travel through the fold."""
+    first_end = F.get(cluster, F.lit(0))["end"]
+
+    def step(acc: Column, m: Column) -> Column:
+        taken = F.struct(m["end"].alias("end"), F.concat(acc["kept"], F.array(m["i"])).alias("kept"))
+        return F.when(m["start"] >= acc["end"], taken).otherwise(acc)
+
+    # Whatever starts inside the first match goes at once, which is most of a large cluster.
+    later = F.filter(
+        F.transform(cluster, lambda m, i: F.struct(m["start"].alias("start"), m["end"].alias("end"), i.alias("i"))),
+        lambda m: m["start"] >= first_end,
+    )
+    kept = F.aggregate(
+        later,
+        F.struct(first_end.alias("end"), F.array(F.lit(0)).alias("kept")),
+        step,
+        lambda acc: acc["kept"],
     )
+    return F.transform(kept, lambda i: F.get(cluster, i))
+
+
+def _without_overlaps(matches: Column) -> Column:
+    """Earliest first, longest first on ties; a match starting inside a kept one is dropped whole.
+
+    Where a match starts at or after every earlier end, nothing before it matters: such places cut the
+    list into clusters, and only clusters of several matches need the sequential rule.
+    """
+
+    def with_reach(args: Column) -> Column:
+        ms, reach = args["ms"], args["reach"]
+
+        def starts_cluster(i: Column) -> Column:
+            return (i == 0) | (F.get(ms, i)["start"] >= F.get(reach, i - 1))
+
+        def clusters(bounds: Column) -> Column:
+            def cluster(b: Column, k: Column) -> Column:
+                size = F.coalesce(F.get(bounds, k + 1), F.size(ms)) - b
+                part = F.slice(ms, b + 1, size)
+                return F.when(size == 1, part).otherwise(let(part, _fold_cluster))
+
+            resolved = F.flatten(F.transform(bounds, cluster))
+            return F.when(F.size(bounds) == F.size(ms), ms).otherwise(resolved)
+
+        places = F.sequence(F.lit(0), F.size(ms) - 1)
+        return let(F.filter(places, starts_cluster), clusters)
+
+    def prepared(ms: Column) -> Column:
+        reach = running_max(F.transform(ms, lambda m: m["end"]))
+        made = F.struct(ms.alias("ms"), reach.alias("reach"))
+        return F.when(F.size(ms) > 1, let(made, with_reach)).otherwise(ms)
+
+    return let(matches, prepared)
 
 
 def resolve_overlaps(matches: Column) -> Column:
     """Applies the overlap rule to ordered matches, for example those of ``scan_text(overlaps=True)``."""
-    return let(
-        matches,
-        lambda ms: fold_emit(ms, F.lit(0), lambda end, m: (m["end"], m["start"] >= end, m), MATCH, skip_carry=True),
-    )
+    return _without_overlaps(matches)
 
 
 def scan_text(text: Column, rules: Rules = Rules(), overlaps: bool = False) -> Column:
@@ -128,11 +179,12 @@ def scan_text(text: Column, rules: Rules = Rules(), overlaps: bool = False) -> C
         return empty_array(MATCH)
     gates = {rule.gate_key: rule for rule in active}
     candidate = reduce(lambda a, b: a | b, [rule.may_match(text) for rule in gates.values()])
-    resolve = _first_per_span if overlaps else _without_overlaps
-    found = let(
-        F.array_sort(_located(_candidates(text, active), active)),
-        lambda r: F.when(F.size(r) > 0, resolve(r)).otherwise(empty_array(MATCH)),
-    )
+    def resolve(raw: Column) -> Column:
+        if overlaps:
+            return _first_per_span(raw)
+        return _without_overlaps(F.transform(raw, _as_match))
+
+    found = let(F.array_sort(_located(text, _candidates(text, active), active)), resolve)
     return F.when(candidate, found).otherwise(empty_array(MATCH))
 
 
@@ -143,9 +195,9 @@ def scan_column(text: str, rules: Rules, overlaps: bool = False) -> Column:
 
 
 @remembered
-def tokenized_column(text: str, rules: Rules) -> Column:
-    """The matches of a column given by name, numbered within the row."""
-    return number_matches(scan_text(F.col(text), rules))
+def numbered_column(matches: str) -> Column:
+    """``number_matches`` of a column given by name."""
+    return number_matches(F.col(matches))
 
 
 def match_types(matches: Column) -> Column:
@@ -159,10 +211,54 @@ def number_matches(matches: Column) -> Column:
     A value gets a token when it first appears, numbered within the type it has there, and keeps it
     even where a later match gives it another type. Two sorted passes, so long lists stay cheap.
     """
-    by_value = "struct<token_type:string,first:int,start:int,end:int,type:string,value:string>"
 
-    def mark_first(ms: Column) -> Column:
-        items = F.array_sort(
+    def same(field: str, items: Column, m: Column, i: Column) -> Column:
+        return (i > 0) & (F.get(items, i - 1)[field] == m[field])
+
+    def mark_first(items: Column) -> Column:
+        """In the order of (value, start): the start and type of each value's first appearance."""
+        firsts = running_max(F.transform(items, lambda m, i: F.when(same("value", items, m, i), -1).otherwise(i)))
+
+        def marked(places: Column) -> Column:
+            def row(m: Column, i: Column) -> Column:
+                first = F.get(items, F.get(places, i))
+                return F.struct(
+                    first["type"].alias("token_type"), first["start"].alias("first"), m["start"].alias("start"),
+                    m["end"].alias("end"), m["type"].alias("type"), m["value"].alias("value"),
+                )
+
+            return F.transform(items, row)
+
+        return let(firsts, marked)
+
+    def number(items: Column) -> Column:
+        """In the order of (token type, first appearance): values counted within their type."""
+        counted = running_sum(
+            F.transform(
+                items,
+                lambda m, i: F.when(same("token_type", items, m, i) & same("first", items, m, i), 0).otherwise(1),
+            )
+        )
+        type_starts = running_max(
+            F.transform(items, lambda m, i: F.when(same("token_type", items, m, i), -1).otherwise(i))
+        )
+
+        def numbered(args: Column) -> Column:
+            def row(m: Column, i: Column) -> Column:
+                at_start = F.get(args["counted"], F.get(args["type_starts"], i))
+                ordinal = F.get(args["counted"], i) - at_start + 1
+                return F.struct(
+                    m["start"].alias("start"), m["end"].alias("end"), m["type"].alias("type"),
+                    m["value"].alias("value"), placeholder(m["token_type"], ordinal).alias("token"),
+                    m["token_type"].alias("token_type"), ordinal.alias("ordinal"),
+                )
+
+            return F.array_sort(F.transform(items, row))
+
+        return let(F.struct(counted.alias("counted"), type_starts.alias("type_starts")), numbered)
+
+    def by_value(ms: Column) -> Column:
+        return F.array_sort(
             F.transform(
                 ms,
                 lambda m: F.struct(
@@ -172,51 +268,13 @@ def number_matches(matches: Column) -> Column:
             )
         )
 
-        def step(last: Column, m: Column):
-            known = last["value"].eqNullSafe(m["value"])
-            first = F.when(known, last["first"]).otherwise(m["start"])
-            type_ = F.when(known, last["type"]).otherwise(m["type"])
-            carry = F.struct(m["value"].alias("value"), first.alias("first"), type_.alias("type"))
-            out = F.struct(
-                type_.alias("token_type"), first.alias("first"), m["start"].alias("start"),
-                m["end"].alias("end"), m["type"].alias("type"), m["value"].alias("value"),
-            )
-            return carry, F.lit(True), out
-
-        start = F.struct(
-            F.lit(None).cast("string").alias("value"), F.lit(-1).alias("first"),
-            F.lit("").alias("type"),
-        )
-        return fold_emit(items, start, step, by_value)
-
-    def number(items: Column) -> Column:
-        def step(last: Column, m: Column):
-            ordinal = (
-                F.when(last["type"] != m["token_type"], F.lit(1))
-                .when(last["first"] != m["first"], last["n"] + 1)
-                .otherwise(last["n"])
-            )
-            carry = F.struct(
-                m["token_type"].alias("type"), m["first"].alias("first"), ordinal.alias("n")
-            )
-            out = F.struct(
-                m["start"].alias("start"), m["end"].alias("end"), m["type"].alias("type"),
-                m["value"].alias("value"), placeholder(m["token_type"], ordinal).alias("token"),
-                m["token_type"].alias("token_type"), ordinal.alias("ordinal"),
-            )
-            return carry, F.lit(True), out
-
-        start = F.struct(F.lit("").alias("type"), F.lit(-1).alias("first"), F.lit(0).alias("n"))
-        return fold_emit(items, start, step, TOKENIZED)
-
-    numbered = let(
+    return let(
         matches,
         lambda ms: F.when(
             F.size(ms) > 0,
-            F.array_sort(let(F.array_sort(mark_first(ms)), number)),
+            let(F.array_sort(let(by_value(ms), mark_first)), number).cast(f"array<{TOKENIZED}>"),
         ).otherwise(empty_array(TOKENIZED)),
     )
-    return numbered
 
 
 def placeholder(type_: Column, ordinal: Column) -> Column:
@@ -283,7 +341,7 @@ def token_entries(tokenized: Column) -> Column:
 def placeholders_in(text: Column) -> Column:
     """Placeholder-like pieces of a text, as matches of the type ``TOKEN``."""
     rules = (Rule("TOKEN", ANY_PLACEHOLDER, literals=("[",)),)
-    return F.transform(_located(_candidates(text, rules), rules), _as_match)
+    return F.transform(_located(text, _candidates(text, rules), rules), _as_match)
 
 
 def restore_text(text: Column, token_map: Column) -> Column:

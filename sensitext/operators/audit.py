@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -132,9 +134,13 @@ def recent_activity(decisions: DataFrame, last: int = DEFAULTS.recent_activity,
     return newest.orderBy("ts", "request_id", "step")
 
 
-def dashboard(decisions: DataFrame, settings=DEFAULTS) -> DataFrame:
+def dashboard(
+    decisions: DataFrame, settings=DEFAULTS, features: Mapping[str, bool] | None = None
+) -> DataFrame:
     """One row with totals, cache and spend figures, in one pass over the decisions.
 
+    ``features`` (auth, cache, retry, spend, dlp: on or off) is carried along as ``feature_*`` columns.
+
     Everything is summed per content key first, because the number of stored responses needs each key's
     last request; requests that never reached the cache share the null key.
     """
@@ -172,6 +178,7 @@ def dashboard(decisions: DataFrame, settings=DEFAULTS) -> DataFrame:
             "spend_text": format_usd(F.col("total_usd")),
             "input_text": format_tokens(F.col("total_input")),
             "output_text": format_tokens(F.col("total_output")),
+            **{f"feature_{name}": F.lit(on) for name, on in (features or {}).items()},
         }
     )
 

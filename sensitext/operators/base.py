@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.rules import Rules
+from ..functions.spans import numbered_column, scan_column
+
 
 def with_once(df: DataFrame, **columns: Column) -> DataFrame:
     """Adds columns that are evaluated once per row.
@@ -22,6 +25,12 @@ def with_once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.withColumns(hidden).select(*kept, F.inline(F.array(made)))
 
 
+def with_tokens(df: DataFrame, text: str, rules: Rules, out: str) -> DataFrame:
+    """Adds the matches of a text, each with its placeholder in the scope of the row."""
+    scanned = df.withColumn("_scanned", scan_column(text, rules))
+    return with_once(scanned, **{out: numbered_column("_scanned")}).drop("_scanned")
+
+
 def explode_rows(df: DataFrame, keep: list[str], array: str, marker: str) -> DataFrame:
     """One row per array element with the element's fields as columns; rows without elements vanish.
 

@@ -28,9 +28,9 @@ def findings(
 
     ``byte_offsets`` adds ``start_byte`` and ``end_byte``, positions in the UTF-8 form of the text.
     """
-    if not byte_offsets:
-        return explode_rows(scan(df.select(*keys, text), text, rules, "_m"), keys, "_m", "start")
     kept = list(dict.fromkeys([*keys, text]))
+    if not byte_offsets:
+        return explode_rows(scan(df.select(*kept), text, rules, "_m"), keys, "_m", "start")
     rows = explode_rows(scan(df.select(*kept), text, rules, "_m"), kept, "_m", "start")
     before = F.octet_length(F.substring(F.col(text), F.lit(1), F.col("start")))
     return rows.select(
@@ -57,7 +57,7 @@ def pii_counts(
     Partial counts are made before the shuffle, which is on (group, type, value), so a hot group is spread.
     """
     by = by or []
-    rows = explode_rows(scan(df.select(*by, text), text, rules, "_m"), by, "_m", "start")
+    rows = explode_rows(scan(df.select(*dict.fromkeys([*by, text])), text, rules, "_m"), by, "_m", "start")
     if approximate:
         return rows.groupBy(*by, "type").agg(
             F.count("*").alias("findings"), F.approx_count_distinct("value").alias("distinct_values")

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import empty_array
 from ..functions.rules import Rules
-from ..functions.spans import match_types, placeholders_in, tokenized_column
+from ..functions.spans import match_types, placeholders_in
 from ..settings import DEFAULTS, Settings, cut_lineage
 from .access import authenticate, rate_limit
-from .base import with_once
+from .base import with_once, with_tokens
 from .policy import Policy, policy_result
 from .reuse import content_key, ttl_cache_hits
 from .spend import budget_gate, usage_of
@@ -22,7 +22,7 @@ _GROWTH = "struct<token:string,bytes:int>"
 def request_facts(requests: DataFrame, policy: Policy, rules: Rules, key_columns: tuple[str, ...]) -> DataFrame:
     """Everything later steps need from a body, as narrow columns; the body itself goes no further."""
     text = F.col("body")
-    numbered = with_once(requests, _t=tokenized_column("body", rules))
+    numbered = with_tokens(requests, "body", rules, "_t")
     growth = F.array_distinct(
         F.transform(
             "_t",

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import let
 from ..functions.rules import Rules
-from ..functions.spans import number_matches, redaction, resolve_overlaps, scan_column, tokenized_column
-from .base import literal_rows, with_once
+from ..functions.spans import numbered_column, redaction, resolve_overlaps, scan_column
+from .base import literal_rows, with_once, with_tokens
 
 REDACT, BLOCK = "redact", "block"
 MESSAGE = "Request blocked by DLP policy: contains "
@@ -97,9 +97,10 @@ def classify(
     """
     if before_overlap:
         seen = with_once(df, _all=scan_column(text, rules, True))
-        numbered = with_once(seen, _t=number_matches(resolve_overlaps(F.col("_all"))))
+        kept = seen.withColumn("_kept", resolve_overlaps(F.col("_all")))
+        numbered = with_once(kept, _t=numbered_column("_kept")).drop("_kept")
     else:
-        numbered = with_once(df, _t=tokenized_column(text, rules))
+        numbered = with_tokens(df, text, rules, "_t")
     judged = F.col("_all" if before_overlap else "_t")
     rows = with_once(numbered, _p=policy_result(judged, policy))
     return rows.withColumns(redaction(text, "_t")).select("*", "_p.*").drop("_p", "_t", "_all")

@@ -21,10 +21,9 @@ from ..functions.spans import (
     replace_spans,
     restore_text,
     token_entries,
-    tokenized_column,
 )
 from ..settings import cut_lineage
-from .base import explode_rows, with_once
+from .base import explode_rows, with_once, with_tokens
 from .detect import scan
 from .ordering import rank_rows
 
@@ -40,7 +39,7 @@ def redact(
     ``ambiguous`` marks inputs that already hold placeholder-like text and may not restore exactly.
     ``with_map`` adds ``tokens``, a map from placeholder to raw value.
     """
-    scanned = with_once(df, _t=tokenized_column(text, rules))
+    scanned = with_tokens(df, text, rules, "_t")
     columns = dict(redaction(text, "_t"))
     if with_map:
         columns["tokens"] = F.map_from_entries(token_entries(F.col("_t")))
@@ -54,18 +53,17 @@ def restore(df: DataFrame, text: str = "redacted", tokens: str = "tokens", out:
 
 def token_map(df: DataFrame, keys: list[str], text: str = "text", rules: Rules = Rules()) -> DataFrame:
     """One row per distinct value of each row: the keys, token, type, ordinal, value (raw!)."""
-    scanned = with_once(
-        df.select(*dict.fromkeys([*keys, text])),
-        _t=F.array_distinct(
-            F.transform(
-                tokenized_column(text, rules),
-                lambda m: F.struct(
-                    m["token"].alias("token"), m["token_type"].alias("type"),
-                    m["ordinal"].alias("ordinal"), m["value"].alias("value"),
-                ),
-            )
-        ),
+    numbered = with_tokens(df.select(*dict.fromkeys([*keys, text])), text, rules, "_n")
+    distinct = F.array_distinct(
+        F.transform(
+            "_n",
+            lambda m: F.struct(
+                m["token"].alias("token"), m["token_type"].alias("type"),
+                m["ordinal"].alias("ordinal"), m["value"].alias("value"),
+            ),
+        )
     )
+    scanned = numbered.select(*keys, distinct.alias("_t"))
     return explode_rows(scanned, keys, "_t", "token")
 
 

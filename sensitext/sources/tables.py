@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.audit import EVENT, rfc3339
 from ..operators.registry import CHANGES, USERS
@@ -75,18 +76,27 @@ def write_registry(users: DataFrame, snapshot: str) -> None:
     users.write.mode("errorifexists").json(snapshot)
 
 
-def write_audit(events: DataFrame, path: str) -> None:
-    """Appends events as JSON Lines. Empty fields are left out; a missing ``ts`` is filled in."""
+def audit_lines(events: DataFrame) -> DataFrame:
+    """Events in the form they are written: empty fields null (left out of JSON), a missing ``ts`` filled in."""
     filled = events.withColumn("ts", F.coalesce("ts", rfc3339(F.current_timestamp())))
     kept = filled.select(*[part.split()[0] for part in EVENT.split(", ")])
-    kept = kept.withColumns(
+    return kept.withColumns(
         {
             "items": F.when(F.col("items") != 0, F.col("items")),
             "types": F.when(F.size("types") > 0, F.col("types")),
             **{c: F.nullif(F.col(c), F.lit("")) for c in ("method", "path", "src", "msg")},
         }
     )
-    kept.write.mode("append").json(path)
+
+
+def write_audit(events: DataFrame, path: str) -> None:
+    """Appends events as JSON Lines."""
+    audit_lines(events).write.mode("append").json(path)
+
+
+def stream_audit(events: DataFrame, path: str) -> DataStreamWriter:
+    """A writer (to be started by the caller) that appends streamed events as JSON Lines, each exactly once."""
+    return audit_lines(events).writeStream.format("json").outputMode("append").option("path", path)
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:

@@ -417,6 +417,8 @@ def test_audit_and_activity(spark, decided, tmp_path):
     assert (totals.requests, totals.redacted) == (9, 1)
     board = audit.dashboard(decided).head()
     assert (board.hits, board.blocked_by_rate, board.spend_text, board.input_text) == (1, 1, "$3.0000", "1.0M")
+    flagged = audit.dashboard(decided, features={"auth": True, "retry": False}).head()
+    assert flagged.feature_auth and not flagged.feature_retry
     rolled = audit.audit_rollup(events, ["event"]).collect()
     assert sum(r.events for r in rolled) == 7 and {r.bucket for r in rolled} == {T0}
     assert [r.tokens for r in audit.spend_table(decided).collect()] == ["1.0M"]

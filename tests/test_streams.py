@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sensitext.operators import access, policy, reuse, spend, tokens
+from sensitext.operators.audit import EVENT
+from sensitext.sources import tables
 from sensitext.streaming import streams
 
 T0 = datetime(2024, 1, 1)
@@ -119,3 +121,12 @@ def test_repeat_filter(spark, tmp_path):
     df = spark.createDataFrame(rows, "ts timestamp, body string, part int")
     stream = streams.stream_repeat_filter(_files(spark, df, str(tmp_path / "in"), 3))
     assert _run(stream.select("content_key"), tmp_path).count() == 4
+
+
+def test_audit_sink(spark, tmp_path):
+    rows = [(i // 2, "2024-01-01T00:00:0%dZ" % i, "pass", 0, None, "GET", "/v1", "", None) for i in range(4)]
+    events = spark.createDataFrame(rows, "part int, " + EVENT)
+    writer = tables.stream_audit(_files(spark, events, str(tmp_path / "in"), 2), str(tmp_path / "out"))
+    writer.option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
+    lines = sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect())
+    assert lines[0] == '{"ts":"2024-01-01T00:00:00Z","event":"pass","method":"GET","path":"/v1"}' and len(lines) == 4
