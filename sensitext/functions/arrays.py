@@ -9,8 +9,6 @@ from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_BLOCK = 32
-
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often (or deep in lambdas) body uses it."""
@@ -25,8 +23,8 @@ def running(values: Column, combine: Callable[[Column, Column], Column], zero: i
     """Running totals (inclusive) of an integer array under an associative ``combine``.
 
     ``aggregate`` copies its whole state at every step, so a state that collects results costs time in the
-    square of the array. Here each total is put together from its own block and the blocks before it: about
-    n * _BLOCK / 2 + (n / _BLOCK) ** 2 / 2 cheap steps.
+    square of the array. Here each total is put together from its own block of ``width`` and the blocks
+    before it: about n * width / 2 + (n / width) ** 2 / 2 cheap steps.
     """
 
     def total(part: Column) -> Column:
@@ -48,13 +46,18 @@ def running(values: Column, combine: Callable[[Column, Column], Column], zero: i
 
         return let(F.transform(blocks, total), with_totals)
 
-    def cut(whole: Column) -> Column:
-        count = F.floor((F.size(whole) + (_BLOCK - 1)) / _BLOCK).cast("int")
-        starts = F.sequence(F.lit(0), count - 1)
-        blocks = F.transform(starts, lambda k: F.slice(whole, k * _BLOCK + 1, F.lit(_BLOCK)))
+    def cut(args: Column) -> Column:
+        whole, width = args["values"], args["width"]
+        starts = F.sequence(F.lit(0), F.size(whole) - 1, width)
+        blocks = F.transform(starts, lambda at: F.slice(whole, at + 1, width))
         return F.when(F.size(whole) > 0, let(blocks, in_blocks)).otherwise(empty_array("int"))
 
-    return let(values, cut)
+    def with_width(whole: Column) -> Column:
+        # The cube root of 2n makes the two terms of the cost equal.
+        width = F.greatest(F.lit(4), F.floor(F.cbrt(2 * F.size(whole))).cast("int"))
+        return let(F.struct(whole.alias("values"), width.alias("width")), cut)
+
+    return let(values, with_width)
 
 
 def running_sum(values: Column) -> Column:
