@@ -5,8 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from check_oracles import connect, rows
 from conftest import SF
-
-ORACLES = entry.oracle_sql()
+from sensitext.plans import catalog
 
 
 @pytest.fixture(scope="module")
@@ -16,14 +15,15 @@ def duck():
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["lang", "type", "findings", "distinct_values"]
-    assert set(ORACLES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(catalog.QUERIES) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_matches_its_oracle(spark, duck, name):
-    got = entry.queries()[name](spark, SF)
+    got = catalog.QUERIES[name](spark, SF)
     assert len(set(got.columns)) == len(got.columns)
-    if name in ORACLES:
-        assert rows(got.toPandas()) == rows(duck.execute(ORACLES[name]).df())
+    if name in catalog.ORACLES:
+        assert rows(got.toPandas()) == rows(duck.execute(catalog.ORACLES[name]).df())
     else:
         got.collect()
