@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .quality import quality_rules
+from .toxicity import held_out, score_toxicity, train_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op9(spark, sf_dir):
     judged = quality_rules(table(spark, sf_dir, "documents"))
     return judged.drop("class_distance", "word_distance")
+
+
+@query("op1_multiple_instance")
+def op1(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = train_toxicity(docs, labels.filter(~held_out(F.col("doc_id"))))
+    scored = score_toxicity(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
