@@ -88,3 +88,31 @@ from v
 
 
 QUALITY = quality_sql()
+
+
+def near_duplicates_sql(table: str = "documents") -> str:
+    """Links by a join on shingles, components by reachability."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+with recursive d as (
+  select doc_id, regexp_extract_all({lower}, '[^\\x20\\x09-\\x0D]+') as w from {table}),
+sh as (
+  select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from d where len(w) > 0)),
+sz as (select d.doc_id, count(s) as n from d left join sh using (doc_id) group by 1),
+pair as (
+  select a.doc_id as x, b.doc_id as y, count(*) as n from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+link as (
+  select x, y from pair join sz a on a.doc_id = x join sz b on b.doc_id = y
+  where 100 * pair.n >= 75 * (a.n + b.n - pair.n)),
+both_ways as (select x, y from link union all select y, x from link),
+reach as (
+  select doc_id, doc_id as other from sz
+  union
+  select reach.doc_id, both_ways.y from reach join both_ways on both_ways.x = reach.other),
+comp as (select doc_id, min(other) as component_id from reach group by 1)
+select doc_id, n::bigint as n_shingles, component_id, doc_id = component_id as kept from sz join comp using (doc_id)
+"""
+
+
+NEAR_DUPLICATES = near_duplicates_sql()

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
+from .minhash import near_duplicates
 from .quality import quality_rules
 from .toxicity import held_out, score_toxicity, train_toxicity
 
@@ -43,3 +44,8 @@ def op1(spark, sf_dir):
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+@query("op7_fast_similarity_sketching", oracles.NEAR_DUPLICATES)
+def op7(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
