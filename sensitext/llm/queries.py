@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import oracles
 from .minhash import near_duplicates
 from .quality import quality_rules
+from .suffixes import remove_repeated
 from .toxicity import held_out, score_toxicity, train_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +50,9 @@ def op1(spark, sf_dir):
 @query("op7_fast_similarity_sketching", oracles.NEAR_DUPLICATES)
 def op7(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_interval_expansion")
+def op10(spark, sf_dir):
+    left = remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
