@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
 from .minhash import near_duplicates
+from .packing import pack_documents
 from .quality import quality_rules
 from .suffixes import remove_repeated
 from .toxicity import held_out, score_toxicity, train_toxicity
@@ -56,3 +58,8 @@ def op7(spark, sf_dir):
 def op10(spark, sf_dir):
     left = remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op6_length_histogram")
+def op6(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
