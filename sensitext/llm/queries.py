@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
+from .lexicon import build_lexicon, round_trip
 from .minhash import near_duplicates
 from .packing import pack_documents
 from .quality import quality_rules
@@ -63,3 +64,9 @@ def op10(spark, sf_dir):
 @query("op6_length_histogram")
 def op6(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op5_transducer_lexicon")
+def op5(spark, sf_dir):
+    docs, tokenizer = table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
+    return round_trip(docs, tokenizer, build_lexicon(docs, tokenizer))
