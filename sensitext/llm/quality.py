@@ -7,7 +7,8 @@ nearest language is too far away, and only if it is long enough for the histogra
 
 Defined results: a null text counts as empty; a document under the minimum lengths is not judged by the
 divergence (only by the base rules); null languages form a language of their own; with no reference at all
-(empty table) nothing fails the divergence. Repeated rows are judged one by one. Extra columns are ignored.
+(empty table) nothing fails the divergence. Repeated rows are judged one by one. Extra columns pass through; those
+with the name of a result are replaced by it.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..settings import cut_lineage
-from .words import SLICE_BYTES, split_words, text_slices
+from .words import SLICE_BYTES, extended_batch, extended_schema, split_words, text_slices
 
 SPACES = r"\x20\x09-\x0D"
 # The symbols that the base rules count.
@@ -165,14 +167,15 @@ def repeated_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
-RESULT = (
-    "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "base_failed boolean, kept boolean, class_distance double, word_distance double"
+RESULT = T.StructType(
+    [T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    + [T.StructField(c, T.BooleanType()) for c in ("base_failed", "kept")]
+    + [T.StructField(c, T.DoubleType()) for c in ("class_distance", "word_distance")]
 )
 
 
 def judge_quality(docs: DataFrame, references: list[dict], limits: Limits = Limits()) -> DataFrame:
-    """Per document the base counts, the two distances to the nearest language and the verdict."""
+    """All columns of ``docs`` with the base counts, the two distances to the nearest language and the verdict."""
     spec = [(r["classes"], r["words"], r["total"]) for r in references]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,15 +216,10 @@ def judge_quality(docs: DataFrame, references: list[dict], limits: Limits = Limi
             failed = (n_words < 50) | (100 * repeats > 50 * n_words)
             strange = (sizes >= limits.min_chars) & (np.round(far_class, 9) > limits.max_class_distance)
             strange |= (n_words >= limits.min_words) & (np.round(far_word, 9) > limits.max_word_distance)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"), *map(pa.array, (n_words, sizes - spaces, symbols, lines, repeats)),
-                    *map(pa.array, (failed, ~failed & ~strange, far_class, far_word)),
-                ],
-                names=[f.split()[0] for f in RESULT.split(", ")],
-            )
+            found = (n_words, sizes - spaces, symbols, lines, repeats, failed, ~failed & ~strange, far_class, far_word)
+            yield extended_batch(batch, dict(zip(RESULT.names, map(pa.array, found))))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, RESULT)
+    return docs.mapInArrow(run, extended_schema(docs.schema, RESULT.fields))
 
 
 def quality_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:

@@ -36,8 +36,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query("op9_distribution_divergence", oracles.QUALITY)
 def op9(spark, sf_dir):
-    judged = quality_rules(table(spark, sf_dir, "documents"))
-    return judged.drop("class_distance", "word_distance")
+    judged = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    return judged.drop("lang", "text", "class_distance", "word_distance")
 
 
 @query("op1_multiple_instance")

@@ -18,7 +18,8 @@ A suffix array over a whole corpus cannot be split, so strings that may be equal
    the runs between the others are the equal strings.
 
 Defined results: null texts count as empty; rows without doc_id are not compared and keep every byte; of rows with
-equal doc_id neither is earlier than the other at the same place; extra columns are ignored.
+equal doc_id neither is earlier than the other at the same place; extra columns pass through ``remove_repeated``, and
+those with the name of a result are replaced by it.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..settings import cut_lineage
-from .words import mix, text_bytes, text_slices
+from .words import extended_batch, extended_schema, mix, text_bytes, text_slices
 
 _SPREAD = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ODD = [int(x) | 1 for x in mix(np.arange(1000, 1008, dtype=np.uint64))]
@@ -368,14 +369,14 @@ def _compare(sides: DataFrame, p: Passages) -> DataFrame:
     return sides.repartition("key").sortWithinPartitions("key").mapInArrow(run, _GONE)
 
 
-def _tagged(docs: DataFrame) -> DataFrame:
-    tag = F.expr("int(pmod(xxhash64(text), 65536))")
-    return docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("tag", tag)
+def _tag(text: str) -> F.Column:
+    return F.expr(f"int(pmod(xxhash64(`{text}`), 65536))")
 
 
 def repeated_stretches(docs: DataFrame, p: Passages = Passages()) -> DataFrame:
     """(doc_id, tag, start, end): stretches of bytes to remove; they may overlap. ``tag`` is a 16-bit hash of the text."""
-    texts = _tagged(docs.select(F.col("doc_id").cast("long"), "text"))
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.withColumn("tag", _tag("text"))
     met = cut_lineage(_meet(_scan(texts, p), p), "anchors")
     gone = met.filter("gram is null")
     mask = (1 << p.bits) - 1
@@ -417,32 +418,29 @@ def remove_repeated(docs: DataFrame, p: Passages = Passages()) -> DataFrame:
     """All columns of ``docs`` with the text that is left, and columns n_bytes, n_removed, n_spans, kept_sha256.
 
     kept_sha256 is of the remaining bytes. In the text, a character of which only some bytes are left goes too."""
-    given = docs.schema
-    names = {"tag", "stretches"} & set(given.names)
-    if names:
-        raise ValueError(f"columns {sorted(names)} are used here; rename them first")
-    lists = repeated_stretches(docs, p).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("stretches"))
-    lists = lists.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "stretches")
-    texts = _tagged(docs)
-    joined = texts.join(lists, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("tag") == F.col("_tag")), "left")
-    joined = joined.select(*given.names, "stretches")
-    extra = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())]
-    at = given.names.index("text")
+    found = repeated_stretches(docs, p).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("stretches"))
+    # Names that no column of the input has.
+    ident, tag, lists = (f"{c}{'_' * max(map(len, docs.columns))}" for c in ("id", "tag", "stretches"))
+    found = found.select(F.col("doc_id").alias(ident + "2"), F.col("tag").alias(tag + "2"), F.col("stretches").alias(lists))
+    own = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn(ident, F.col("doc_id").cast("long")).withColumn(tag, _tag("text"))
+    joined = own.join(found, (F.col(ident) == F.col(ident + "2")) & (F.col(tag) == F.col(tag + "2")), "left")
+    joined = joined.select(*[f"`{c}`" for c in docs.columns], lists)
+    fields = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
             left, counts, digests = [], [], []
-            texts, lists = batch.column("text").cast(pa.binary()).to_pylist(), batch.column("stretches").to_pylist()
-            for text, own in zip(texts, lists):
+            texts, gaps = batch.column("text").cast(pa.binary()).to_pylist(), batch.column(lists).to_pylist()
+            for text, own in zip(texts, gaps):
                 gone, runs, stay = _kept(text, own)
                 digests.append(hashlib.sha256(b"".join(text[s:e] for s, e in stay)).hexdigest())
                 left.append(b"".join(_characters(text, s, e) for s, e in stay).decode("utf-8") if runs else text.decode("utf-8"))
                 counts.append((len(text), gone, runs))
-            columns = [batch.column(c) for c in given.names]
-            columns[at] = pa.array(left, pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [*columns, *(pa.array(c, pa.int64()) for c in zip(*counts)), pa.array(digests, pa.string())],
-                names=[*given.names, *(f.name for f in extra)],
-            )
-
-    return joined.mapInArrow(run, T.StructType([*given.fields, *extra]))
+            added = dict(zip(("n_bytes", "n_removed", "n_spans"), (pa.array(c, pa.int64()) for c in zip(*counts))))
+            added["kept_sha256"] = pa.array(digests, pa.string())
+            batch = batch.drop_columns([lists]).set_column(at, "text", pa.array(left, pa.string()))
+            yield extended_batch(batch, added)
+
+    schema = docs.schema
+    at = [n.lower() for n in schema.names].index("text")
+    return joined.mapInArrow(run, extended_schema(schema, fields))

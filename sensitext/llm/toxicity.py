@@ -12,7 +12,7 @@ are inflected.
 Defined results: null and empty texts have no sentence and get the leak as score; null or unknown labels are
 not learned from; a document with several labels counts as toxic if one of them says so; without usable
 labels the model has no words and gives every document the same low score. Rows with equal ids are scored one
-by one. Extra columns pass through ``score_toxicity`` untouched.
+by one. Extra columns pass through ``score_toxicity``; one with the name of the score is replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import Words, split_words, text_bytes, text_slices
+from .words import Words, extended_batch, extended_schema, split_words, text_bytes, text_slices
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -220,9 +220,9 @@ def score_toxicity(docs: DataFrame, model: Model, column: str = "score") -> Data
             logits, owner = _sentence_logits(batch.column("text"), model)
             clean = np.bincount(owner, weights=_log_sigmoid(-logits), minlength=batch.num_rows)
             score = 1 - (1 - model.leak) * np.exp(clean)
-            yield batch.append_column(column, pa.array(score))
+            yield extended_batch(batch, {column: pa.array(score)})
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
+    return docs.mapInArrow(run, extended_schema(docs.schema, [T.StructField(column, T.DoubleType())]))
 
 
 def locate_toxic(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:

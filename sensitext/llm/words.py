@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import types as T
 
 SLICE_BYTES = 8 << 20
 
@@ -75,6 +76,18 @@ def split_words(texts: pa.Array) -> Words:
     return Words(ids, bounds, coded.dictionary)
 
 
+def extended_schema(schema: T.StructType, added: list[T.StructField]) -> T.StructType:
+    """The schema with ``added`` at its end; columns of the same name (in any case) are replaced."""
+    names = {f.name.lower() for f in added}
+    return T.StructType([*(f for f in schema.fields if f.name.lower() not in names), *added])
+
+
+def extended_batch(batch: pa.RecordBatch, added: dict[str, pa.Array]) -> pa.RecordBatch:
+    names = {n.lower() for n in added}
+    kept = [n for n in batch.schema.names if n.lower() not in names]
+    return pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *added.values()], names=[*kept, *added])
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads 64-bit numbers over all 64-bit numbers, one to one."""
     x = x ^ (x >> np.uint64(32))
