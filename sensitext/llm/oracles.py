@@ -116,3 +116,62 @@ select doc_id, n::bigint as n_shingles, component_id, doc_id = component_id as k
 
 
 NEAR_DUPLICATES = near_duplicates_sql()
+
+
+def url_verdicts_sql(rules: list[tuple[str, str]], table: str = "pages") -> str:
+    """The longest fitting rule, else what the aliases say, else allow."""
+    listed = ", ".join(f"('{verdict}', '{rule}')" for verdict, rule in rules)
+    return f"""
+with recursive rules as (
+  select verdict, rule, substr(rule, 1, instr(rule, '/') - 1) as rhost, substr(rule, instr(rule, '/')) as rpath
+  from (values {listed}) v(verdict, rule)),
+p as (
+  select row_number() over () as id, page_id, url, html, case when contains(url, '://') then split_part(url, '#', 1) end as address from {table}),
+link as (
+  select id, url, address, unnest([
+    regexp_extract(regexp_extract(html, '(?i)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>'), '(?i)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1),
+    regexp_extract(regexp_extract(html, '(?i)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>'), '(?i)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1)]) as target
+  from p where address is not null),
+edge as (
+  select distinct address as a, split_part(case
+    when contains(t, '://') then t
+    when starts_with(t, '//') then split_part(url, ':', 1) || ':' || t
+    when starts_with(t, '/') then regexp_extract(url, '^(.*?://[^/?#]*)', 1) || t
+    else regexp_extract(url, '^(.*?://[^/?#]*)', 1) || case when folder = '' then '/' else folder end || t end, '#', 1) as b
+  from (select *, replace(target, '&amp;', '&') as t, regexp_replace(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1), '[^/]*$', '') as folder
+        from link where target != '')),
+both_ways as (select a, b from edge union select b, a from edge),
+reach as (select a as node, a as other from both_ways union select r.node, e.b from reach r join both_ways e on e.a = r.other),
+place as (
+  select address as u from p where address is not null union select node from reach),
+parts as (
+  select u, lower(regexp_extract(u, '^.*?://([^/?#]*)', 1)) as host, regexp_extract(u, '^.*?://[^/?#]*([^?#]*)', 1) as path from place),
+own as (
+  select u, arg_max(rule, length(rule)) as rule, arg_max(verdict, length(rule)) as verdict from parts join rules
+    on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) group by u),
+shared as (select r.node, min(own.verdict) as verdict from reach r join own on own.u = r.other group by 1)
+select page_id, coalesce(host, '') as host, coalesce(path, '') as path, rule, coalesce(own.verdict, shared.verdict, 'allow') as verdict
+from p left join parts on parts.u = p.address left join own on own.u = p.address left join shared on shared.node = p.address
+"""
+
+
+def chat_sql(table: str = "conversations") -> str:
+    """Turns in order, digests of what the template must give back, and the template's length."""
+    escaped = "replace(replace({0}, '\\', '\\\\'), '<|', '<\\|')"
+    marks = len("<|im_start|>") + len("\n") + len("<|im_end|>\n")
+    return f"""
+with said as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from {table}
+  union all
+  select -1, turn, role, '<|im_end|><|im_start|>assistant ok' from (values (0, 'user'), (1, 'assistant')) v(turn, role)),
+shown as (select *, length({escaped.format('text')}) + length(replace({escaped.format('role')}, chr(10), '\\' || chr(10))) + {marks} as chars from said)
+select conv_id, count(*)::bigint as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  sum(chars)::bigint as formatted_chars
+from shown group by conv_id
+"""
+
+
+CHAT = chat_sql()
