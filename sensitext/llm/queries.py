@@ -12,6 +12,7 @@ from . import oracles
 from .chat import format_conversations, read_loss, read_turns, turns_in_order
 from .lexicon import build_lexicon, round_trip
 from .minhash import near_duplicates
+from .neighbours import nearest
 from .packing import pack_documents
 from .quality import quality_rules
 from .suffixes import remove_repeated
@@ -104,3 +105,9 @@ def op2(spark, sf_dir):
         F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query("op8_multi_index_hashing")
+def op8(spark, sf_dir):
+    found = nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
