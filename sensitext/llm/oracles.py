@@ -175,3 +175,16 @@ from shown group by conv_id
 
 
 CHAT = chat_sql()
+
+
+def warc_sql(least_revisit: int = 100, table: str = "pages") -> str:
+    return f"""
+with p as (select page_id, encode(coalesce(html, '')) as payload from {table}),
+d as (
+  select page_id, octet_length(payload) as n, sha256(payload) as digest,
+    first_value(page_id) over (partition by payload order by page_id) as first from p)
+select page_id, n::bigint as payload_bytes, digest as payload_digest,
+  case when n >= {least_revisit} and page_id <> first then 'revisit' else 'response' end as record_type,
+  case when n >= {least_revisit} and page_id <> first then first end as refers_to
+from d
+"""

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..settings import scratch_folder
 from . import oracles
 from .chat import format_conversations, read_loss, read_turns, turns_in_order
 from .lexicon import build_lexicon, round_trip
@@ -18,6 +20,7 @@ from .quality import quality_rules
 from .suffixes import remove_repeated
 from .toxicity import held_out, score_toxicity, train_toxicity
 from .urls import judge_urls, page_links, rule_table
+from .warc import read_warc, write_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -111,3 +114,10 @@ def op2(spark, sf_dir):
 def op8(spark, sf_dir):
     found = nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+@query("op4_sharded_writer", oracles.warc_sql())
+def op4(spark, sf_dir):
+    folder = f"{scratch_folder(spark)}/warc-{uuid.uuid4().hex}"
+    read = read_warc(write_warc(table(spark, sf_dir, "pages"), folder), folder, with_payload=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
