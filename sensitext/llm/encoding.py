@@ -22,8 +22,8 @@ from tokenizers import Tokenizer
 
 from .words import Words, split_words
 
-#: Distinct parts and pre-tokens whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 300_000
+#: Distinct parts and pre-tokens whose ids a worker remembers; beyond that it goes on with those of the last slice.
+REMEMBERED = 600_000
 _PLAIN = regex.compile("[\x21-\x7e\xa1-ſ]*").fullmatch
 
 
@@ -104,6 +104,7 @@ class Encoder:
         self.ids_of = ids_of or self.by_library
         self.parts: dict[str, tuple[int, ...]] = {}
         self.words: dict[str, tuple[int, ...]] = {}
+        self.recent: set[str] = set()
 
     def by_library(self, words: list[str]) -> list[tuple[int, ...]]:
         tokenize = self.tokenizer.model.tokenize
@@ -114,11 +115,20 @@ class Encoder:
 
     def pre_tokens(self, part: str) -> list[str] | None:
         """The pre-tokens of a part, or None if the part is to go to the library."""
-        if not part.isascii():
+        if part.isascii():
+            if not part.isprintable() or "<|" in part:
+                return None
+        else:
             part = unicodedata.normalize("NFC", part)
-        if not _PLAIN(part) or "<|" in part:
-            return None
-        return self.cut(part.lower())
+            if not _PLAIN(part) or "<|" in part:
+                return None
+        part = part.lower()
+        # Most parts are letters alone, or with one mark after them; the pattern gives the same.
+        if part.isalpha():
+            return [part]
+        if part[-1:] in (".", ",", "!") and part[:-1].isalpha():
+            return [part[:-1], part[-1]]
+        return self.cut(part)
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and their bounds."""
@@ -127,12 +137,13 @@ class Encoder:
     def of_words(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         spelled = words.vocabulary.to_pylist()
         if len(self.parts) > REMEMBERED:
-            self.parts.clear()
+            self.parts = {part: self.parts[part] for part in spelled if part in self.parts}
         if len(self.words) > REMEMBERED:
-            self.words.clear()
+            self.words = {word: self.words[word] for word in self.recent if word in self.words}
         known = self.parts
         cuts = {part: self.pre_tokens(part) for part in spelled if part not in known}
-        fresh = list(dict.fromkeys(w for cut in cuts.values() if cut for w in cut if w not in self.words))
+        self.recent = {w for cut in cuts.values() if cut for w in cut}
+        fresh = [w for w in self.recent if w not in self.words]
         self.words.update(zip(fresh, self.ids_of(fresh)))
         word = self.words
         for part, cut in cuts.items():
