@@ -36,6 +36,7 @@ def main() -> None:
     spark = build_session(
         "bench", f"local[{cpus}]",
         spark__sql__shuffle__partitions=cpus,
+        spark__sensitext__textPartitions=cpus,
         spark__driver__memory="12g",
         spark__ui__showConsoleProgress="false",
     )

@@ -49,7 +49,7 @@ from .operators.tokens import (
     token_map,
     token_stats,
 )
-from .settings import DEFAULTS, Settings, build_session
+from .settings import DEFAULTS, Settings, build_session, clean_scratch, scratch
 from .sources.catalog import providers, search_providers, with_provider
 from .sources.tables import (
     read_attempts,

@@ -22,8 +22,54 @@ _DIGITS = re.compile(r"\\d(?:\{(\d+)\})?(?![*+?{])")
 _WORD = re.compile(r"[A-Za-z0-9_]+(?![*+?{])")
 _WORD_CLASS = re.compile(r"(?:\\w|\[(?:A-Z|a-z|0-9|_|\\w|\\d)+\])(?![*?]|\{0)")
 _FLAGS = re.compile(r"\(\?([a-zA-Z]*)(-[a-zA-Z]+)?([:)])")
-_UNESCAPED = {"b": BOUNDARY, "B": NOT_BOUNDARY, "s": f"[{SPACE}]", "S": f"[^{SPACE}]"}
-_IN_CLASS = {"s": SPACE, "S": r"\S\x0B"}
+_UNESCAPED = {"b": BOUNDARY, "B": NOT_BOUNDARY, "s": f"[{SPACE}]", "S": f"[^{SPACE}]", "v": r"\x0B", "C": r"[\s\S]"}
+_IN_CLASS = {"s": SPACE, "S": r"\S\x0B", "v": r"\x0B"}
+
+
+def _posix(negated: str, name: str) -> str:
+    """A named ASCII class inside brackets."""
+    if name == "word":
+        return r"\W" if negated else r"\w"
+    return r"\%s{%s}" % ("P" if negated else "p", "XDigit" if name == "xdigit" else "ASCII" if name == "ascii" else name.capitalize())
+
+
+def _optional(pattern: str, opening: int) -> bool:
+    """Whether the group that opens there may be left out, by what follows its closing parenthesis."""
+    depth, i, in_class = 0, opening, False
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "\\":
+            i += 1
+        elif in_class:
+            in_class = ch != "]"
+        elif ch == "[":
+            in_class = True
+            i += len(re.match(r"\[\^?\]?", pattern[i:]).group()) - 1
+        elif ch == "(":
+            depth += 1
+        elif ch == ")":
+            depth -= 1
+            if depth == 0:
+                return bool(re.match(r"[?*]|\{0*[,}]", pattern[i + 1 :]))
+        i += 1
+    return True
+
+
+# What the dialect refuses, though Java reads it: look-around, atomic groups, back references, possessive repeats.
+_REFUSED = (
+    (re.compile(r"\(\?(?:[=!>]|<[=!])"), "look-around and atomic groups"),
+    (re.compile(r"\\(?:[1-9]|k[<{'])"), "back references"),
+    (re.compile(r"(?:[*+?]|\{\d+(?:,\d*)?\})\+"), "possessive repetition"),
+    (re.compile(r"\\[GZRXhHVNuceKy]"), "an escape of another dialect"),
+)
+
+
+def _bare(pattern: str) -> str:
+    """The pattern with literal text, escaped backslashes and the insides of classes blanked out."""
+    bare = re.sub(r"\\Q.*?(?:\\E|$)", "", pattern, flags=re.DOTALL)
+    bare = bare.replace("\\\\", "..")
+    bare = re.sub(r"\\[*+?{}()\[\]|.^$]", "..", bare)
+    return re.sub(r"\[\^?\]?(?:\[:\^?\w+:\]|\\.|[^\]])*\]", "x", bare)
 
 
 def _word_start(pattern: str, i: int) -> tuple[str, int]:
@@ -33,8 +79,9 @@ def _word_start(pattern: str, i: int) -> tuple[str, int]:
     the cheap part first. Gives ("", i) if the boundary has to be tested on both sides.
     """
     start = i
-    # Opening groups may be stepped over only if no alternative could start with something else.
-    while "|" not in pattern and pattern.startswith("(?:", i):
+    # Opening groups may be stepped over only if no alternative could start with something else, and if the
+    # group has to be there.
+    while "|" not in pattern and pattern.startswith("(?:", i) and not _optional(pattern, i):
         i += 3
     opened = pattern[start:i]
     if found := _DIGITS.match(pattern, i):
@@ -50,7 +97,11 @@ def _word_start(pattern: str, i: int) -> tuple[str, int]:
 
 
 def to_spark_regex(pattern: str) -> str:
-    """The Java pattern that matches what ``pattern`` matches in the RE2 dialect."""
+    """The Java pattern that matches what ``pattern`` matches in the RE2 dialect; ValueError for what that dialect lacks."""
+    bare = _bare(pattern)
+    for refused, what in _REFUSED:
+        if refused.search(bare):
+            raise ValueError(f"{what} in {pattern!r}: not part of this dialect")
     multiline = any("m" in flags for flags, _, _ in _FLAGS.findall(pattern))
     out, i, in_class = [], 0, False
     while i < len(pattern):
@@ -69,12 +120,18 @@ def to_spark_regex(pattern: str) -> str:
                     out.append(checked)
                     i = end
                     continue
+            script = re.match(r"\\([pP])\{(\^?)([A-Za-z_]{3,})\}", pattern[i:])
+            if script:  # a script; categories have one or two letters
+                negated = (script.group(1) == "P") != bool(script.group(2))
+                out.append(r"\%s{Is%s}" % ("P" if negated else "p", script.group(3)))
+                i += script.end()
+                continue
             out.append((_IN_CLASS if in_class else _UNESCAPED).get(code, ch + code))
             i += 2
         elif in_class:
-            posix = re.match(r"\[:(\w+):\]", pattern[i:])
+            posix = re.match(r"\[:(\^?)(\w+):\]", pattern[i:])
             if posix:
-                out.append(r"\p{%s}" % posix.group(1).capitalize())
+                out.append(_posix(*posix.groups()))
                 i += posix.end()
                 continue
             in_class = ch != "]"
@@ -103,9 +160,11 @@ def to_spark_regex(pattern: str) -> str:
 
 
 def check_pattern(spark: SparkSession, java_pattern: str) -> None:
-    """Raises ValueError if Spark cannot compile the pattern or if it matches the empty text."""
+    """Raises ValueError if Spark cannot compile the pattern or if it can match nothing at all, in an empty text or
+    between the characters of another."""
+    probe = "SELECT '' RLIKE :p OR exists(regexp_extract_all(' a0_-\n@b. c', :p, 0), m -> m = '') AS hit"
     try:
-        empty = spark.sql("SELECT '' RLIKE :p AS hit", args={"p": java_pattern}).head().hit
+        empty = spark.sql(probe, args={"p": java_pattern}).head().hit
     except Exception as error:
         raise ValueError(f"invalid pattern {java_pattern!r}") from error
     if empty:

@@ -1,7 +1,7 @@
 """Detection rules: an ordered, immutable list of (type, pattern) with cheap gates.
 
 A *gate* is a condition every text with a match must meet: it holds all ``literals``, one of ``any_of``, a match of
-``gate`` (or one of ``gate_start`` in its first 40 characters). Gates decide, inside generated code, whether a
+``gate`` (or one of ``gate_start``, which is tied to the start of the text). Gates decide, inside generated code, whether a
 text is worth the exact pattern, so most texts never reach a look-around.
 """
 
@@ -44,7 +44,7 @@ class Rule:
         if self.gate:
             inside = text.rlike(self.gate)
             if self.gate_start:
-                inside = inside | F.substring(text, 1, 40).rlike(self.gate_start)
+                inside = inside | text.rlike(self.gate_start)
             tests.append(inside)
         if not tests:
             tests.append(text.rlike(self.regex))
@@ -89,6 +89,8 @@ class Rules:
 
     def add(self, type: str, pattern: str, spark: SparkSession | None = None) -> Rules:
         """Appends a rule; its name becomes the type as written. A bad pattern is a ValueError here."""
+        if "[" in type or "]" in type:
+            raise ValueError(f"a rule named {type!r} would give placeholders that cannot be told from text")
         rule = Rule(type, pattern)
         check_pattern(spark or SparkSession.getActiveSession(), rule.regex)
         return replace(self, rules=self.rules + (rule,))

@@ -25,8 +25,7 @@ ANY_PLACEHOLDER = r"\[[^\[\]]+_[0-9]+\]"
 # Set around matches to cut a text at them.
 _MARK = "\x00"
 
-# From this many replacements on, a text is cut into blocks so that each piece is read near its place.
-_MANY = 32
+# Texts are cut into blocks of so many characters, so that each piece is read near its place.
 _BLOCK = 4096
 
 
@@ -310,13 +309,10 @@ def replace_spans(text: Column, spans: Column, put: str) -> Column:
         return F.concat(F.array_join(F.transform(spans_, piece), ""), tail)
 
     def prepare(spans_: Column) -> Column:
-        few = F.size(spans_) < _MANY
         return F.struct(
             spans_.alias("spans"),
-            F.when(few, F.array(text))
-            .otherwise(F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % _BLOCK), F.lit(0)))
-            .alias("blocks"),
-            F.when(few, F.length(text) + 1).otherwise(F.lit(_BLOCK)).alias("width"),
+            F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % _BLOCK), F.lit(0)).alias("blocks"),
+            F.lit(_BLOCK).alias("width"),
             F.length(text).alias("length"),
         )
 

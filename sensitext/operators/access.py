@@ -87,7 +87,12 @@ def _admissions(window: int):
                     while admitted and admitted[0][0] <= now - window:
                         held -= admitted.popleft()[1]
                     if held >= limit:
-                        i += int(np.searchsorted(times[i:end], admitted[0][0] + window))
+                        if not admitted:  # cannot be: a limit is at least 1
+                            i += 1
+                            continue
+                        same = np.flatnonzero(limits[i:end] != limit)
+                        until = i + int(same[0]) if len(same) else end
+                        i = min(until, i + max(1, int(np.searchsorted(times[i:end], admitted[0][0] + window))))
                         continue
                     n = min(int(counts[i]), limit - held)
                     passed[i] = n
@@ -95,7 +100,7 @@ def _admissions(window: int):
                     held += n
                     i += 1
             batch["_passed"] = passed
-            yield batch.loc[passed < counts, ["_user", "_us", "_passed"]]
+            yield batch.loc[passed < counts, ["_user", "_us", "_limit", "_passed"]]
 
     return fold
 
@@ -110,7 +115,8 @@ def rate_limit(
 ) -> DataFrame:
     """Adds ``admitted`` and ``rate_error``: at most ``limit`` admitted requests in the trailing window.
 
-    Rejected requests do not count; a limit of 0 or null means unlimited. ``order`` (unique) breaks ties.
+    Rejected requests do not count; a limit of 0 or null means unlimited. ``order`` (unique) breaks ties. Of one
+    user's requests at one instant with different limits, those with one limit go together, by their first.
 
     Only (user, instant) counts take part, aggregated before the shuffle. Minutes whose raw count together
     with the minute before stays within the limit admit everything; the sequential fold runs on the
@@ -123,12 +129,13 @@ def rate_limit(
         F.col(user).alias("_user"), "_us", F.col(limit).cast("bigint").alias("_limit"),
         F.col(order).alias("_order"),
     )
-    instants = limited.groupBy("_user", "_us").agg(
-        F.count("*").alias("_n"), F.max("_limit").alias("_limit")
+    # A user's limit may change: each request is judged by the limit it carries.
+    instants = limited.groupBy("_user", "_us", "_limit").agg(
+        F.count("*").alias("_n"), F.min("_order").alias("_first")
     ).withColumn("_cell", F.expr(f"_us div {window}"))
 
     by_cell = Window.partitionBy("_user").orderBy("_cell")
-    cells = instants.groupBy("_user", "_cell").agg(F.sum("_n").alias("_n"), F.max("_limit").alias("_limit"))
+    cells = instants.groupBy("_user", "_cell").agg(F.sum("_n").alias("_n"), F.min("_limit").alias("_limit"))
     previous = F.when(F.lag("_cell").over(by_cell) == F.col("_cell") - 1, F.lag("_n").over(by_cell))
     cells = cells.withColumn("_before", F.coalesce(previous, F.lit(0)))
     cells = cells.withColumn("_calm", F.col("_before") + F.col("_n") <= F.col("_limit"))
@@ -143,27 +150,28 @@ def rate_limit(
     busy = cells.withColumn("_busy", ~F.col("_calm") | goes_on).filter("_busy")
 
     stretch_rows = instants.join(busy.select("_user", "_cell", "_stretch"), ["_user", "_cell"]).select(
-        "_user", "_stretch", "_us", "_n", "_limit"
+        "_user", "_stretch", "_us", "_first", "_n", "_limit"
     )
     user_type = dict(limited.dtypes)["_user"]
     cut = cut_lineage(
         stretch_rows.repartition("_user", "_stretch")
-        .sortWithinPartitions("_user", "_stretch", "_us")
-        .mapInPandas(_admissions(window), f"_user {user_type}, _us bigint, _passed bigint"),
+        .sortWithinPartitions("_user", "_stretch", "_us", "_first")
+        .mapInPandas(_admissions(window), f"_user {user_type}, _us bigint, _limit bigint, _passed bigint"),
         "rejections",
     )
     # Where an instant is admitted in part, find the last admitted request of it.
-    in_instant = Window.partitionBy("_user", "_us").orderBy("_order")
+    in_instant = Window.partitionBy("_user", "_us", "_limit").orderBy("_order")
     last = (
-        limited.join(cut.filter("_passed > 0"), ["_user", "_us"])
+        limited.join(cut.filter("_passed > 0"), ["_user", "_us", "_limit"])
         .withColumn("_rank", F.row_number().over(in_instant))
         .filter("_rank = _passed")
-        .select("_user", "_us", F.col("_order").alias("_last"))
+        .select("_user", "_us", "_limit", F.col("_order").alias("_last"))
     )
-    cut = cut.join(last, ["_user", "_us"], "left").select(
-        F.col("_user").alias("_cut_user"), F.col("_us").alias("_cut_us"), "_last"
+    cut = cut.join(last, ["_user", "_us", "_limit"], "left").select(
+        F.col("_user").alias("_cut_user"), F.col("_us").alias("_cut_us"), F.col("_limit").alias("_cut_limit"), "_last"
     )
-    joined = rows.join(cut, (F.col(user) == F.col("_cut_user")) & (F.col("_us") == F.col("_cut_us")), "left")
+    on = (F.col(user) == F.col("_cut_user")) & (F.col("_us") == F.col("_cut_us"))
+    joined = rows.join(cut, on & (F.col(limit).cast("bigint") == F.col("_cut_limit")), "left")
     admitted = F.col("_cut_user").isNull() | F.coalesce(F.col(order) <= F.col("_last"), F.lit(False))
     message = F.format_string(
         "rate limit exceeded: %d requests/min for user %s", F.col(limit), F.col(user).cast("string")
@@ -171,7 +179,7 @@ def rate_limit(
     return (
         joined.withColumn("admitted", admitted)
         .withColumn("rate_error", F.when(~F.col("admitted"), message))
-        .drop("_us", "_cut_user", "_cut_us", "_last")
+        .drop("_us", "_cut_user", "_cut_us", "_cut_limit", "_last")
     )
 
 

@@ -26,17 +26,20 @@ def backoff_ms(attempt: Column, base: int = DEFAULTS.backoff_ms) -> Column:
     return F.when(attempt > 0, doubled).otherwise(F.lit(0).cast("bigint"))
 
 
-def _within(attempts: DataFrame, max_retries: int) -> DataFrame:
+def _within(attempts: DataFrame, max_retries: int | None) -> DataFrame:
+    if max_retries is None:
+        return attempts
     allowed = max_retries if max_retries > 0 else DEFAULTS.max_retries
     return attempts.filter(F.col("attempt") <= allowed)
 
 
 def attempt_outcome(
-    attempts: DataFrame, max_retries: int = DEFAULTS.max_retries, base: int = DEFAULTS.backoff_ms
+    attempts: DataFrame, max_retries: int | None = None, base: int = DEFAULTS.backoff_ms
 ) -> DataFrame:
     """One row per request: the first final answer in (target, attempt) order, or that all targets failed.
 
-    Attempts after that answer, and beyond ``max_retries`` per target, do not count.
+    Attempts after that answer do not count. Every logged attempt takes part; ``max_retries`` asks what would
+    have come out had each target been tried again so many times at most.
     """
     place = [F.col("target_ord"), F.col("attempt")]
     final = F.struct(*place, F.col("target"), F.col("status"))
@@ -70,10 +73,25 @@ def attempt_outcome(
     )
 
 
-def fallback_usage(attempts: DataFrame, max_retries: int = DEFAULTS.max_retries) -> DataFrame:
-    """Per target: requests that tried it, attempts made, requests it answered."""
-    per_request = _within(attempts, max_retries).groupBy("target", "target_ord", "request_id").agg(
-        F.count("*").alias("attempts"), F.max(~is_retryable(F.col("status"))).alias("answered")
+def fallback_usage(attempts: DataFrame, max_retries: int | None = None) -> DataFrame:
+    """Per target: requests that tried it, attempts made, requests it answered.
+
+    Attempts after a request's first final answer do not count, as in ``attempt_outcome``.
+    """
+    place = F.struct("target_ord", "attempt")
+    final = ~is_retryable(F.col("status"))
+    tries = F.struct("target_ord", "attempt", "target", final.alias("final"))
+    # As many as targets x tries, so a request's attempts fit into one row.
+    whole = _within(attempts, max_retries).groupBy("request_id").agg(
+        F.min(F.when(final, place)).alias("_f"), F.collect_list(tries).alias("_tries")
+    )
+    counted = F.filter(
+        "_tries",
+        lambda t: F.col("_f").isNull() | (F.struct(t["target_ord"], t["attempt"]) <= F.struct(F.col("_f.target_ord"), F.col("_f.attempt"))),
+    )
+    made = whole.select("request_id", F.inline(counted))
+    per_request = made.groupBy("target", "target_ord", "request_id").agg(
+        F.count("*").alias("attempts"), F.max("final").alias("answered")
     )
     return per_request.groupBy("target").agg(
         F.count("*").alias("requests"), F.sum("attempts").alias("attempts"),

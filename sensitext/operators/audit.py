@@ -19,8 +19,9 @@ UPSTREAM_FAILED = "Upstream failed: "
 
 
 def rfc3339(ts: Column) -> Column:
-    """Whole seconds in UTC (the session time zone must be UTC)."""
-    return F.date_format(ts.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """Whole seconds in UTC, whatever the session's time zone."""
+    utc = F.to_utc_timestamp(ts.cast("timestamp"), F.current_timezone())
+    return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def _event(name: str, items=None, types=None, src=None, msg=None) -> Column:

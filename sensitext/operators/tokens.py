@@ -100,11 +100,17 @@ def _same(left: str, right: str, columns: list[str]) -> list[Column]:
 
 
 def _replaced(df: DataFrame, keys: list[str], spans: DataFrame, text: str, out: str) -> DataFrame:
-    """Joins per-row replacement spans (start, end, put) to the texts and applies them."""
-    per_row = spans.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("start", "end", "type", "put"))).alias("_spans")
+    """Joins per-row replacement spans (start, end, put) to the texts and applies them.
+
+    ``spans`` carries the hash of the text it was found in, so rows with equal keys never get each other's spans;
+    equal rows have equal spans, and each is applied once.
+    """
+    on = [*keys, "_text"]
+    per_row = spans.groupBy(*on).agg(
+        F.array_sort(F.collect_set(F.struct("start", "end", "type", "put"))).alias("_spans")
     )
-    joined = df.alias("d").join(per_row.alias("p"), _same("d", "p", keys), "left").select("d.*", "p._spans")
+    joined = df.withColumn("_text", F.xxhash64(text)).alias("d").join(per_row.alias("p"), _same("d", "p", on), "left")
+    joined = joined.select("d.*", "p._spans").drop("_text")
     no_spans = F.array().cast("array<struct<start:int,end:int,type:string,put:string>>")
     joined = joined.withColumn("_spans", F.coalesce("_spans", no_spans))
     return joined.withColumn(out, replace_spans(F.col(text), F.col("_spans"), "put"))
@@ -115,19 +121,20 @@ def redact_table(
 ) -> tuple[DataFrame, DataFrame]:
     """Redacts with one numbering per scope: (the table with ``redacted``, ``items``, ``types``; its token map).
 
-    Rows are numbered in the order of ``keys``, which must identify a row. The texts are shuffled once, to
-    meet their placeholders; everything else moves matches only. Matches and tokens, with raw values, go
-    to the scratch folder when this function is called.
+    Rows are numbered in the order of ``keys``; rows with equal keys are kept apart by a hash of their text and
+    follow its order. The texts are shuffled once, to meet their placeholders; everything else moves matches
+    only. Matches and tokens, with raw values, go to the scratch folder when this function is called.
     """
     columns = list(dict.fromkeys([*keys, *scope, text]))
+    own = list(dict.fromkeys([*keys, *scope, "_text"]))
     # The texts are scanned once; the matches, which are small next to them, are read three times.
     found = cut_lineage(
         explode_rows(
-            scan(df.select(*columns), text, rules, "_m"), list(dict.fromkeys([*keys, *scope])), "_m", "start"
+            scan(df.select(*columns).withColumn("_text", F.xxhash64(text)), text, rules, "_m"), own, "_m", "start"
         ),
         "findings",
     )
-    tokens = cut_lineage(assign_tokens(found, scope, keys), "tokens")
+    tokens = cut_lineage(assign_tokens(found, scope, [*keys, "_text"]), "tokens")
     spans = (
         found.alias("f")
         .join(tokens.alias("t"), _same("f", "t", [*scope, "value"]))
@@ -151,9 +158,9 @@ def restore_table(
 
     Placeholders are looked up by (scope, token), so a scope's map is never gathered in one place.
     """
-    kept = list(dict.fromkeys([*keys, *scope]))
-    seen = explode_rows(with_once(df.select(*dict.fromkeys([*kept, text])), _p=placeholders_in(F.col(text))),
-                        kept, "_p", "start")
+    kept = list(dict.fromkeys([*keys, *scope, "_text"]))
+    rows = df.withColumn("_text", F.xxhash64(text)).select(*dict.fromkeys([*kept, text]))
+    seen = explode_rows(with_once(rows, _p=placeholders_in(F.col(text))), kept, "_p", "start")
     known = (
         seen.withColumnRenamed("value", "token").alias("f")
         .join(tokens.alias("t"), _same("f", "t", [*scope, "token"]))

@@ -92,8 +92,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """A table whose texts are to be scanned."""
-    return spread(table(spark, sf_dir, name), key)
+    """A table whose texts are to be scanned, in ``spark.sensitext.textPartitions`` parts if that is set.
+
+    The small tables of the tests and the benchmark are files with one row group; larger ones need no setting.
+    """
+    parts = spark.conf.get("spark.sensitext.textPartitions", None)
+    return spread(table(spark, sf_dir, name), int(parts) if parts else None, key)
 
 
 def _derived(spark: SparkSession, sf_dir: str, name: str, sql: str, key: str | None = None) -> DataFrame:

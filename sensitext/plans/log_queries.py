@@ -473,8 +473,10 @@ def attempt_outcome(spark, sf_dir):
 
 @query(
     "fallback_usage",
-    f"""with {_TRIES}, per_request as (select target, target_ord, request_id, count(*) as attempts, bool_or(not again) as answered
-      from marked group by target, target_ord, request_id)
+    f"""with {_TRIES}, per_request as (
+      select m.target, m.target_ord, m.request_id, count(*) as attempts, bool_or(not m.again) as answered
+      from marked m left join firsts f on f.request_id = m.request_id
+      where f.pos is null or (m.target_ord, m.attempt) <= f.pos group by m.target, m.target_ord, m.request_id)
     select target, count(*) as requests, cast(sum(attempts) as bigint) as attempts, count_if(answered) as answered,
       bool_or(target_ord > 0) as is_fallback from per_request group by target""",
 )

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,8 +66,37 @@ def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
     """Writes ``df`` once to the scratch folder and reads it back: frozen rows with known sizes.
 
     Later steps that read it several times neither repeat the work before it nor depend on executors
-    that may be gone. The table stays until the folder is cleaned.
+    that may be gone. The table stays until ``clean_scratch`` or the end of a ``scratch`` block.
     """
-    path = f"{scratch_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def clean_scratch(spark: SparkSession, since: int = 0) -> int:
+    """Deletes what ``cut_lineage`` has written in this application, from the ``since``-th table on; returns how many.
+
+    Results that read those tables cannot be computed afterwards: write them out first.
+    """
+    written = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    going = written[since:]
+    del written[since:]
+    for path in going:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(going)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was written inside: ``with scratch(spark): redact_table(...)[0].write...``."""
+    since = len(_WRITTEN.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        clean_scratch(spark, since)

@@ -18,20 +18,24 @@ RESPONSES = "request_id bigint, ts timestamp, status int, body string"
 ATTEMPTS = "request_id bigint, target_ord int, target string, attempt int, status int, error string"
 
 
+#: Where JSON lines that do not parse are kept in request, response and attempt logs.
+CORRUPT = "_corrupt_record"
+
+
 def _read(spark: SparkSession, path: str, schema: str, format: str) -> DataFrame:
+    """A log; a JSON line that does not parse stays as a row with its text in ``_corrupt_record``."""
+    if format == "json":
+        schema = f"{schema}, {CORRUPT} string"
     return spark.read.schema(schema).format(format).load(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deals the rows of a table just read out to all cores, if its files give fewer splits than that.
+def spread(df: DataFrame, partitions: int | None, *keys: str) -> DataFrame:
+    """Deals the rows out to ``partitions`` tasks by ``keys``, if a number is given; None leaves them where they are.
 
-    A file with one row group is one task however large the cluster is, and text work is heavy per row.
-    Where the files already give a split per core, which is every large table, nothing is shuffled.
+    Tables in many splits need none of this. It is for a file with one row group, which is one task however
+    large the cluster is: the caller, who knows the files, chooses.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *[F.col(k) for k in keys])
+    return df if partitions is None else df.repartition(partitions, *[F.col(k) for k in keys])
 
 
 def read_requests(spark: SparkSession, path: str, format: str = "json") -> DataFrame:
@@ -52,8 +56,12 @@ def stream_requests(spark: SparkSession, path: str, format: str = "json", **opti
 
 
 def read_registry(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """The user registry, a JSON array per file; a path that does not exist is an empty registry."""
-    reader = spark.read.schema(USERS).option("multiLine", multi_line)
+    """The user registry, a JSON array per file; a path that does not exist is an empty registry.
+
+    A file that does not parse is an error when it is read: no part of a registry may pass for the whole, since an
+    empty one can mean that everybody is let in.
+    """
+    reader = spark.read.schema(USERS).option("multiLine", multi_line).option("mode", "FAILFAST")
     try:
         users = reader.json(path)
     except AnalysisException as error:
@@ -64,7 +72,8 @@ def read_registry(spark: SparkSession, path: str, multi_line: bool = True) -> Da
 
 
 def read_registry_changes(spark: SparkSession, path: str, format: str = "json") -> DataFrame:
-    return _read(spark, path, CHANGES, format)
+    """Changes to a registry; as for the registry itself, a line that does not parse is an error."""
+    return spark.read.schema(CHANGES).format(format).option("mode", "FAILFAST").load(path)
 
 
 def write_registry(users: DataFrame, snapshot: str) -> None:

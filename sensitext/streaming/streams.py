@@ -102,7 +102,10 @@ def _rate_limiter(window: int) -> StatefulProcessor:
             batch = pd.concat(list(rows)).sort_values(["us", "request_id"])
             passed = []
             for now, limit in zip(batch["us"].tolist(), batch["rate_limit"].tolist()):
-                times = [t for t in times if t > now - window]
+                gone = 0
+                while gone < len(times) and times[gone] <= now - window:
+                    gone += 1
+                times = times[gone:] if gone else times
                 ok = limit <= 0 or len(times) < limit
                 if ok and limit > 0:
                     times.append(now)
@@ -124,6 +127,7 @@ def stream_rate_limit(
 ) -> DataFrame:
     """(request_id, user_id, us, admitted) as requests arrive. Needs the RocksDB state store.
 
+    Requests without a user or without a limit are admitted and leave no state, as in the batch form.
     Rows of one micro-batch are taken in time order; a row older than an earlier batch is judged against
     the state it finds, as a live gateway would.
     """
@@ -132,12 +136,15 @@ def stream_rate_limit(
         F.unix_micros(F.col(ts).cast("timestamp")).alias("us"),
         F.coalesce(F.col(limit), F.lit(0)).cast("bigint").alias("rate_limit"),
     )
-    return rows.groupBy("user_id").transformWithStateInPandas(
+    judged = F.col("user_id").isNotNull() & (F.col("rate_limit") > 0)
+    free = rows.filter(~judged).select("request_id", "user_id", "us", F.lit(True).alias("admitted"))
+    limited = rows.filter(judged)
+    return free.union(limited.groupBy("user_id").transformWithStateInPandas(
         statefulProcessor=_rate_limiter(window_seconds * 1_000_000),
         outputStructType="request_id bigint, user_id string, us bigint, admitted boolean",
         outputMode="Append",
         timeMode="None",
-    )
+    ))
 
 
 def _response_store(lifetime: int) -> StatefulProcessor:
@@ -178,16 +185,21 @@ def stream_cache_hits(
     requests: DataFrame, key: str = "content_key", ts: str = "ts", order: str = "request_id",
     status: str = "status", ttl_seconds: int = DEFAULTS.cache_ttl_seconds,
 ) -> DataFrame:
-    """(request_id, content_key, hit, source_id) as requests arrive. Needs the RocksDB state store."""
+    """(request_id, content_key, hit, source_id) as requests arrive. Needs the RocksDB state store.
+
+    Requests without a key are never hits and are never stored, as in the batch form.
+    """
     rows = requests.select(
         F.col(order).cast("bigint").alias("request_id"), F.col(key).alias("content_key"),
         F.unix_micros(F.col(ts).cast("timestamp")).alias("us"),
         F.coalesce(F.col(status), F.lit(0)).cast("bigint").alias("status"),
     )
     lifetime = (ttl_seconds if ttl_seconds > 0 else DEFAULTS.cache_ttl_seconds) * 1_000_000
-    return rows.groupBy("content_key").transformWithStateInPandas(
+    nothing = F.lit(None).cast("bigint").alias("source_id")
+    without = rows.filter("content_key is null").select("request_id", "content_key", F.lit(False).alias("hit"), nothing)
+    return without.union(rows.filter("content_key is not null").groupBy("content_key").transformWithStateInPandas(
         statefulProcessor=_response_store(lifetime),
         outputStructType="request_id bigint, content_key string, hit boolean, source_id bigint",
         outputMode="Append",
         timeMode="None",
-    )
+    ))

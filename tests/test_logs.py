@@ -320,10 +320,15 @@ def test_attempt_cases(spark):
     assert (got[2].status, got[2].attempts, got[2].waited_ms) == (404, 1, 0)
     assert (got[3].target, got[3].attempts, got[3].answered) == ("b", 3, True)
     assert got[4].error == "all targets failed: max retries exhausted: timeout" and not got[4].answered
-    assert got[5].error == "all targets failed: max retries exhausted: HTTP 504"
+    assert (got[5].answered, got[5].status, got[5].attempts) == (True, 200, 2)  # every logged attempt counts
+    capped = {r.request_id: r for r in attempts.attempt_outcome(df, max_retries=3).collect()}
+    assert capped[5].error == "all targets failed: max retries exhausted: HTTP 504"
     assert got[6].attempts == 1
     usage = {r.target: r for r in attempts.fallback_usage(df).collect()}
     assert (usage["b"].requests, usage["b"].answered, usage["b"].is_fallback) == (2, 1, True)
+    assert (usage["a"].requests, usage["a"].attempts, usage["a"].answered) == (6, 9, 4)
+    later = spark.createDataFrame([(1, 0, "a", 0, 200, None), (1, 1, "b", 0, 200, None)], tables.ATTEMPTS)
+    assert [r.target for r in attempts.fallback_usage(later).collect()] == ["a"]
     waits = spark.range(0, 5).select(attempts.backoff_ms(F.col("id")).alias("w")).collect()
     assert [r.w for r in waits] == [0, 500, 1000, 2000, 4000]
 
