@@ -23,7 +23,7 @@ from tokenizers import Tokenizer
 from .words import Words, split_words
 
 #: Distinct parts and pre-tokens whose ids a worker remembers; beyond that it goes on with those of the last slice.
-REMEMBERED = 600_000
+REMEMBERED = 350_000
 _PLAIN = regex.compile("[\x21-\x7e\xa1-ſ]*").fullmatch
 
 

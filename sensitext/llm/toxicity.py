@@ -114,11 +114,15 @@ def fit(texts: list[pa.Array], toxic: np.ndarray, training: Training = Training(
     lists = [[names.setdefault(f, len(names)) for f in word_features(w)] for w in known]
     starts = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
     features = np.array([f for x in lists for f in x], np.int64)
-    doc, word = np.divmod(np.unique(text_of[sentence] * np.int64(len(known)) + ids), len(known))
-    item, feature = _expand(word, starts, features)
-    doc, feature = np.divmod(np.unique(doc[item] * np.int64(len(names)) + feature), len(names))
-    with_word = np.bincount(feature, minlength=len(names)).astype(np.float64)
-    toxic_with = np.bincount(feature, weights=y[doc], minlength=len(names))
+    del lists
+    with_word, toxic_with = np.zeros(len(names)), np.zeros(len(names))
+    first_word = np.searchsorted(text_of[sentence], np.arange(0, rows + 200, 200))  # some documents at a time
+    for s, e in zip(first_word.tolist(), first_word[1:].tolist()):
+        doc, word = np.divmod(np.unique(text_of[sentence[s:e]] * np.int64(len(known)) + ids[s:e]), len(known))
+        item, feature = _expand(word, starts, features)
+        doc, feature = np.divmod(np.unique(doc[item] * np.int64(len(names)) + feature), len(names))
+        np.add.at(with_word, feature, 1)
+        np.add.at(toxic_with, feature, y[doc])
     # Log-likelihood ratio of each feature being independent of the label; of use are those that toxic texts have more often.
     base, clean_with = y.mean(), with_word - toxic_with
     with np.errstate(divide="ignore", invalid="ignore"):
