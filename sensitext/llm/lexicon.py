@@ -23,7 +23,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..settings import scratch_folder
+from ..settings import cut_lineage, scratch_folder
 from .encoding import Encoder, Vocabulary, merge_word
 from .words import SLICE_BYTES, split_words, text_slices
 
@@ -154,13 +154,28 @@ def build_lexicon(docs: DataFrame, tokenizer: str, words: int = LEXICON_WORDS) -
     """Compiles the ``words`` most frequent words of all documents; returns the name of the file Spark distributes."""
     spark = docs.sparkSession
     vocabulary = Vocabulary.read(tokenizer)
-    short = word_counts(docs, tokenizer).filter(F.octet_length("word") <= LONGEST_WORD)
-    best = short.orderBy(F.desc("n"), "word").limit(words).collect()
+    short = cut_lineage(word_counts(docs, tokenizer).filter(F.octet_length("word") <= LONGEST_WORD), "words")
+    best = most_frequent(short, words)
     entries = {r.word.encode("utf-8"): merge_word(r.word, vocabulary) for r in best}
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     return _share(spark, name, Transducer.compile(entries).to_bytes())
 
 
+def most_frequent(counts: DataFrame, most: int) -> list:
+    """The ``most`` rows with the largest n, ties by word. How often each n occurs tells which n is the last to take,
+    so hardly more than the wanted rows are ever sent to the driver."""
+    taken, last = 0, None
+    for r in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(most).collect():
+        if taken + r.words > most:
+            last = r.n
+            break
+        taken, last = taken + r.words, r.n - 1
+    if last is None:
+        return []
+    above = counts.filter(F.col("n") > last).collect()
+    return above + counts.filter(F.col("n") == last).orderBy("word").limit(most - len(above)).collect()
+
+
 def _share(spark: SparkSession, name: str, content: bytes) -> str:
     """Writes a file of bounded size to the shared folder and has Spark give each executor a copy."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
