@@ -160,7 +160,9 @@ def _scan(docs: DataFrame, p: Passages) -> DataFrame:
             new[1:] = (gram[order][1:] != gram[order][:-1]) | (form[order][1:] != form[order][:-1])
             first, later = _after_first(order, new, doc, place >> 16)
             place = place.copy()
-            place[order[later]] = ~place[order[later]]
+            settled = order[later]
+            place[settled] = ~place[settled]
+            gram[settled] = mix((doc[settled] ^ place[settled]).view(np.uint64)).view(np.int64)  # they go anywhere
             yield pa.RecordBatch.from_arrays([*map(pa.array, (gram, form, doc, place))], names=["gram", "form", "doc_id", "place"])
 
     return docs.filter(F.length("text") > 0).filter("doc_id is not null").mapInArrow(run, _ROWS)
