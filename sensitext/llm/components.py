@@ -23,7 +23,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     kept = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     both = kept.select(F.col(a).alias("x"), F.col(b).alias("y")).union(kept.select(F.col(b), F.col(a))).distinct()
     both = cut_lineage(both, "edges")
-    labels = both.select(F.col("x").alias("node")).distinct().withColumn("label", F.col("node"))
+    labels = both.select(F.col("x").alias("node"), F.col("x").alias("label")).distinct()
     both = both.filter("x != y")
     turn = 0
     while not both.isEmpty():
@@ -31,11 +31,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         best = both.groupBy("x").agg(F.min(F.struct(F.xxhash64("y", F.lit(turn)).alias("h"), F.col("y").alias("to"))).alias("m"))
         own = F.struct(F.xxhash64("x", F.lit(turn)).alias("h"), F.col("x").alias("to"))
         moves = cut_lineage(best.select(F.col("x").alias("was"), F.least("m", own)["to"].alias("now")), "moves")
-        labels = (
-            labels.join(moves, labels.label == moves.was, "left")
-            .select("node", F.coalesce("now", "label").alias("label"))
-        )
-        labels = cut_lineage(labels, "labels")
+        # Followed at the end: the moves are written tables, so nothing is computed twice.
+        labels = labels.join(moves, labels.label == moves.was, "left").select("node", F.coalesce("now", "label").alias("label"))
         to_x, to_y = (moves.select(F.col("was").alias(v), F.col("now").alias(v + "n")) for v in "xy")
         both = both.join(to_x, "x").join(to_y, "y").select(F.col("xn").alias("x"), F.col("yn").alias("y"))
         both = cut_lineage(both.filter("x != y").distinct(), "edges")

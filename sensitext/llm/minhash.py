@@ -9,13 +9,14 @@ coordinates give candidates; every link is then confirmed on the full shingle se
 How candidates become components without all pairs of a group:
 
 1. documents with equal sets are one vertex (its smallest doc_id), found by a fingerprint of the set;
-2. in every band bucket one member, random per bucket, leads; each vertex is compared with the leader it shares
-   most buckets with. These confirmed links join nearly all of a group of copies;
-3. only vertices that still lie in different components of one bucket are paired, after a test of set sizes and of
-   one-bit sketches that no link can fail in practice (7 standard deviations), and every such pair is confirmed.
+2. every band bucket joins its vertices to its smallest one, a star, and the components of these stars are clusters:
+   whatever shares a bucket is in one cluster;
+3. a cluster's full sets meet, in blocks of bounded size if there are many, and are linked in the task. Sets that are
+   similar enough share one of their rarest elements (prefix filter), so candidates come from an index of those
+   alone; what is known to be in one component is not compared again; only the links that join components leave the task.
 
 A pair with similarity s shares a bucket with probability 1 - (1 - s**6)**64: a link at exactly 0.75 is missed
-four times in a million, one at 0.8 once in 3e8.
+four times in a million, one at 0.8 once in 3e8; and it may still be found through its cluster.
 
 Defined results: null and empty texts, and texts of white space, have the empty set and are linked with nothing.
 Rows with one doc_id count as one document with the links of all their texts (an empty text is with its own doc_id). Rows without doc_id take no part: their
@@ -44,14 +45,13 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 @dataclass(frozen=True)
 class Sketch:
     """Shingles of ``width`` words; ``bands`` bands of ``rows`` coordinates; links at ``percent`` per cent or more.
-
-    ``far`` is the largest number of differing one-bit coordinates (of 256) that a candidate pair may have."""
+    The sets of larger clusters meet in blocks of about ``block`` sets."""
 
     width: int = 5
     bands: int = 64
     rows: int = 6
     percent: int = 75
-    far: int = 69
+    block: int = 20_000
 
     @property
     def bins(self) -> int:
@@ -110,8 +110,7 @@ def sketches(elements: np.ndarray, bounds: np.ndarray, bins: int) -> np.ndarray:
 
 
 def _summaries(docs: DataFrame, sketch: Sketch) -> DataFrame:
-    """Per row: the size and a 128-bit fingerprint of the set, 256 one-bit coordinates and the band keys."""
-    bits = min(256, sketch.bins)
+    """Per row: the size and a 128-bit fingerprint of the set, and the band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
@@ -122,44 +121,95 @@ def _summaries(docs: DataFrame, sketch: Sketch) -> DataFrame:
                 total = np.concatenate([[np.uint64(0)], np.cumsum(mix(mix(elements + np.uint64(salt))), dtype=np.uint64)])
                 prints.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
             values = sketches(elements, bounds, sketch.bins)
-            packed = np.zeros((len(sizes), 32), np.uint8)
-            packed[:, : bits // 8] = np.packbits((values[:, :bits] & np.uint64(1)).astype(np.uint8), axis=1)[:, : bits // 8]
-            signs = packed.view(np.int64)
             keys = np.broadcast_to(np.arange(sketch.bands, dtype=np.uint64), (len(sizes), sketch.bands)).copy()
             for k in range(sketch.rows):
                 keys = mix(keys * _GOLD + values[:, k :: sketch.rows])
             ends = np.arange(len(sizes) + 1, dtype=np.int32) * sketch.bands
+            bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"), pa.array(sizes), *map(pa.array, prints),
-                    *(pa.array(np.ascontiguousarray(signs[:, k])) for k in range(4)),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1).view(np.int64))),
-                ],
-                names=["doc_id", "n", "p1", "p2", "s0", "s1", "s2", "s3", "bands"],
+                [batch.column("doc_id"), pa.array(sizes), *map(pa.array, prints), bands], names=["doc_id", "n", "p1", "p2", "bands"]
             )
 
-    schema = "doc_id long, n long, p1 long, p2 long, s0 long, s1 long, s2 long, s3 long, bands array<long>"
+    schema = "doc_id long, n long, p1 long, p2 long, bands array<long>"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, sketch: Sketch) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places starts[i] to starts[i] + sizes[i], for all i one after the other."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+def joining_links(ids: np.ndarray, sets: np.ndarray, bounds: np.ndarray, asks: np.ndarray, answers: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between the sets that ask and those that answer, as many as join their components."""
+    sizes = np.diff(bounds)
+    _, element, often = np.unique(sets, return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), np.int64)
+    rank[np.lexsort((np.arange(len(often)), often))] = np.arange(len(often))
+    owner = np.repeat(np.arange(len(ids)), sizes)
+    ranks = rank[element]
+    ranks = ranks[np.lexsort((ranks, owner))]  # rarest first in each set
+    first = sizes - -(-percent * sizes // 100) + 1
+    place = np.arange(len(ranks)) - np.repeat(bounds[:-1], sizes)
+    listed = np.nonzero((place < first[owner]) & answers[owner])[0]
+    listed = listed[np.argsort(ranks[listed], kind="stable")]
+    known, holders = ranks[listed], owner[listed]
+    label = np.unique(ids, return_inverse=True)[1]  # rows with one id are one vertex
+    mine = np.zeros(len(often), bool)
+    links = []
+    for q in np.nonzero(asks)[0].tolist():
+        own = ranks[bounds[q] : bounds[q + 1]]
+        rare = own[: first[q]]
+        low = np.searchsorted(known, rare)
+        found = np.unique(holders[_ragged(low, np.searchsorted(known, rare, "right") - low)])
+        n = len(own)
+        found = found[(label[found] != label[q]) & (100 * sizes[found] >= percent * n) & (100 * n >= percent * sizes[found])]
+        if not len(found):
+            continue
+        mine[own] = True
+        many = sizes[found]
+        shared = np.add.reduceat(mine[ranks[_ragged(bounds[found], many)]], np.cumsum(many) - many, dtype=np.int64)
+        mine[own] = False
+        for other in found[100 * shared >= percent * (n + many - shared)].tolist():
+            if label[other] != label[q]:
+                links.append((int(ids[q]), int(ids[other])))
+                label[label == label[other]] = label[q]
+    return links
+
+
+def _cluster_links(docs: DataFrame, clusters: DataFrame, sketch: Sketch) -> DataFrame:
+    """(a, b): links that join the components of each cluster (node, component)."""
+    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / sketch.block).cast("int").alias("blocks"))
+    placed = clusters.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", "blocks")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(placed, "doc_id")
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
             elements, bounds = shingle_sets(batch.column("text"), sketch.width)
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(elements.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["id", "shingles"])
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    sets = texts.mapInArrow(run, "id long, shingles array<long>").dropDuplicates(["id", "shingles"])  # repeated rows
-    sets = cut_lineage(sets, "shingle-sets")
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    similar = 100 * both >= sketch.percent * (F.size("sa") + F.size("sb") - both)
-    return pairs.join(left, "a").join(right, "b").filter(similar).select("a", "b")
+            columns = [batch.column(c) for c in ("doc_id", "component", "blocks")]
+            yield pa.RecordBatch.from_arrays([*columns, lists], names=["id", "component", "blocks", "shingles"])
+
+    sets = texts.mapInArrow(make, "id long, component long, blocks int, shingles array<long>")
+    # A set asks in the row of its block and answers in the column; with one block it does both at once.
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    meetings = F.array_distinct(F.concat(
+        F.transform(every, lambda k: F.struct(k.alias("i"), own.alias("j"))), F.transform(every, lambda k: F.struct(own.alias("i"), k.alias("j")))
+    ))
+    met = sets.withColumn("own", own).select("id", "component", "own", "shingles", F.inline(meetings))
+
+    def link(table: pa.Table) -> pa.Table:
+        ids, block = (table.column(c).to_numpy() for c in ("id", "own"))
+        lists = table.column("shingles").combine_chunks()
+        lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        links = joining_links(ids, lists.flatten().to_numpy(), bounds, block == i, block == j, sketch.percent)
+        a, b = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return met.groupBy("component", "i", "j").applyInArrow(link, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, sketch: Sketch = Sketch()) -> DataFrame:
@@ -167,61 +217,23 @@ def near_duplicates(docs: DataFrame, sketch: Sketch = Sketch()) -> DataFrame:
     found = cut_lineage(_summaries(docs, sketch), "sketches")
     usable = found.filter("n > 0 and doc_id is not null")
     classes = cut_lineage(usable.groupBy("p1", "p2").agg(F.min("doc_id").alias("node")), "classes")
-    vertices = usable.join(classes, (usable.doc_id == classes.node) & (usable.p1 == classes.p1) & (usable.p2 == classes.p2), "left_semi")
-    vertices = cut_lineage(vertices.drop("p1", "p2").withColumnRenamed("doc_id", "node"), "vertices")
+    vertices = usable.withColumn("node", F.col("doc_id")).join(classes, ["node", "p1", "p2"], "left_semi").select("node", "bands")
+    vertices = cut_lineage(vertices, "vertices")
 
     members = vertices.select("node", F.explode("bands").alias("key"))
-    # The smallest node XOR key of a bucket is a leader that differs from bucket to bucket.
-    led = members.groupBy("key").agg(F.min(F.expr("node ^ key")).alias("lead"), F.count("*").alias("c")).filter("c > 1")
-    shared = members.join(led.select("key", (F.expr("lead ^ key")).alias("leader")), "key")
-    shared = cut_lineage(shared, "shared-buckets")
-    ties = shared.filter("node != leader").groupBy("node", "leader").agg(F.count("*").alias("c"))
-    first = ties.groupBy("node").agg(F.max(F.struct("c", "leader")).alias("m")).select(F.col("node").alias("a"), F.col("m.leader").alias("b"))
-    links = cut_lineage(_confirmed(_possible(first, vertices, sketch), docs, sketch), "links")
-    known = cut_lineage(components(links), "components")
-
-    placed = (
-        shared.select("key", "node").join(known, "node", "left")
-        .select("key", "node", F.coalesce("component", "node").alias("component"))
-    )
-    apart = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
-    rest = placed.join(apart, "key", "left_semi").join(_facts(vertices), "node")
-    rest = cut_lineage(rest, "rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    close = _close("x.", "y.", sketch) & (F.col("x.component") < F.col("y.component"))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & close).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    pairs = cut_lineage(pairs.distinct(), "pairs")
-    more = _confirmed(pairs, docs, sketch)
+    led = members.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
+    stars = members.join(led, "key").filter("node > least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    clusters = cut_lineage(components(stars), "clusters")
+    links = _cluster_links(docs, clusters, sketch)
     # A doc_id with several texts belongs to several classes; its rows are one document.
     own = usable.select("doc_id", "p1", "p2").join(classes, ["p1", "p2"]).groupBy("doc_id")
     several = own.agg(F.min("node").alias("a"), F.max("node").alias("b"), F.collect_set("node").alias("nodes")).filter("a != b")
     same = several.select("a", F.explode("nodes").alias("b"))
-    every = cut_lineage(links.union(more).union(same), "links")
-    graph = cut_lineage(components(every), "components")
+    graph = components(links.union(same))
 
-    named = found.select("doc_id", "n", "p1", "p2").join(classes, ["p1", "p2"], "left")
-    placed = named.join(graph, "node", "left")
+    placed = found.select("doc_id", "n", "p1", "p2").join(classes, ["p1", "p2"], "left").join(graph, "node", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "node")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(component)
     return placed.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
-
-
-def _facts(vertices: DataFrame) -> DataFrame:
-    return vertices.select("node", "n", "s0", "s1", "s2", "s3")
-
-
-def _close(x: str, y: str, sketch: Sketch) -> F.Column:
-    sizes = (100 * F.col(f"{x}n") >= sketch.percent * F.col(f"{y}n")) & (100 * F.col(f"{y}n") >= sketch.percent * F.col(f"{x}n"))
-    differing = F.lit(0)
-    for k in range(4):
-        differing = differing + F.bit_count(F.col(f"{x}s{k}").bitwiseXOR(F.col(f"{y}s{k}")))
-    return sizes & (differing <= sketch.far)
-
-
-def _possible(pairs: DataFrame, vertices: DataFrame, sketch: Sketch) -> DataFrame:
-    """Pairs that pass the test of sizes and one-bit sketches."""
-    x, y = ((_facts(vertices).select(*[F.col(c).alias(f"{v}_{c}") for c in ("node", "n", "s0", "s1", "s2", "s3")])) for v in "xy")
-    joined = pairs.join(x, F.col("a") == F.col("x_node")).join(y, F.col("b") == F.col("y_node"))
-    return cut_lineage(joined.filter(_close("x_", "y_", sketch)).select("a", "b"), "pairs")
