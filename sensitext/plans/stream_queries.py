@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators import reuse
+from ..operators.spend import budget_of, usage_of
 from ..settings import scratch_folder
 from ..streaming import streams
 from . import inputs, log_queries, text_queries  # noqa: F401
@@ -55,32 +56,37 @@ def stream_redact(spark, sf_dir):
     return _written(out.select("doc_id", "redacted", "items", F.array_join("types", ",").alias("types")))
 
 
-@query("stream_policy", ORACLES["policy_blocked_docs"])
+@query(
+    "stream_policy",
+    f"""select doc_id, 'blocked' as half, blocked_types, message, text from ({ORACLES["policy_blocked_docs"]})
+    union all select doc_id, 'clean', null, null, redacted from ({ORACLES["policy_clean_docs"]})""",
+)
 def stream_policy(spark, sf_dir):
+    """Both halves: quarantined documents as they are, the others redacted."""
     folder = f"{scratch_folder(spark)}/stream-{uuid.uuid4().hex}"
     writer = streams.stream_policy(
         stream_table(spark, sf_dir, "documents"), text_queries.POLICY, f"{folder}/clean", f"{folder}/blocked"
     )
     _run(writer, f"{folder}/log")
     blocked = spark.read.parquet(f"{folder}/blocked")
-    return blocked.select("doc_id", F.array_join("blocked_types", ", ").alias("blocked_types"), "message", "text")
-
-
-# Buckets the watermark has not passed when the stream ends stay open in append mode.
-_CLOSED = """per as (select time_bucket(interval 1 hour, ts) as b, event_type as event, count(*) as events from events group by 1, 2),
-  ended as (select max(ts) - interval 10 minutes as mark from events)"""
+    clean = spark.read.parquet(f"{folder}/clean")
+    nothing = F.lit(None).cast("string")
+    return blocked.select(
+        "doc_id", F.lit("blocked").alias("half"), F.array_join("blocked_types", ", ").alias("blocked_types"), "message", "text"
+    ).union(clean.select("doc_id", F.lit("clean"), nothing, nothing, "redacted"))
 
 
 @query(
     "stream_audit_rollup",
-    f"""with {_CLOSED} select strftime(b, '%Y-%m-%dT%H') as hour, event, events from per cross join ended
-    where b + interval 1 hour <= mark""",
+    """select strftime(time_bucket(interval 1 hour, ts), '%Y-%m-%dT%H') as hour, event_type as event, count(*) as events
+    from events group by 1, 2""",
 )
 def stream_audit_rollup(spark, sf_dir):
+    """Every bucket, open ones included: complete mode into a sink that is replaced."""
     events = stream_table(spark, sf_dir, "events").select(
         F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("event"), F.lit(1).alias("items")
     )
-    rolled = _written(streams.stream_audit_rollup(events, ["event"]))
+    rolled = _last_state(streams.stream_audit_rollup(events, ["event"]))
     return rolled.select(F.date_format("bucket", "yyyy-MM-dd'T'HH").alias("hour"), "event", "events")
 
 
@@ -106,6 +112,33 @@ def stream_rate_limit(spark, sf_dir):
     return _written(streams.stream_rate_limit(log, window_seconds=6 * 3600)).select("request_id", "admitted")
 
 
+def _in_time_order(df: DataFrame, ts: str, parts: int) -> DataFrame:
+    """The rows as a stream of ``parts`` micro-batches, earlier rows first."""
+    spark = df.sparkSession
+    folder = f"{scratch_folder(spark)}/stream-{uuid.uuid4().hex}/in"
+    rows = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    bounds = rows.approxQuantile("_us", [i / parts for i in range(1, parts)], 0.01)
+    many = 1
+    for low, high in zip([None, *bounds], [*bounds, None]):
+        part = rows.filter((F.lit(low is None) | (F.col("_us") > F.lit(low))) & (F.lit(high is None) | (F.col("_us") <= F.lit(high))))
+        part.drop("_us").write.mode("append").parquet(folder)
+        many = max(many, -(-len(spark.read.parquet(folder).inputFiles()) // parts))
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", many).parquet(folder)
+
+
+@query("stream_budget_gate", f"select request_id, refused from ({ORACLES['budget_gate']})")
+def stream_budget_gate(spark, sf_dir):
+    """The budget gate over several micro-batches decides as the replay does."""
+    _rocksdb(spark)
+    log = inputs.usage_log(spark, sf_dir)
+    usage = usage_of(F.col("body"))
+    log = log.select(
+        "request_id", "user", "ts", usage["input_tokens"].alias("input_tokens"), usage["output_tokens"].alias("output_tokens"),
+        budget_of(F.col("group"), inputs.BUDGETS).alias("budget_usd"),
+    )
+    return _written(streams.stream_budget_gate(_in_time_order(log, "ts", 4))).select("request_id", "refused")
+
+
 @query(
     "stream_cache_hits",
     ORACLES["ttl_cache_hits"].replace(", coalesce(st[2] = id, false) as stored", ""),

@@ -79,6 +79,60 @@ def stream_spend(
     return totals.withColumn("estimated_usd", cost)
 
 
+def _spender(price_in: float, price_out: float) -> StatefulProcessor:
+    class Spender(StatefulProcessor):
+        """Per user: the tokens used so far, in two counters."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.state = handle.getValueState("used", "input bigint, output bigint")
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+            used_in, used_out = tuple(self.state.get()) if self.state.exists() else (0, 0)
+            batch = pd.concat(list(rows)).sort_values(["us", "request_id"])
+            before_in = used_in + batch["input_tokens"].cumsum() - batch["input_tokens"]
+            before_out = used_out + batch["output_tokens"].cumsum() - batch["output_tokens"]
+            spent = before_in / 1e6 * price_in + before_out / 1e6 * price_out
+            self.state.update((int(used_in + batch["input_tokens"].sum()), int(used_out + batch["output_tokens"].sum())))
+            yield pd.DataFrame(
+                {
+                    "request_id": batch["request_id"], "user": key[0], "us": batch["us"], "spent_before": spent,
+                    "refused": spent >= batch["budget_usd"],
+                }
+            )
+
+        def close(self) -> None:
+            pass
+
+    return Spender()
+
+
+def stream_budget_gate(
+    requests: DataFrame, budget: str = "budget_usd", user: str = "user", ts: str = "ts", order: str = "request_id",
+    price_in: float = DEFAULTS.price_in, price_out: float = DEFAULTS.price_out,
+) -> DataFrame:
+    """(request_id, user, us, spent_before, refused) as requests with input_tokens/output_tokens arrive.
+
+    A request is refused if the user's spend before it has reached ``budget`` (see ``spend.budget_of``). Requests
+    without a user or a budget are never refused and leave no state. Rows of a micro-batch are taken in time order.
+    Needs the RocksDB state store; state: two counters per user.
+    """
+    rows = requests.select(
+        F.col(order).cast("bigint").alias("request_id"), F.col(user).cast("string").alias("user"),
+        F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), F.col(budget).cast("double").alias("budget_usd"),
+        *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in ("input_tokens", "output_tokens")],
+    )
+    judged = F.col("user").isNotNull() & F.col("budget_usd").isNotNull()
+    free = rows.filter(~judged).select(
+        "request_id", "user", "us", F.lit(None).cast("double").alias("spent_before"), F.lit(False).alias("refused")
+    )
+    return free.union(rows.filter(judged).groupBy("user").transformWithStateInPandas(
+        statefulProcessor=_spender(price_in, price_out),
+        outputStructType="request_id bigint, user string, us bigint, spent_before double, refused boolean",
+        outputMode="Append",
+        timeMode="None",
+    ))
+
+
 def stream_repeat_filter(
     requests: DataFrame, body: str = "body", ts: str = "ts", lateness: str = "5 minutes",
     more: tuple[str, ...] = (),

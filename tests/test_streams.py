@@ -130,3 +130,24 @@ def test_audit_sink(spark, tmp_path):
     writer.option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
     lines = sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect())
     assert lines[0] == '{"ts":"2024-01-01T00:00:00Z","event":"pass","method":"GET","path":"/v1"}' and len(lines) == 4
+
+
+def test_budget_stream_equals_batch(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(i, T0 + timedelta(seconds=i), rng.choice(["ann", "bob", None]), rng.choice(["g", "g", "h"]) and "g", rng.randint(0, 9) * 1000,
+             rng.randint(0, 9) * 1000, i // 25) for i in range(100)]
+    log = spark.createDataFrame(rows, "request_id long, ts timestamp, user string, group string, input_tokens long, output_tokens long, part int")
+    budgets = {"g": 1.0}
+    log = log.withColumn("budget_usd", F.when(F.col("user").isNotNull(), spend.budget_of(F.col("group"), budgets)))
+    got = {r.request_id: r.refused for r in _run(streams.stream_budget_gate(_files(spark, log, str(tmp_path / "in"), 4)), tmp_path).collect()}
+    want = spend.budget_gate(log.filter("user is not null"), budgets).collect()
+    assert {r.request_id: got[r.request_id] for r in want} == {r.request_id: r.budget_error is not None for r in want}
+    assert len(got) == 100 and 0 < sum(got.values()) < 100 and not any(got[i] for i, r in enumerate(rows) if r[2] is None)
+
+
+def test_streams_without_keys(spark, log, tmp_path):
+    nameless = log.withColumns({"user_id": F.lit(None).cast("string"), "content_key": F.lit(None).cast("string")})
+    limited = _run(streams.stream_rate_limit(_files(spark, nameless, str(tmp_path / "in"), 4)), tmp_path)
+    assert limited.count() == limited.filter("admitted").count() == 500
+    hits = _run(streams.stream_cache_hits(_files(spark, nameless, str(tmp_path / "in2"), 4)), tmp_path / "2")
+    assert hits.count() == 500 and hits.filter("hit").count() == 0
