@@ -68,53 +68,65 @@ def gateway_decisions(
     which cache hits have no response replays exactly. In a what-if replay where every request has one,
     the budget also counts the usage of requests the cache would have served.
 
-    Bodies are read once, next to the source; only narrow rows are shuffled. Each replay step reads its
-    input several times, so the narrow rows are written to the scratch folder between steps.
+    Bodies are read once, next to the source. What is known of a request is written once to the scratch folder,
+    without its header; the replay steps, which read their input several times, work on a few narrow columns of it,
+    and their verdicts are joined back by ``request_id``, which must be unique.
     """
-    rows = request_facts(requests, policy, rules, key_columns).join(
+    facts = request_facts(requests, policy, rules, key_columns).join(
         response_facts(responses), "request_id", "left"
     )
     if users is not None:
-        rows = cut_lineage(authenticate(rows, users, open_if_empty=open_if_empty), "authenticated")
-        rows = rate_limit(rows, window_seconds=settings.rate_window_seconds)
-        if settings.budgets:
-            rows = cut_lineage(rows, "rate-limited")
+        facts = authenticate(facts, users, open_if_empty=open_if_empty).drop("authorization")
     else:
-        rows = rows.withColumns(
+        facts = facts.drop("authorization").withColumns(
             {
                 "user_id": F.lit(None).cast("string"), "user": F.lit("anonymous"),
                 "group": F.lit("default"), "auth_error": F.lit(None).cast("string"),
-                "rate_error": F.lit(None).cast("string"),
+                "rate_limit": F.lit(None).cast("int"),
             }
         )
-    rows = rows.drop("authorization", "rate_limit", "admitted")
-    entered = F.col("auth_error").isNull() & F.col("rate_error").isNull()
-    upstream = entered & ~F.col("policy.blocked")
-    rows = rows.withColumns(
-        {
-            "input_tokens": F.when(upstream, F.col("input_tokens")),
-            "output_tokens": F.when(upstream, F.col("output_tokens")),
-        }
+    facts = cut_lineage(facts, "facts")
+    steps = facts.select(
+        "request_id", "ts", "user_id", "user", "group", "rate_limit", "auth_error", "content_key", "status",
+        F.col("policy.blocked").alias("blocked"), "input_tokens", "output_tokens",
     )
+    if users is not None:
+        steps = rate_limit(steps, window_seconds=settings.rate_window_seconds)
+    else:
+        steps = steps.withColumn("rate_error", F.lit(None).cast("string"))
+    entered = F.col("auth_error").isNull() & F.col("rate_error").isNull()
+    upstream = entered & ~F.col("blocked")
     if users is not None and settings.budgets:
-        # Requests let in without a key have no budget.
-        rows = rows.withColumn("_group", F.when(F.col("user_id").isNotNull(), F.col("group")))
-        rows = budget_gate(
-            rows, settings.budgets, group="_group", price_in=settings.price_in, price_out=settings.price_out
-        ).drop("spent_before", "_group")
+        steps = steps.withColumns(
+            {
+                "input_tokens": F.when(upstream, F.col("input_tokens")),
+                "output_tokens": F.when(upstream, F.col("output_tokens")),
+                # Requests let in without a key have no budget.
+                "_group": F.when(F.col("user_id").isNotNull(), F.col("group")),
+            }
+        )
+        steps = budget_gate(
+            steps, settings.budgets, group="_group", price_in=settings.price_in, price_out=settings.price_out
+        )
     else:
-        rows = rows.withColumn("budget_error", F.lit(None).cast("string"))
+        steps = steps.withColumn("budget_error", F.lit(None).cast("string"))
+    asked = F.when(upstream & F.col("budget_error").isNull(), F.col("content_key"))
+    steps = steps.select("request_id", "ts", "status", "rate_error", "budget_error", asked.alias("asked"))
     if use_cache:
-        rows = cut_lineage(rows, "budgeted")
-        asked = F.when(upstream & F.col("budget_error").isNull(), F.col("content_key"))
-        rows = ttl_cache_hits(
-            rows.withColumn("_asked", asked), key="_asked", ttl_seconds=settings.cache_ttl_seconds
-        ).drop("_asked")
+        steps = ttl_cache_hits(cut_lineage(steps, "budgeted"), key="asked", ttl_seconds=settings.cache_ttl_seconds)
     else:
-        rows = rows.withColumns(
+        steps = steps.withColumns(
             {"hit": F.lit(False), "stored": F.lit(False), "source_id": F.lit(None).cast("bigint"),
              "source_status": F.lit(None).cast("int")}
         )
+    rows = facts.join(steps.drop("ts", "status", "asked"), "request_id")
+    upstream = F.col("auth_error").isNull() & F.col("rate_error").isNull() & ~F.col("policy.blocked")
+    rows = rows.withColumns(
+        {
+            "input_tokens": F.when(upstream, F.col("input_tokens")),
+            "output_tokens": F.when(upstream, F.col("output_tokens")),
+        }
+    )
     outcome = (
         F.when(F.col("auth_error").isNotNull(), "auth_fail")
         .when(F.col("rate_error").isNotNull(), "rate_limited")
