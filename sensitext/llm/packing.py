@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..settings import cut_lineage
 from .encoding import Encoder
-from .words import text_slices
+from .words import SLICE_BYTES, text_slices
 
 
 @dataclass
@@ -104,7 +104,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, room: int = 2048, close: int = 0
         encoder = Encoder(tokenizer)
         made = np.zeros(room + 1, np.int64)
         part = TaskContext.get().partitionId()
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", 2 * SLICE_BYTES):
             ids, bounds = encoder.ids(batch.column("text"))
             sizes = np.diff(bounds) + 1
             closed = np.full(len(ids) + len(sizes), close, np.uint32)
