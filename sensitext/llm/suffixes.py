@@ -16,6 +16,9 @@ A suffix array over a whole corpus cannot be split, so strings that may be equal
    transform, and breadth-first backward extension of intervals yields the common prefixes of neighbouring
    suffixes by increasing value. It stops at ``length``: boundaries without a value by then separate nothing, and
    the runs between the others are the equal strings.
+4. A group above ``block`` bytes (the ends of one passage that very many documents hold) gets no suffix array: its
+   windows are dealt out by a 128-bit hash of their bytes, after those that repeat an earlier one of their own batch
+   are settled, and the first of each hash stays.
 
 Defined results: null texts count as empty; rows without doc_id are not compared and keep every byte; of rows with
 equal doc_id neither is earlier than the other at the same place; extra columns pass through ``remove_repeated``, and
@@ -44,7 +47,8 @@ _END = 0xFF  # never a byte of UTF-8
 
 @dataclass(frozen=True)
 class Passages:
-    """``length`` bytes must be repeated; anchors have ``gram`` bytes; ``block`` bytes share a suffix array."""
+    """``length`` bytes must be repeated; anchors have ``gram`` bytes; ``block`` bytes share a suffix array, and
+    groups of more bytes get none."""
 
     length: int = 100
     gram: int = 24
@@ -191,7 +195,10 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int) -> It
 
 
 def _meet(rows: DataFrame, p: Passages) -> DataFrame:
-    """Of rows with one anchor: later rows with the same bytes (gram null), and first rows with different bytes."""
+    """Of rows with one anchor: later rows with the same bytes (gram null), and first rows with different bytes.
+
+    hot marks the latter where the windows of their anchor have more than ``block`` bytes."""
+    low = (1 << p.bits) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches, "gram", 8 << 20):
@@ -206,19 +213,24 @@ def _meet(rows: DataFrame, p: Passages) -> DataFrame:
             group = np.cumsum(new_gram) - 1
             several = (np.bincount(group, weights=new) > 1)[group]
             tied = np.append(False, (place[1:] == place[:-1]) & ~new[1:] & (doc[1:] == doc[:-1]))
-            out = np.nonzero(later | (first & several & ~tied))[0]
+            ends = first & several & ~tied
+            hot = (np.bincount(group, weights=ends * ((form & low) + p.length)) > p.block)[group]
+            out = np.nonzero(later | ends)[0]
             grams = np.concatenate([gram[out], np.zeros(len(settled), np.int64)])
             known = np.concatenate([later[out], np.ones(len(settled), bool)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(grams, mask=known), *(pa.array(np.concatenate([x[out], y])) for x, y in zip((form, doc, place), done))],
-                names=["gram", "form", "doc_id", "place"],
+                [
+                    pa.array(grams, mask=known), *(pa.array(np.concatenate([x[out], y])) for x, y in zip((form, doc, place), done)),
+                    pa.array(np.concatenate([hot[out] & ends[out], np.zeros(len(settled), bool)])),
+                ],
+                names=["gram", "form", "doc_id", "place", "hot"],
             )
 
     met = rows.repartition("gram").sortWithinPartitions("gram")
-    return met.mapInArrow(run, _ROWS)
+    return met.mapInArrow(run, f"{_ROWS}, hot boolean")
 
 
-_SIDES = "key long, doc_id long, tag int, start long, bytes binary"
+_SIDES = "key long, doc_id long, tag int, start long, bytes binary, hot boolean"
 
 
 def _surroundings(docs: DataFrame, ends: DataFrame, p: Passages) -> DataFrame:
@@ -228,7 +240,7 @@ def _surroundings(docs: DataFrame, ends: DataFrame, p: Passages) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text", 1 << 20):
-            keys, rows, starts, bytes_ = [], [], [], []
+            keys, rows, starts, bytes_, hot = [], [], [], [], []
             texts, lists = batch.column("text").cast(pa.binary()).to_pylist(), batch.column("ends").to_pylist()
             for row, (text, own) in enumerate(zip(texts, lists)):
                 for end in own:
@@ -244,14 +256,15 @@ def _surroundings(docs: DataFrame, ends: DataFrame, p: Passages) -> DataFrame:
                         rows.append(row)
                         starts.append(s)
                         bytes_.append(text[s : e - 1 + p.length])
+                        hot.append(end["hot"])
             rows = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), batch.column("doc_id").take(rows), batch.column("tag").take(rows), pa.array(starts, pa.int64()), pa.array(bytes_, pa.binary())],
-                names=["key", "doc_id", "tag", "start", "bytes"],
+                [pa.array(keys, pa.int64()), batch.column("doc_id").take(rows), batch.column("tag").take(rows), pa.array(starts, pa.int64()), pa.array(bytes_, pa.binary()), pa.array(hot, pa.bool_())],
+                names=["key", "doc_id", "tag", "start", "bytes", "hot"],
             )
 
     own = ends.withColumn("tag", F.expr("int(place & 65535)")).groupBy("doc_id", "tag")
-    lists = own.agg(F.collect_list(F.struct("gram", "form", "place")).alias("ends"))
+    lists = own.agg(F.collect_list(F.struct("gram", "form", "place", "hot")).alias("ends"))
     return docs.join(lists, ["doc_id", "tag"]).mapInArrow(run, _SIDES)
 
 
@@ -368,7 +381,72 @@ def _compare(sides: DataFrame, p: Passages) -> DataFrame:
                 names=["doc_id", "tag", "start", "end"],
             )
 
-    return sides.repartition("key").sortWithinPartitions("key").mapInArrow(run, _GONE)
+    return sides.drop("hot").repartition("key").sortWithinPartitions("key").mapInArrow(run, _GONE)
+
+
+_WINDOWS = "high long, low long, doc_id long, place long, end long"
+
+
+def _windows(sides: DataFrame, p: Passages) -> DataFrame:
+    """The windows of ``sides`` with a 128-bit hash of their bytes; those that repeat an earlier one of their own batch
+    are settled: joined to stretches, which have an end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, 2500) for b in batches for at in range(0, b.num_rows, 2500)):
+            digests, counts = bytearray(), []
+            for bytes_ in batch.column("bytes").to_pylist():
+                counts.append(len(bytes_) - p.length + 1)
+                for s in range(counts[-1]):
+                    digests += hashlib.blake2b(bytes_[s : s + p.length], digest_size=16).digest()
+            high, low = np.frombuffer(bytes(digests), np.int64).reshape(-1, 2).T
+            counts = np.array(counts)
+            part = np.repeat(np.arange(len(counts)), counts)
+            within = np.arange(len(part)) - np.repeat(np.cumsum(counts) - counts, counts)
+            doc = batch.column("doc_id").to_numpy()[part]
+            place = batch.column("start").to_numpy()[part] + within << 16 | batch.column("tag").to_numpy()[part].astype(np.int64)
+            order = np.lexsort((place, doc, low, high))
+            new = np.append(True, (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1]))
+            first, later = _after_first(order, new, doc, place >> 16)
+            open_, settled = order[first], np.sort(order[later])
+            opened = np.append(True, (part[settled][1:] != part[settled][:-1]) | (np.diff(settled) != 1))[: len(settled)]
+            closed = np.append(opened[1:], True)[: len(settled)]
+            end = (place[settled[closed]] >> 16) + p.length
+            settled = settled[opened]
+            anywhere = mix((doc[settled] ^ place[settled]).view(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([high[open_], anywhere])), pa.array(np.concatenate([low[open_], anywhere])),
+                    pa.array(np.concatenate([doc[open_], doc[settled]])), pa.array(np.concatenate([place[open_], place[settled]])),
+                    pa.array(np.concatenate([np.zeros(len(open_), np.int64), end])),
+                ],
+                names=["high", "low", "doc_id", "place", "end"],
+            )
+
+    return sides.select("doc_id", "tag", "start", "bytes").mapInArrow(run, _WINDOWS)
+
+
+def _later_windows(windows: DataFrame, p: Passages) -> DataFrame:
+    """Stretches of windows after the first of their hash; a group passes by in order and is never held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = [np.zeros(0, np.int64)] * 4  # the first place of the group that the last batch ended in
+        for batch in batches:
+            columns = [batch.column(c).to_numpy() for c in ("high", "low", "doc_id", "place", "end")]
+            done = columns[4] > 0
+            high, low, doc, place = (np.concatenate([h, x[~done]]) for h, x in zip(head, columns))
+            new = np.append(True, (high[1:] != high[:-1]) | (low[1:] != low[:-1]))[: len(high)]
+            _, later = _after_first(np.arange(len(high)), new, doc, place >> 16)
+            if len(high):
+                at = int(np.nonzero(new)[0][-1])
+                head = [x[at : at + 1] for x in (high, low, doc, place)]
+            doc, place = (np.concatenate([x, y[done]]) for x, y in ((doc[later], columns[2]), (place[later], columns[3])))
+            end = np.concatenate([(place[: later.sum()] >> 16) + p.length, columns[4][done]])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc), pa.array((place & 65535).astype(np.int32)), pa.array(place >> 16), pa.array(end)],
+                names=["doc_id", "tag", "start", "end"],
+            )
+
+    return windows.repartition("high", "low").sortWithinPartitions("high", "low", "doc_id", "place").mapInArrow(run, _GONE)
 
 
 def _tag(text: str) -> F.Column:
@@ -386,7 +464,14 @@ def repeated_stretches(docs: DataFrame, p: Passages = Passages()) -> DataFrame:
         "doc_id", F.expr("int(place & 65535)").alias("tag"), F.expr("shiftright(place, 16)").alias("start"),
         F.expr(f"shiftright(place, 16) + (form & {mask}) + {p.length}").alias("end"),
     )
-    return gone.union(_compare(_surroundings(texts, met.filter("gram is not null"), p), p))
+    sides = _surroundings(texts, met.filter("gram is not null"), p)
+    if met.filter("hot").isEmpty():
+        return gone.union(_compare(sides, p))
+    sides = cut_lineage(sides, "sides")
+    big = sides.filter("hot").groupBy("key").agg(F.sum(F.length("bytes")).alias("size")).filter(F.col("size") > p.block)
+    big = cut_lineage(big.select("key"), "big-groups")
+    gone = gone.union(_compare(sides.join(big, "key", "left_anti"), p))
+    return gone.union(_later_windows(_windows(sides.join(big, "key", "left_semi"), p), p))
 
 
 def _kept(text: bytes, stretches: list) -> tuple[int, int, list[tuple[int, int]]]:

@@ -203,6 +203,30 @@ def test_repeated_passages_on_random_letters(spark, length, gram):
     assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.iterrows()} == repeated_bytes(made, length)
 
 
+def test_a_passage_of_very_many_documents_gets_no_suffix_array(spark, monkeypatch):
+    rng = random.Random(8)
+    shared, line = prose(98, 60), prose(97, 16)
+    assert len(line) < 100 < len(shared)
+    made = []
+    for i in range(400):  # every text has other bytes beside the passage, some share them in part
+        beside = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(60, 160))) for _ in range(3)]
+        made.append((i, beside[0] + "zyx"[: i % 4] + shared + "xyz"[: i % 3] + beside[1] + line + beside[2]))
+    block, inside = 4096, suffixes.repeated_windows
+
+    def bounded(parts, length):
+        assert sum(map(len, parts)) <= 4 * block
+        return inside(parts, length)
+
+    monkeypatch.setattr(suffixes, "repeated_windows", bounded)
+    records = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        got = suffixes.remove_repeated(frame(spark, made), suffixes.Passages(block=block)).toPandas().set_index("doc_id")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.iterrows()} == repeated_bytes(made, 100)
+
+
 def test_interval_expansion():
     rng = random.Random(3)
     for length in (1, 3, 8, 20):
