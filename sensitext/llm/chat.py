@@ -52,9 +52,9 @@ def ranked_branches(messages: DataFrame, paths: DataFrame, best: int = 1) -> Dat
     """(tree, leaf, branch_score, branch_rank): the ``best`` branches of each tree by the sum of their scores."""
     scores = messages.select("tree", "node", F.coalesce("score", F.lit(0.0)).alias("score"))
     sums = paths.join(scores, ["tree", "node"]).groupBy("tree", "leaf").agg(F.sum("score").alias("branch_score"))
-    if best == 1:  # aggregated before the shuffle, however many leaves a tree has
-        top = sums.groupBy("tree").agg(F.max("branch_score").alias("branch_score"))
-        first = sums.join(top, ["tree", "branch_score"]).groupBy("tree", "branch_score").agg(F.min("leaf").alias("leaf"))
+    if best == 1:  # aggregated before the shuffle, however many leaves a tree has; a second sum could differ in its last bit
+        tied = sums.groupBy("tree", "branch_score").agg(F.min("leaf").alias("leaf"))
+        first = tied.groupBy("tree").agg(F.max_by("leaf", "branch_score").alias("leaf"), F.max("branch_score").alias("branch_score"))
         return first.select("tree", "leaf", "branch_score", F.lit(1).alias("branch_rank"))
     order = Window.partitionBy("tree").orderBy(F.desc("branch_score"), "leaf")
     return sums.withColumn("branch_rank", F.row_number().over(order)).filter(F.col("branch_rank") <= best)

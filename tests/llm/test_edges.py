@@ -346,6 +346,22 @@ def test_reply_trees(spark):
     assert [(t.role, t.text) for t in other[5].turns][-1] == ("a\nb<|", "tie") and other[2].turns[1].text == "a <| <\\| \\"
 
 
+def test_best_branch_of_scores_that_no_two_sums_agree_on(spark):
+    rows = [(t, k, None if k == 0 else 0 if k < 3 else k - 2, [0.1, 0.2, 0.7, 0.3, 0.4][k]) for t in range(50) for k in range(5)]
+    trees = spark.createDataFrame(rows, "tree long, node long, parent long, score double")
+    paths = chat.root_to_leaf_paths(trees)
+    got = {r.tree: (r.leaf, round(r.branch_score, 9), r.branch_rank) for r in chat.ranked_branches(trees, paths).collect()}
+    assert got == {t: (4, 1.2, 1) for t in range(50)}
+    # As if the parts of a sum came in another order each time it is evaluated.
+    shaken = F.udf(lambda score: score + random.SystemRandom().random() * 1e-9, "double").asNondeterministic()
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = chat.ranked_branches(trees.withColumn("score", shaken("score")), paths).collect()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert sorted((r.tree, r.leaf) for r in got) == [(t, 4) for t in range(50)]
+
+
 def test_turns_with_nulls_and_repetitions(spark):
     rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, None, None), (None, 0, "assistant", "b"), (2, 1, "assistant", "x" * 100_000)]
     said = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
