@@ -6,7 +6,7 @@ common words of the language plus everything else. The measure is the Jensen-Sha
 nearest language is too far away, and only if it is long enough for the histogram to mean something.
 
 Defined results: a null text counts as empty; a document under the minimum lengths is not judged by the
-divergence (only by the base rules); null languages form a language of their own; with no reference at all
+divergence (only by the base rules), nor is one whose own language has too few words for a reference; null languages form a language of their own; with no reference at all
 (empty table) nothing fails the divergence. Repeated rows are judged one by one. Extra columns pass through; those
 with the name of a result are replaced by it.
 """
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,6 +53,7 @@ class Limits:
     common_words: int = 50
     common_share: float = 0.001
     languages: int = 64
+    language_share: float = 0.0001
 
 
 _CLASS_TABLE = {
@@ -106,26 +107,29 @@ def language_counts(docs: DataFrame) -> DataFrame:
 def language_references(docs: DataFrame, limits: Limits = Limits()) -> list[dict]:
     """Per language, over all documents: its character classes and its most common words with their counts.
 
-    At most ``languages`` languages (those with the most words) become references. A common word has at
-    least ``common_share`` of its language's words, so there are at most 1 / ``common_share`` of them, of which
-    the ``common_words`` most frequent count. What reaches the driver is bounded by these three numbers.
+    The ``languages`` languages with the most words become references, and every other one that has at least
+    ``language_share`` of all words. A common word has at least ``common_share`` of its language's words, and the
+    ``common_words`` most frequent count. What reaches the driver is bounded by these numbers.
     """
     counts = cut_lineage(language_counts(docs), "language-counts")
     totals = counts.filter("class is null").groupBy("lang").agg(F.sum("n").alias("total"))
-    kept = totals.orderBy(F.desc("total"), "lang").limit(limits.languages).collect()
-    references = {r.lang: {"lang": r.lang, "total": r.total, "classes": [0] * (len(CLASSES) + 1), "words": []} for r in kept}
-    enough = F.lit(False)
-    for lang, reference in references.items():
-        least = limits.common_share * reference["total"]
-        enough |= F.col("lang").eqNullSafe(F.lit(lang)) & (F.col("class").isNotNull() | (F.col("n") >= F.lit(least)))
-    for r in counts.filter(enough).collect():
+    totals = cut_lineage(totals, "language-totals")
+    largest = totals.orderBy(F.desc("total"), "lang").limit(limits.languages)
+    every = totals.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    kept = cut_lineage(largest.union(totals.filter(F.col("total") >= limits.language_share * every)).distinct(), "languages")
+    references = {r.lang: {"lang": r.lang, "total": r.total, "classes": [0] * (len(CLASSES) + 1), "words": []} for r in kept.collect()}
+    own = counts.join(kept.withColumnRenamed("lang", "known"), F.col("lang").eqNullSafe(F.col("known")))
+    words = own.filter("class is null").filter(F.col("n") >= limits.common_share * F.col("total"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")) <= limits.common_words
+    words = words.withColumn("first", first).filter("first").select("lang", "word", "class", "n")
+    for r in own.filter("class is not null").select("lang", "word", "class", "n").union(words).collect():
         if r["class"] is not None:
             references[r.lang]["classes"][r["class"]] = r.n
         else:
             references[r.lang]["words"].append((r.word, r.n))
     for reference in references.values():
-        reference["words"] = sorted(reference["words"], key=lambda w: (-w[1], w[0]))[: limits.common_words]
-    return list(references.values())
+        reference["words"].sort(key=lambda w: (-w[1], w[0]))
+    return sorted(references.values(), key=lambda r: (-r["total"], r["lang"] is not None, r["lang"] or ""))
 
 
 def js_distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
@@ -139,6 +143,7 @@ def js_distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.where(total[:, 0] > 0, np.sqrt(np.maximum(parts.sum(axis=1) / 2, 0)), 0.0)
 
 
+_TOGETHER = 64  # languages whose common words are counted in one matrix
 _WORD = re.compile(f"[^{SPACES}]")
 
 
@@ -177,13 +182,17 @@ RESULT = T.StructType(
 def judge_quality(docs: DataFrame, references: list[dict], limits: Limits = Limits()) -> DataFrame:
     """All columns of ``docs`` with the base counts, the two distances to the nearest language and the verdict."""
     spec = [(r["classes"], r["words"], r["total"]) for r in references]
+    known = {r["lang"] for r in references}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        class_refs = [np.array(c, np.float64) for c, _, _ in spec]
-        word_refs = [np.array([*(n for _, n in w), t - sum(n for _, n in w)], np.float64) for _, w, t in spec]
-        every = sorted({w for _, words, _ in spec for w, _ in words})
-        place = {w: i for i, w in enumerate(every)}
-        lists = [np.array([place[w] for w, _ in words], np.int64) for _, words, _ in spec]
+        groups = []
+        for at in range(0, len(spec), _TOGETHER):
+            part = spec[at : at + _TOGETHER]
+            class_refs = [np.array(c, np.float64) for c, _, _ in part]
+            word_refs = [np.array([*(n for _, n in w), t - sum(n for _, n in w)], np.float64) for _, w, t in part]
+            every = sorted({w for _, words, _ in part for w, _ in words})
+            place = {w: i for i, w in enumerate(every)}
+            groups.append((place, [(c, r, np.array([place[w] for w, _ in words], np.int64)) for c, r, (_, words, _) in zip(class_refs, word_refs, part)]))
         for batch in text_slices(batches, "text"):
             words = split_words(batch.column("text"))
             n_words = np.diff(words.bounds)
@@ -200,22 +209,25 @@ def judge_quality(docs: DataFrame, references: list[dict], limits: Limits = Limi
                 symbols[i] = sum(map(text.count, SYMBOLS))
                 lines[i] = repeated_lines(text)
                 repeats[i] = repeated_words(words.ids[words.bounds[i] : words.bounds[i + 1]])
-            to_common = np.array([place.get(w, len(every)) for w in words.vocabulary.to_pylist()], np.int64)
-            common = np.zeros((len(texts), len(every) + 1), np.int64)
-            if len(words.ids):
-                flat = words.rows() * (len(every) + 1) + to_common[words.ids]
-                common = np.bincount(flat, minlength=common.size).reshape(common.shape)
+            vocabulary, rows = words.vocabulary.to_pylist(), words.rows()
             far_class, far_word = np.full(len(texts), np.inf), np.full(len(texts), np.inf)
-            for class_ref, word_ref, members in zip(class_refs, word_refs, lists):
-                far_class = np.minimum(far_class, js_distance(classes, class_ref))
-                own = common[:, members]
-                rest = n_words - own.sum(axis=1)
-                far_word = np.minimum(far_word, js_distance(np.column_stack([own, rest]), word_ref))
+            for place, members_of in groups:
+                to_common = np.array([place.get(w, len(place)) for w in vocabulary], np.int64)
+                common = np.zeros((len(texts), len(place) + 1), np.int64)
+                if len(words.ids):
+                    flat = rows * (len(place) + 1) + to_common[words.ids]
+                    common = np.bincount(flat, minlength=common.size).reshape(common.shape)
+                for class_ref, word_ref, members in members_of:
+                    far_class = np.minimum(far_class, js_distance(classes, class_ref))
+                    own = common[:, members]
+                    rest = n_words - own.sum(axis=1)
+                    far_word = np.minimum(far_word, js_distance(np.column_stack([own, rest]), word_ref))
             if not spec:
                 far_class[:] = far_word[:] = 0
             failed = (n_words < 50) | (100 * repeats > 50 * n_words)
             strange = (sizes >= limits.min_chars) & (np.round(far_class, 9) > limits.max_class_distance)
             strange |= (n_words >= limits.min_words) & (np.round(far_word, 9) > limits.max_word_distance)
+            strange &= np.array([lang in known for lang in batch.column("lang").cast(pa.string()).to_pylist()], bool)
             found = (n_words, sizes - spaces, symbols, lines, repeats, failed, ~failed & ~strange, far_class, far_word)
             yield extended_batch(batch, dict(zip(RESULT.names, map(pa.array, found))))
 

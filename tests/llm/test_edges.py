@@ -87,6 +87,21 @@ def test_divergence_rejects_what_no_language_resembles(spark):
     assert quality.js_distance(same, np.array([1.0, 0, 1])) == pytest.approx([0, 1, 0])
 
 
+def test_no_language_is_lost_among_many(spark):
+    cyrillic, greek = (str.maketrans("aeimlnorst", letters) for letters in ("аеимлнорст", "αειμλνορστ"))
+    rows = [(i, f"l{i}", prose(i, 200)) for i in range(70)] + [(100, "ru", prose(100, 150).translate(cyrillic)), (101, "el", prose(101, 60).translate(greek))]
+    rows += [(200 + i, "l0", prose(200 + i, 300)) for i in range(30)]
+    rows += [(102, "l0", " ".join(f"{w}{w[0]}{k}###%%%" for k, w in enumerate(prose(102, 150).split())))]
+    many = spark.createDataFrame([(i, t, lang, "s", len(t)) for i, lang, t in rows], DOCS)
+    assert {r.doc_id for r in quality.quality_rules(many).filter("not kept").collect()} == {102}
+    limits = quality.Limits(language_share=0.005)  # Greek has less, and its one document is judged by the base rules
+    references = quality.language_references(many, limits)
+    assert {r["lang"] for r in references} == {lang for _, lang, _ in rows} - {"el"}
+    got = {r.doc_id: r for r in quality.judge_quality(many, references, limits).collect()}
+    assert {i for i, r in got.items() if not r.kept} == {102} and not any(r.base_failed for r in got.values())
+    assert got[100].class_distance == 0 and got[101].word_distance > limits.max_word_distance
+
+
 # --- toxicity
 
 
