@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..settings import scratch_folder
-from . import oracles
+from . import compression, oracles
 from .chat import format_conversations, read_loss, read_turns, turns_in_order
 from .lexicon import build_lexicon, round_trip
 from .manifest import document_leaves, verified_manifest
@@ -130,3 +130,12 @@ def op11(spark, sf_dir):
     tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
     judged = verified_manifest(document_leaves(docs, tampered))
     return judged.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query("op12_compression_classifier")
+def op12(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    away = compression.held_out(F.col("doc_id"))
+    model = compression.train_quality(docs, labels.filter(~away))
+    scored = compression.score_quality(docs, model)
+    return scored.select("doc_id", away.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
