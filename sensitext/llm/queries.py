@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..settings import scratch_folder
 from . import compression, oracles
+from .alignment import cross_aligned
 from .chat import format_conversations, read_loss, read_turns, turns_in_order
 from .lexicon import build_lexicon, round_trip
 from .manifest import document_leaves, verified_manifest
@@ -139,3 +140,9 @@ def op12(spark, sf_dir):
     model = compression.train_quality(docs, labels.filter(~away))
     scored = compression.score_quality(docs, model)
     return scored.select("doc_id", away.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op13_merge_path")
+def op13(spark, sf_dir):
+    tokenizers = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return cross_aligned(table(spark, sf_dir, "documents").select("doc_id", "text"), *tokenizers)
