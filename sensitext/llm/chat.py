@@ -22,6 +22,15 @@ from ..settings import cut_lineage
 START, END = "<|im_start|>", "<|im_end|>\n"
 
 
+def _keyed(df: DataFrame) -> DataFrame:
+    """The tree inside a struct, which is equal to itself also where the tree is null."""
+    return df.withColumn("tree", F.struct(F.col("tree").alias("id")))
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    return df.withColumn("tree", F.col("tree.id"))
+
+
 def turns_in_order(conversations: DataFrame) -> DataFrame:
     """Conversations without replies as trees that do not branch: (tree, node, parent, role, text, score)."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
@@ -31,7 +40,7 @@ def turns_in_order(conversations: DataFrame) -> DataFrame:
 
 def root_to_leaf_paths(messages: DataFrame) -> DataFrame:
     """(tree, leaf, above, node): the messages of every path; ``above`` counts from the leaf up."""
-    nodes = cut_lineage(messages.select("tree", "node", "parent"), "messages")
+    nodes = cut_lineage(_keyed(messages.select("tree", "node", "parent")), "messages")
     there = nodes.select("tree", F.col("node").alias("parent"))
     jumps = cut_lineage(nodes.filter("parent is not null").join(there, ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("up")), "jumps")
     roots = nodes.join(jumps, ["tree", "node"], "left_anti").select("tree", "node")
@@ -45,19 +54,19 @@ def root_to_leaf_paths(messages: DataFrame) -> DataFrame:
         jumps = cut_lineage(jumps.join(further, ["tree", "up"]).select("tree", "node", F.col("beyond").alias("up")), "jumps")
         step *= 2
     ended = paths.join(roots, ["tree", "node"], "left_semi").select("tree", "leaf").distinct()
-    return paths.join(ended, ["tree", "leaf"], "left_semi")
+    return _plain(paths.join(ended, ["tree", "leaf"], "left_semi"))
 
 
 def ranked_branches(messages: DataFrame, paths: DataFrame, best: int = 1) -> DataFrame:
     """(tree, leaf, branch_score, branch_rank): the ``best`` branches of each tree by the sum of their scores."""
-    scores = messages.select("tree", "node", F.coalesce("score", F.lit(0.0)).alias("score"))
-    sums = paths.join(scores, ["tree", "node"]).groupBy("tree", "leaf").agg(F.sum("score").alias("branch_score"))
+    scores = _keyed(messages.select("tree", "node", F.coalesce("score", F.lit(0.0)).alias("score")))
+    sums = _keyed(paths).join(scores, ["tree", "node"]).groupBy("tree", "leaf").agg(F.sum("score").alias("branch_score"))
     if best == 1:  # aggregated before the shuffle, however many leaves a tree has; a second sum could differ in its last bit
         tied = sums.groupBy("tree", "branch_score").agg(F.min("leaf").alias("leaf"))
         first = tied.groupBy("tree").agg(F.max_by("leaf", "branch_score").alias("leaf"), F.max("branch_score").alias("branch_score"))
-        return first.select("tree", "leaf", "branch_score", F.lit(1).alias("branch_rank"))
+        return _plain(first.select("tree", "leaf", "branch_score", F.lit(1).alias("branch_rank")))
     order = Window.partitionBy("tree").orderBy(F.desc("branch_score"), "leaf")
-    return sums.withColumn("branch_rank", F.row_number().over(order)).filter(F.col("branch_rank") <= best)
+    return _plain(sums).withColumn("branch_rank", F.row_number().over(order)).filter(F.col("branch_rank") <= best)
 
 
 def escape(text: Column) -> Column:
@@ -82,7 +91,7 @@ def format_paths(messages: DataFrame, paths: DataFrame, learn: tuple[str, ...] =
         "tree", "node", F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")).alias("head"), escape(F.col("text")).alias("body"),
         F.col("role").isin(*learn).alias("learn"),
     )
-    turns = paths.join(turn, ["tree", "node"]).groupBy("tree", "leaf").agg(
+    turns = _keyed(paths).join(_keyed(turn), ["tree", "node"]).groupBy("tree", "leaf").agg(
         F.sort_array(F.collect_list(F.struct((-F.col("above")).alias("at"), "head", "body", "learn"))).alias("turns")
     )
     formatted = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(END))), "")
@@ -100,7 +109,7 @@ def format_paths(messages: DataFrame, paths: DataFrame, learn: tuple[str, ...] =
             ).otherwise(a["spans"]).alias("spans"),
         ),
     )["spans"]
-    return turns.withColumn("sizes", sizes).select("tree", "leaf", formatted.alias("formatted"), walked.alias("loss_spans"))
+    return _plain(turns).withColumn("sizes", sizes).select("tree", "leaf", formatted.alias("formatted"), walked.alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -123,4 +132,5 @@ def format_conversations(messages: DataFrame, learn: tuple[str, ...] = ("assista
     messages = cut_lineage(messages, "turns")
     paths = root_to_leaf_paths(messages)
     chosen = ranked_branches(messages, paths, best).select("tree", "leaf")
-    return format_paths(messages, paths.join(chosen, ["tree", "leaf"], "left_semi"), learn)
+    best_paths = _plain(_keyed(paths).join(_keyed(chosen), ["tree", "leaf"], "left_semi"))
+    return format_paths(messages, best_paths, learn)

@@ -202,6 +202,18 @@ def test_repeated_passages_with_ids_missing_or_shared(spark):
     assert sorted(gone, key=str) == sorted([(5, False), (5, False), (6, True), (5, False), (None, False)], key=str)
 
 
+def test_texts_of_one_id_with_like_hashes(spark):
+    passage, by_end = prose(72, 40), {}
+    made = spark.range(3000).selectExpr("id", "concat('own words ', id) as own")
+    hashed = made.selectExpr("own", f"xxhash64(concat('{passage} ', own)) as a", "xxhash64(own) as b").collect()
+    for r in hashed:
+        by_end[r.a % 65536] = r.own
+    alone, beside = next((r.own, by_end[r.b % 65536]) for r in hashed if r.b % 65536 in by_end)
+    got = suffixes.remove_repeated(frame(spark, [(1, passage), (7, passage + " " + beside), (7, alone)])).collect()
+    assert all(r.n_removed == 0 for r in got if r.text == alone) and sum(r.text == alone for r in got) == 1
+    assert sorted(r.n_removed > 0 for r in got) == [False, False, True]
+
+
 @pytest.mark.parametrize("length,gram", [(20, 6), (30, 7), (100, 24)])
 def test_repeated_passages_on_random_letters(spark, length, gram):
     rng = random.Random(length)
@@ -380,9 +392,10 @@ def test_best_branch_of_scores_that_no_two_sums_agree_on(spark):
 def test_turns_with_nulls_and_repetitions(spark):
     rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, None, None), (None, 0, "assistant", "b"), (2, 1, "assistant", "x" * 100_000)]
     said = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    made = chat.format_conversations(chat.turns_in_order(clashing(said)).filter("tree is not null"))
+    made = chat.format_conversations(chat.turns_in_order(clashing(said)))
     got = {r.tree: r.turns for r in made.select("tree", chat.read_turns(F.col("formatted")).alias("turns")).collect()}
     assert [(t.role, t.text) for t in got[1]] == [("", ""), ("user", "a"), ("user", "a")] and len(got[2][0].text) == 100_000
+    assert [(t.role, t.text) for t in got[None]] == [("assistant", "b")] and len(got) == 3
     assert chat.format_conversations(chat.turns_in_order(said.limit(0))).count() == 0
 
 
@@ -465,3 +478,11 @@ def test_neighbours(spark):
     assert few.sort_values("rank")["rank"].tolist() == [1, 2, 3, 4]
     assert neighbours.nearest(rows.limit(0), F.lit(True)).count() == 0
     assert neighbours.nearest(rows.filter("vec_id >= 200"), F.lit(True)).count() == 0
+
+
+def test_one_row_of_equal_rows(spark):
+    rows = [(1, "a", "en", "t", 2), (1, "a", "en", "s", 1), (1, "b", "en", "s", 1), (None, "a", None, None, None), (None, "a", None, None, None), (2, None, "x", "y", 3), (2, None, "x", "y", 3), (3, "", "x", "y", 4)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = minhash.one_of_each(docs)
+    assert got.columns == docs.columns and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, {*rows} - {rows[0]}))
+    assert minhash.one_of_each(docs.limit(0)).count() == 0
