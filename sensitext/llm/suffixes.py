@@ -136,14 +136,14 @@ def _after_first(order: np.ndarray, new: np.ndarray, doc: np.ndarray, start: np.
 
 
 _ROWS = "gram long, form long, doc_id long, place long"
-_GONE = "doc_id long, tag int, start long, end long"
+_GONE = "doc_id long, tag long, start long, end long"
 
 
 def _scan(docs: DataFrame, p: Passages) -> DataFrame:
     """Anchor rows; those that repeat an earlier text of their own batch are settled and have a place under 0.
 
     form packs the hash of all bytes, the anchor's distance and the number of windows; place the start and a
-    16-bit tag of the text, which tells apart texts with one doc_id."""
+    32-bit tag of the text, which tells apart texts with one doc_id."""
     b = p.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,14 +155,14 @@ def _scan(docs: DataFrame, p: Passages) -> DataFrame:
                 doc = part.column("doc_id").to_numpy()[found["row"]]
                 tag = part.column("tag").to_numpy()[found["row"]].astype(np.int64)
                 form = (found["whole"] >> np.uint64(2 * b)).astype(np.int64) << (2 * b) | found["before"] << b | found["more"]
-                parts.append((found["gram"].view(np.int64), form, doc, found["start"] << 16 | tag))
+                parts.append((found["gram"].view(np.int64), form, doc, found["start"] << 32 | tag))
             if not parts:
                 continue
             gram, form, doc, place = map(np.concatenate, zip(*parts))
             order = np.lexsort((place, doc, form, gram))
             new = np.ones(len(order), bool)
             new[1:] = (gram[order][1:] != gram[order][:-1]) | (form[order][1:] != form[order][:-1])
-            first, later = _after_first(order, new, doc, place >> 16)
+            first, later = _after_first(order, new, doc, place >> 32)
             place = place.copy()
             settled = order[later]
             place[settled] = ~place[settled]
@@ -209,7 +209,7 @@ def _meet(rows: DataFrame, p: Passages) -> DataFrame:
             gram, form, doc, place = gram[order], form[order], doc[order], place[order]
             new_gram = np.append(True, gram[1:] != gram[:-1])
             new = new_gram | np.append(True, form[1:] != form[:-1])
-            first, later = _after_first(np.arange(len(gram)), new, doc, place >> 16)
+            first, later = _after_first(np.arange(len(gram)), new, doc, place >> 32)
             group = np.cumsum(new_gram) - 1
             several = (np.bincount(group, weights=new) > 1)[group]
             tied = np.append(False, (place[1:] == place[:-1]) & ~new[1:] & (doc[1:] == doc[:-1]))
@@ -230,7 +230,7 @@ def _meet(rows: DataFrame, p: Passages) -> DataFrame:
     return met.mapInArrow(run, f"{_ROWS}, hot boolean")
 
 
-_SIDES = "key long, doc_id long, tag int, start long, bytes binary, hot boolean"
+_SIDES = "key long, doc_id long, tag long, start long, bytes binary, hot boolean"
 
 
 def _surroundings(docs: DataFrame, ends: DataFrame, p: Passages) -> DataFrame:
@@ -244,7 +244,7 @@ def _surroundings(docs: DataFrame, ends: DataFrame, p: Passages) -> DataFrame:
             texts, lists = batch.column("text").cast(pa.binary()).to_pylist(), batch.column("ends").to_pylist()
             for row, (text, own) in enumerate(zip(texts, lists)):
                 for end in own:
-                    first, before, more = end["place"] >> 16, end["form"] >> b & low, end["form"] & low
+                    first, before, more = end["place"] >> 32, end["form"] >> b & low, end["form"] & low
                     at = first + before
                     turn = min(max(at - half - first + 1, 0), more + 1)  # windows that hold the half before
                     for side, s, e in ((0, first, first + turn), (1, first + turn, first + more + 1)):
@@ -263,7 +263,7 @@ def _surroundings(docs: DataFrame, ends: DataFrame, p: Passages) -> DataFrame:
                 names=["key", "doc_id", "tag", "start", "bytes", "hot"],
             )
 
-    own = ends.withColumn("tag", F.expr("int(place & 65535)")).groupBy("doc_id", "tag")
+    own = ends.withColumn("tag", F.expr("place & 4294967295")).groupBy("doc_id", "tag")
     lists = own.agg(F.collect_list(F.struct("gram", "form", "place", "hot")).alias("ends"))
     return docs.join(lists, ["doc_id", "tag"]).mapInArrow(run, _SIDES)
 
@@ -403,14 +403,14 @@ def _windows(sides: DataFrame, p: Passages) -> DataFrame:
             part = np.repeat(np.arange(len(counts)), counts)
             within = np.arange(len(part)) - np.repeat(np.cumsum(counts) - counts, counts)
             doc = batch.column("doc_id").to_numpy()[part]
-            place = batch.column("start").to_numpy()[part] + within << 16 | batch.column("tag").to_numpy()[part].astype(np.int64)
+            place = batch.column("start").to_numpy()[part] + within << 32 | batch.column("tag").to_numpy()[part].astype(np.int64)
             order = np.lexsort((place, doc, low, high))
             new = np.append(True, (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1]))
-            first, later = _after_first(order, new, doc, place >> 16)
+            first, later = _after_first(order, new, doc, place >> 32)
             open_, settled = order[first], np.sort(order[later])
             opened = np.append(True, (part[settled][1:] != part[settled][:-1]) | (np.diff(settled) != 1))[: len(settled)]
             closed = np.append(opened[1:], True)[: len(settled)]
-            end = (place[settled[closed]] >> 16) + p.length
+            end = (place[settled[closed]] >> 32) + p.length
             settled = settled[opened]
             anywhere = mix((doc[settled] ^ place[settled]).view(np.uint64)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -435,14 +435,14 @@ def _later_windows(windows: DataFrame, p: Passages) -> DataFrame:
             done = columns[4] > 0
             high, low, doc, place = (np.concatenate([h, x[~done]]) for h, x in zip(head, columns))
             new = np.append(True, (high[1:] != high[:-1]) | (low[1:] != low[:-1]))[: len(high)]
-            _, later = _after_first(np.arange(len(high)), new, doc, place >> 16)
+            _, later = _after_first(np.arange(len(high)), new, doc, place >> 32)
             if len(high):
                 at = int(np.nonzero(new)[0][-1])
                 head = [x[at : at + 1] for x in (high, low, doc, place)]
             doc, place = (np.concatenate([x, y[done]]) for x, y in ((doc[later], columns[2]), (place[later], columns[3])))
-            end = np.concatenate([(place[: later.sum()] >> 16) + p.length, columns[4][done]])
+            end = np.concatenate([(place[: later.sum()] >> 32) + p.length, columns[4][done]])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc), pa.array((place & 65535).astype(np.int32)), pa.array(place >> 16), pa.array(end)],
+                [pa.array(doc), pa.array(place & 0xFFFFFFFF), pa.array(place >> 32), pa.array(end)],
                 names=["doc_id", "tag", "start", "end"],
             )
 
@@ -450,19 +450,19 @@ def _later_windows(windows: DataFrame, p: Passages) -> DataFrame:
 
 
 def _tag(text: str) -> F.Column:
-    return F.expr(f"int(pmod(xxhash64(`{text}`), 65536))")
+    return F.expr(f"pmod(xxhash64(`{text}`), 4294967296)")
 
 
 def repeated_stretches(docs: DataFrame, p: Passages = Passages()) -> DataFrame:
-    """(doc_id, tag, start, end): stretches of bytes to remove; they may overlap. ``tag`` is a 16-bit hash of the text."""
+    """(doc_id, tag, start, end): stretches of bytes to remove; they may overlap. ``tag`` is a 32-bit hash of the text."""
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("tag", _tag("text"))
     met = cut_lineage(_meet(_scan(texts, p), p), "anchors")
     gone = met.filter("gram is null")
     mask = (1 << p.bits) - 1
     gone = gone.select(
-        "doc_id", F.expr("int(place & 65535)").alias("tag"), F.expr("shiftright(place, 16)").alias("start"),
-        F.expr(f"shiftright(place, 16) + (form & {mask}) + {p.length}").alias("end"),
+        "doc_id", F.expr("place & 4294967295").alias("tag"), F.expr("shiftright(place, 32)").alias("start"),
+        F.expr(f"shiftright(place, 32) + (form & {mask}) + {p.length}").alias("end"),
     )
     sides = _surroundings(texts, met.filter("gram is not null"), p)
     if met.filter("hot").isEmpty():
