@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensitext.llm.minhash import near_duplicates
+from sensitext.llm.minhash import near_duplicates, one_of_each
 from sensitext.llm.packing import pack_documents
 from sensitext.llm.quality import quality_rules
 from sensitext.llm.suffixes import remove_repeated
@@ -30,9 +30,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of every component of near-duplicates."""
+    """One document, the one with the smallest id, of every component of near-duplicates, and that once."""
     kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return one_of_each(docs).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
