@@ -19,13 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..settings import cut_lineage, scratch_folder
-from .encoding import Encoder, Vocabulary, merge_word
-from .words import SLICE_BYTES, split_words, text_slices
+from .encoding import Encoder, Ids, Vocabulary, joined, merge_word
+from .words import SLICE_BYTES, split_words, text_bytes, text_slices
 
 #: How many words a lexicon holds at most; its size on disk and the driver's work are bounded by this.
 LEXICON_WORDS = 50_000
@@ -123,14 +124,18 @@ class Transducer:
 
     def find(self, words: list[bytes]) -> np.ndarray:
         """For each word its place in the sorted list, or -1."""
+        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))])
+        return self.find_bytes(np.frombuffer(b"".join(words), np.uint8), bounds)
+
+    def find_bytes(self, letters: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """The same for words letters[bounds[i]:bounds[i + 1]]."""
         key, target, skipped, final = (self.arrays[n] for n in self.NAMES[:4])
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        place = np.zeros(len(words), np.int64)
-        state = np.full(len(words), len(final) - 1)
+        sizes = np.diff(bounds)
+        place = np.zeros(len(sizes), np.int64)
+        state = np.full(len(sizes), len(final) - 1)
         alive = np.nonzero(sizes <= LONGEST_WORD)[0]
         state[sizes > LONGEST_WORD] = -1
-        letters = np.frombuffer(b"".join(words) + b"\0", np.uint8)
-        front = np.cumsum(sizes) - sizes
+        front = bounds[:-1]
         for k in range(LONGEST_WORD):
             alive = alive[(sizes[alive] > k) & (state[alive] >= 0)]
             if not len(alive) or not len(key):
@@ -193,14 +198,18 @@ class LexiconEncoder(Encoder):
     """Looks words up in the transducer and merges what it does not hold."""
 
     def __init__(self, tokenizer: str, lexicon: Transducer):
-        super().__init__(tokenizer, self.look_up)
+        super().__init__(tokenizer)
         self.lexicon = lexicon
         self.unseen = 0
 
-    def look_up(self, words: list[str]) -> list[tuple[int, ...]]:
-        places = self.lexicon.find([w.encode("utf-8") for w in words]).tolist()
-        self.unseen += sum(p < 0 for p in places)
-        return [self.lexicon.ids_at(p) if p >= 0 else merge_word(w, self.vocabulary) for w, p in zip(words, places)]
+    def word_ids(self, words: pa.Array) -> Ids:
+        places = self.lexicon.find_bytes(*text_bytes(words))
+        new = np.nonzero(places < 0)[0]
+        self.unseen += len(new)
+        arrays = self.lexicon.arrays
+        held = Ids(arrays["ids"], arrays["starts"])
+        places[new] = len(held.bounds) - 1 + np.arange(len(new))
+        return joined([held, self.merged(words.take(pa.array(new)))]).take(places)
 
 
 def encode_texts(docs: DataFrame, tokenizer: str, lexicon: str) -> DataFrame:
@@ -220,16 +229,20 @@ def decode_ids(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, text): the token texts with a blank between, as this tokenizer decodes, special tokens included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Vocabulary.read(tokenizer).tokens
+        tokens = pa.array(Vocabulary.read(tokenizer).tokens, pa.large_string())
         for batch in batches:
-            texts = [decoded(ids, tokens) for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+            lists = batch.column("ids")
+            bounds = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())])
+            texts = decoded(lists.flatten().to_numpy(), bounds, tokens).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), texts], names=["doc_id", "text"])
 
     return encoded.mapInArrow(run, "doc_id long, text string")
 
 
-def decoded(ids: list[int] | None, tokens: list[str]) -> str:
-    return " ".join([tokens[i] for i in ids or ()])
+def decoded(ids: np.ndarray, bounds: np.ndarray, tokens: pa.Array) -> pa.Array:
+    """The texts of ids[bounds[i]:bounds[i + 1]]."""
+    spelled = tokens.take(pa.array(ids.astype(np.int32)))
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), spelled), pa.scalar(" ", pa.large_string()))
 
 
 def round_trip(docs: DataFrame, tokenizer: str, lexicon: str) -> DataFrame:
@@ -237,17 +250,20 @@ def round_trip(docs: DataFrame, tokenizer: str, lexicon: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = LexiconEncoder(tokenizer, Transducer.open(SparkFiles.get(lexicon)))
-        tokens = encoder.vocabulary.tokens
-        for batch in text_slices(batches, "text", 2 * SLICE_BYTES):
+        tokens = pa.array(encoder.vocabulary.tokens, pa.large_string())
+        for batch in text_slices(batches, "text"):
             ids, bounds = encoder.ids(batch.column("text"))
             ids = ids.astype("<u4")
             ends = bounds.tolist()
             parts = [ids[s:e] for s, e in zip(ends, ends[1:])]
+            texts = decoded(ids, bounds, tokens)
+            letters = memoryview(texts.buffers()[2] or b"")
+            cuts = np.frombuffer(texts.buffers()[1], np.int64)[: len(texts) + 1].tolist()
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), pa.array(np.diff(bounds)),
                     pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in parts]),
-                    pa.array([hashlib.sha256(decoded(x.tolist(), tokens).encode("utf-8")).hexdigest() for x in parts]),
+                    pa.array([hashlib.sha256(letters[s:e]).hexdigest() for s, e in zip(cuts, cuts[1:])]),
                 ],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )

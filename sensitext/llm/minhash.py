@@ -237,3 +237,18 @@ def near_duplicates(docs: DataFrame, sketch: Sketch = Sketch()) -> DataFrame:
     return placed.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of those with equal doc_id (null equals null) and text, the one with the smallest other columns.
+
+    Only rows that do repeat are grouped by their texts; they are found by digests.
+    """
+    digest = "_" * (1 + max(map(len, docs.columns)))
+    shown = docs.withColumn(digest, F.struct("doc_id", F.sha2("text", 256)))
+    twice = shown.groupBy(digest).count().filter("count > 1").select(digest)
+    again = shown.join(twice, digest, "left_semi")
+    others = [c for c in docs.columns if c.lower() not in ("doc_id", "text")]
+    least = F.min(F.struct(F.lit(0).alias(digest), *others)).alias(digest)
+    again = again.groupBy("doc_id", "text").agg(least).select("doc_id", "text", *[F.col(f"{digest}.{c}").alias(c) for c in others])
+    return shown.join(twice, digest, "left_anti").select(*docs.columns).union(again.select(*docs.columns))

@@ -104,7 +104,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, room: int = 2048, close: int = 0
         encoder = Encoder(tokenizer)
         made = np.zeros(room + 1, np.int64)
         part = TaskContext.get().partitionId()
-        for batch in text_slices(batches, "text", 2 * SLICE_BYTES):
+        for batch in text_slices(batches, "text", SLICE_BYTES // 2):
             ids, bounds = encoder.ids(batch.column("text"))
             sizes = np.diff(bounds) + 1
             closed = np.full(len(ids) + len(sizes), close, np.uint32)
@@ -133,6 +133,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, room: int = 2048, close: int = 0
                 columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(closed.astype(np.int32))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
+            pa.default_memory_pool().release_unused()
 
     schema = _PIECES + (", ids array<int>" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
