@@ -45,7 +45,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 
 class ByteTokens:
-    """Ids of a byte-level vocabulary. ``spelled[starts[i]:starts[i + 1]]`` are the bytes of token i."""
+    """Ids of a byte-level vocabulary. ``spelled[i]`` are the bytes of token i."""
 
     def __init__(self, path: str):
         self.path = path
@@ -56,7 +56,7 @@ class ByteTokens:
         ranks = {bytes(value[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         # Ids of such a vocabulary ascend with the merges, so they are the ranks that merging needs.
         self.encoding = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.spelled, self.starts = _table({i: token for token, i in ranks.items()})
+        self.spelled = _table({i: token for token, i in ranks.items()})
 
     @cached_property
     def library(self) -> Tokenizer:
@@ -86,23 +86,20 @@ class PieceTokens:
         for i in range(self.model.get_piece_size()):
             piece = self.model.id_to_piece(i)
             tokens[i] = bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode()
-        self.spelled, self.starts = _table(tokens)
+        self.spelled = _table(tokens)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(ids, np.int64) for ids in self.model.encode(texts, num_threads=1)]
 
 
-def _table(tokens: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
-    every = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
-    return np.frombuffer(b"".join(every), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in every])])
+def _table(tokens: dict[int, bytes]) -> pa.Array:
+    return pa.array([tokens.get(i, b"") for i in range(max(tokens) + 1)], pa.large_binary())
 
 
-def _spell(ids: np.ndarray, spelled: np.ndarray, starts: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The joined bytes of tokens and the offset at which each ends."""
-    sizes = starts[ids + 1] - starts[ids]
-    ends = np.cumsum(sizes)
-    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[ids] - (ends - sizes), sizes)
-    return spelled[at].tobytes(), ends
+def _spell(ids: np.ndarray, spelled: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The joined bytes of entries and the offset at which each ends."""
+    taken = spelled.take(pa.array(ids))
+    return memoryview(taken.buffers()[2] or b"").cast("B"), np.frombuffer(taken.buffers()[1], np.int64)[1 : len(ids) + 1]
 
 
 def diagonals(a: np.ndarray, b: np.ndarray, piece: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,16 +158,23 @@ def align(a: np.ndarray, b: np.ndarray, piece: int = PIECE) -> Groups:
     return Groups(np.concatenate(in_a or none), np.concatenate(in_b or none))
 
 
-def spelled_groups(ids_a: list[int], ids_b: list[int], groups: Groups) -> str:
-    """``a1,a2|b1;a3|b2,b3``"""
-    shown_a, shown_b = list(map(str, ids_a)), list(map(str, ids_b))
-    out, i, j = [], 0, 0
-    for m, n in zip(groups.a.tolist(), groups.b.tolist()):
-        left = shown_a[i] if m == 1 else ",".join(shown_a[i : i + m])
-        right = shown_b[j] if n == 1 else ",".join(shown_b[j : j + n])
-        out.append(left + "|" + right)
-        i, j = i + m, j + n
-    return ";".join(out)
+def number_table(most: int) -> pa.Array:
+    """The decimal numbers under ``most``, followed by a comma, then all by a bar, then all by a semicolon."""
+    return pa.array([b"%d%s" % (i, mark) for mark in (b",", b"|", b";") for i in range(most)], pa.large_binary())
+
+
+def spelled_groups(ids_a: np.ndarray, ids_b: np.ndarray, groups: Groups, numbers: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """``a1,a2|b1;a3|b2,b3;`` of all groups in a row, and where each group ends in it."""
+    most, both = len(numbers) // 3, groups.a + groups.b
+    last = np.cumsum(both)
+    entry = np.empty(int(last[-1]) if len(last) else 0, np.int64)
+    for ids, sizes, front, mark in ((ids_a, groups.a, last - both, 1), (ids_b, groups.b, last - groups.b, 2)):
+        ends = np.cumsum(sizes)
+        shown = ids.copy()
+        shown[ends - 1] += mark * most
+        entry[np.arange(len(ids)) + np.repeat(front - (ends - sizes), sizes)] = shown
+    letters, ends = _spell(entry, numbers)
+    return letters, ends[last - 1]
 
 
 def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,33 +222,42 @@ def aligned(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, spans: bool = F
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = ByteTokens(tokenizer_a), PieceTokens(tokenizer_b)
+        numbers = number_table(max(len(one.spelled), len(two.spelled)))
         number = np.int64(TaskContext.get().partitionId()) << np.int64(32)
         for batch in text_slices(batches, "text", ALIGNED_BYTES):
-            yield _slice_rows(batch, one, two, int(number))
+            yield _slice_rows(batch, one, two, numbers, int(number))
             number += 1
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _WRITTEN)
 
 
-def _slice_rows(batch: pa.RecordBatch, one: ByteTokens, two: PieceTokens, number: int) -> pa.RecordBatch:
+def _same(tokens: list[np.ndarray], spelled: pa.Array, plain: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Which texts their tokens give back byte for byte, and the offsets in the text at which tokens end."""
+    sizes = np.cumsum([len(x) for x in tokens])
+    letters, ends = _spell(np.concatenate(tokens) if tokens else np.zeros(0, np.int64), spelled)
+    own = np.split(ends, sizes[:-1]) if tokens else []
+    same, done = np.zeros(len(plain), bool), 0
+    for k, text in enumerate(plain):
+        stop = int(own[k][-1]) if len(own[k]) else done
+        same[k] = letters[done:stop] == text
+        own[k], done = own[k] - done, stop
+    return same, own
+
+
+def _slice_rows(batch: pa.RecordBatch, one: ByteTokens, two: PieceTokens, numbers: pa.Array, number: int) -> pa.RecordBatch:
     texts = batch.column("text").to_pylist()
     rows = [r for r, text in enumerate(texts) if text]
     said = [texts[r] for r in rows]
-    kept, ids_a, ids_b, ends_a, ends_b, done = [], [], [], [], [], 0
-    for r, text, a, b in zip(rows, said, one.ids(said), two.ids(said)):
-        plain = b" " + text.encode()
-        spelled_a, end_a = _spell(a, one.spelled, one.starts)
-        if spelled_a != plain:
-            continue
-        spelled_b, end_b = _spell(b, two.spelled, two.starts)
-        if spelled_b != plain:
-            continue
-        kept.append(r)
-        ids_a.append(a)
-        ids_b.append(b)
-        ends_a.append(end_a + done)
-        ends_b.append(end_b + done)
-        done += len(plain)
+    plain = [b" " + text.encode() for text in said]
+    ids_a, ids_b = one.ids(said), two.ids(said)
+    (same_a, ends_a), (same_b, ends_b) = _same(ids_a, one.spelled, plain), _same(ids_b, two.spelled, plain)
+    good = np.nonzero(same_a & same_b)[0].tolist()
+    kept = [rows[k] for k in good]
+    before = np.cumsum([0, *(len(plain[k]) for k in good)])
+    ids_a, ids_b = [ids_a[k] for k in good], [ids_b[k] for k in good]
+    ends_a, ends_b = ([ends[k] + d for k, d in zip(good, before)] for ends in (ends_a, ends_b))
+    del plain, said
     n = len(texts)
     counts = {name: np.zeros(n, np.int64) for name in ("n_a", "n_b", "n_groups", "n_links")}
     digests = [""] * n
@@ -260,10 +273,10 @@ def _slice_rows(batch: pa.RecordBatch, one: ByteTokens, two: PieceTokens, number
         row = np.repeat(np.array(kept), per_text)
         counts["n_a"][kept], counts["n_b"][kept], counts["n_groups"][kept] = size_a, size_b, per_text
         counts["n_links"] = np.bincount(row, weights=groups.a * groups.b, minlength=n).astype(np.int64)
+        letters, ends = spelled_groups(flat_a, flat_b, groups, numbers)
         start = 0
-        for r, a, b, stop in zip(kept, ids_a, ids_b, last.tolist()):
-            shown = spelled_groups(a.tolist(), b.tolist(), Groups(groups.a[start:stop], groups.b[start:stop]))
-            digests[r] = hashlib.sha256(shown.encode()).hexdigest()
+        for r, stop in zip(kept, ends[last - 1].tolist()):
+            digests[r] = hashlib.sha256(letters[start : stop - 1]).hexdigest()  # without the last semicolon
             start = stop
         owner, pair, links = linked_pairs(flat_a, flat_b, groups, row)
     distinct, where = np.unique(pair, return_inverse=True)
