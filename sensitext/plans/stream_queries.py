@@ -106,10 +106,11 @@ def _rocksdb(spark: SparkSession) -> None:
 @query("stream_rate_limit", ORACLES["rate_limit_admitted"])
 def stream_rate_limit(spark, sf_dir):
     _rocksdb(spark)
-    log = stream_table(spark, sf_dir, "events").select(
+    log = inputs.table(spark, sf_dir, "events").select(
         F.col("event_id").alias("request_id"), "ts", "user_id", F.lit(3).alias("rate_limit")
     )
-    return _written(streams.stream_rate_limit(log, window_seconds=6 * 3600)).select("request_id", "admitted")
+    judged = streams.stream_rate_limit(_in_time_order(log, "ts", 4), window_seconds=6 * 3600)
+    return _written(judged).select("request_id", "admitted")
 
 
 def _in_time_order(df: DataFrame, ts: str, parts: int) -> DataFrame:
@@ -145,11 +146,12 @@ def stream_budget_gate(spark, sf_dir):
 )
 def stream_cache_hits(spark, sf_dir):
     _rocksdb(spark)
-    log = stream_table(spark, sf_dir, "events").select(
+    log = inputs.table(spark, sf_dir, "events").select(
         F.col("event_id").alias("request_id"), "ts", reuse.content_key(F.col("props")).alias("content_key"),
         F.when(F.col("event_type").isin("error", "signup"), 503).otherwise(200).alias("status"),
     )
-    return _written(streams.stream_cache_hits(log, ttl_seconds=6 * 3600)).select("request_id", "hit", "source_id")
+    found = streams.stream_cache_hits(_in_time_order(log, "ts", 4), ttl_seconds=6 * 3600)
+    return _written(found).select("request_id", "hit", "source_id")
 
 
 @query("stream_repeat_filter", "select sha256(text) as content_key from documents group by 1")

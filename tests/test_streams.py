@@ -151,3 +151,26 @@ def test_streams_without_keys(spark, log, tmp_path):
     assert limited.count() == limited.filter("admitted").count() == 500
     hits = _run(streams.stream_cache_hits(_files(spark, nameless, str(tmp_path / "in2"), 4)), tmp_path / "2")
     assert hits.count() == 500 and hits.filter("hit").count() == 0
+
+
+def test_state_of_idle_users_and_expired_keys_goes(spark, tmp_path):
+    """Thirty users and keys in the first micro-batch, one of each hours later: only those are left in the state."""
+    rows = [(i, T0 + timedelta(seconds=i), f"u{i % 30}", f"k{i % 30}", 2, 200, 0) for i in range(300)]
+    rows += [(1000 + k, T0 + timedelta(hours=k), "late", "late", 2, 200, k) for k in range(1, 5)]
+    log = spark.createDataFrame(rows, "request_id long, ts timestamp, user_id string, content_key string, rate_limit int, status int, part int")
+    for name, stream in (
+        ("admitted", lambda df: streams.stream_rate_limit(df, lateness="1 minute")),
+        ("stored", lambda df: streams.stream_cache_hits(df, lateness="1 minute")),
+    ):
+        folder = tmp_path / name
+        assert _run(stream(_files(spark, log, str(folder / "in"), 5)), folder).count() == len(rows)
+        logs = [p for p in folder.iterdir() if (p / "state").exists()]
+        left = spark.read.format("statestore").option("stateVarName", name).load(str(logs[0]))
+        assert [r.key[0] for r in left.select("key").collect()] == ["late"]
+
+
+def test_late_requests_are_judged_not_dropped(spark, tmp_path):
+    rows = [(1, T0 + timedelta(hours=5), "u", 1, 0), (2, T0, "u", 1, 1), (3, T0 + timedelta(hours=5), "u", 1, 2)]
+    log = spark.createDataFrame(rows, "request_id long, ts timestamp, user_id string, rate_limit int, part int")
+    got = _run(streams.stream_rate_limit(_files(spark, log, str(tmp_path / "in"), 3), lateness="1 second"), tmp_path).collect()
+    assert {r.request_id for r in got} == {1, 2, 3}
