@@ -1,7 +1,7 @@
 """Sensitive-text and language-model traffic analytics on Spark."""
 
 from .functions.rules import Rule, Rules
-from .operators.access import authenticate, rate_limit, requests_by_user
+from .operators.access import authenticate, authenticate_as_of, rate_limit, requests_by_user
 from .operators.attempts import attempt_outcome, backoff_ms, fallback_usage, is_retryable
 from .operators.audit import (
     activity,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..settings import DEFAULTS, cut_lineage
 from .base import run_splitter
-from .registry import active_tokens
+from .registry import active_tokens, token_history
 
 MISSING = "missing or invalid Authorization header"
 INVALID = "invalid API key"
@@ -25,6 +25,40 @@ def bearer_token(header: Column) -> Column:
     return F.when(header.rlike(r"\A[Bb]earer "), F.substring(header, F.lit(8), F.length(header)))
 
 
+def _marked(keys: DataFrame) -> DataFrame:
+    return keys.select(*[F.col(c).alias(f"_{c}") for c in keys.columns])
+
+
+def _judged(joined: DataFrame, ts: str) -> tuple[DataFrame, dict[str, Column]]:
+    """Requests beside the key they gave: with ``auth_error``, and what the accepted ones are identified by."""
+    error = (
+        F.when(F.col("_key").isNull(), F.lit(MISSING))
+        .when(F.col("_user_id").isNull(), F.lit(INVALID))
+        .when(F.col(ts).cast("timestamp") > F.col("_expires_at"), F.lit(EXPIRED))
+    )
+    accepted = F.col("auth_error").isNull()
+    identity = {c: F.when(accepted, F.col(f"_{c}")) for c in ("user_id", "user", "group", "rate_limit")}
+    return joined.withColumn("auth_error", error), identity
+
+
+def authenticate_as_of(
+    requests: DataFrame, registry: DataFrame, changes: DataFrame, header: str = "authorization", ts: str = "ts"
+) -> DataFrame:
+    """``authenticate`` by the registry as it stood when each request came: ``registry`` at first, then with ``changes``.
+
+    A key that was not yet granted, or no longer, is an invalid key; a change holds for requests of its own instant.
+    Keys carry the intervals in which they hold (``token_history``), which do not overlap, so a request meets at most
+    one. The join is an equi-join on the key with the interval as a condition: a key that sends most of the requests
+    is split like any skewed key. Requests without a time match no interval with a beginning or an end.
+    """
+    k = _marked(token_history(registry, changes))
+    at = F.col(ts).cast("timestamp")
+    begun = F.col("_valid_from").isNull() | (F.col("_valid_from") <= at)
+    holds = (F.col("_key") == F.col("_token_key")) & begun & (F.col("_valid_until").isNull() | (at < F.col("_valid_until")))
+    out, identity = _judged(requests.withColumn("_key", bearer_token(F.col(header))).join(k, holds, "left"), ts)
+    return out.withColumns(identity).drop("_key", *k.columns)
+
+
 def authenticate(
     requests: DataFrame, users: DataFrame, header: str = "authorization", ts: str = "ts",
     open_if_empty: bool = False,
@@ -35,22 +69,10 @@ def authenticate(
     hot key otherwise. With ``open_if_empty`` a registry without live keys lets everybody in as anonymous.
     """
     keys = active_tokens(users)
-    k = keys.select(*[F.col(c).alias(f"_{c}") for c in keys.columns])
+    k = _marked(keys)
     key = bearer_token(F.col(header))
     joined = requests.withColumn("_key", key).join(k, F.col("_key") == F.col("_token_key"), "left")
-    error = (
-        F.when(F.col("_key").isNull(), F.lit(MISSING))
-        .when(F.col("_user_id").isNull(), F.lit(INVALID))
-        .when(F.col(ts).cast("timestamp") > F.col("_expires_at"), F.lit(EXPIRED))
-    )
-    accepted = F.col("auth_error").isNull()
-    out = joined.withColumn("auth_error", error)
-    identity = {
-        "user_id": F.when(accepted, F.col("_user_id")),
-        "user": F.when(accepted, F.col("_user")),
-        "group": F.when(accepted, F.col("_group")),
-        "rate_limit": F.when(accepted, F.col("_rate_limit")),
-    }
+    out, identity = _judged(joined, ts)
     if open_if_empty:
         closed = keys.agg((F.count("*") > 0).alias("n")).scalar()
         out = out.withColumn("_closed", closed)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..settings import cut_lineage
@@ -181,6 +181,55 @@ def apply_registry_changes(registry: DataFrame, changes: DataFrame) -> tuple[Dat
     return after, judged.filter("error is not null")
 
 
+def token_history(registry: DataFrame, changes: DataFrame) -> DataFrame:
+    """(token_key, valid_from, valid_until, user_id, user, group, rate_limit, expires_at): whose key each was, and when.
+
+    A key is granted by the registry (valid_from null: always) or by an applied change, and holds until it is revoked
+    or its user is deleted or created again; valid_until is the first instant at which it is gone, null if it stays.
+    The intervals of a key do not overlap: while it is granted twice it belongs to the later grant. The feed's times
+    ascend with ``seq``. Work per key grows with the square of the grants of that one key.
+    """
+    applied = cut_lineage(judge_changes(registry, changes).filter("error is null"), "applied-changes")
+    nothing = F.lit(None).cast("timestamp")
+    old = flatten_registry(registry).filter(F.col("token_key").isNotNull() & ~F.coalesce("revoked", F.lit(False))).select(
+        "user_id", F.lit(0).cast("bigint").alias("era"), "token_key", F.lit(-1).cast("bigint").alias("seq"), "position",
+        nothing.alias("valid_from"), F.col("token_created_at").alias("created_at"), "expires_at",
+    )
+    new = applied.filter("op = 'add_token' and token_key is not null").select(
+        "user_id", "era", "token_key", "seq", F.lit(0).alias("position"), F.col("ts").alias("valid_from"),
+        F.col("ts").alias("created_at"), "expires_at",
+    )
+    revoked = applied.filter("op = 'revoke_token'").select("user_id", "era", "token_key", "seq", F.col("ts").alias("gone"))
+    following = Window.partitionBy("user_id", "era", "token_key").orderBy("seq", F.col("gone").asc_nulls_first()).rowsBetween(
+        1, Window.unboundedFollowing
+    )
+    grants = old.unionByName(new).withColumn("is_grant", F.lit(True)).unionByName(revoked, allowMissingColumns=True)
+    grants = grants.withColumn("gone", F.first("gone", ignorenulls=True).over(following)).filter("is_grant").drop("is_grant")
+    # A reset carries the number of the era that it ends; the next one is that of the user it makes, if any.
+    resets = applied.filter(F.col("op").isin("create_user", "delete_user"))
+    people = registry.select(F.col("id").alias("user_id"), F.lit(0).cast("bigint").alias("era"), F.col("name").alias("user"), "group", "rate_limit")
+    made = resets.filter("op = 'create_user'").select("user_id", (F.col("era") + 1).alias("era"), F.col("name").alias("user"), "group", "rate_limit")
+    ended = resets.select("user_id", "era", F.col("ts").alias("reset"))
+    grants = grants.join(people.unionByName(made), ["user_id", "era"]).join(ended, ["user_id", "era"], "left")
+    grants = grants.withColumn("valid_until", F.least("gone", "reset")).filter("valid_from is null or valid_until is null or valid_from < valid_until")
+    grants = cut_lineage(grants.drop("gone", "reset"), "grants")
+
+    starts = grants.select("token_key", F.col("valid_from").alias("start"))
+    stops = grants.filter("valid_until is not null").select("token_key", F.col("valid_until").alias("start"))
+    in_order = Window.partitionBy("token_key").orderBy(F.col("start").asc_nulls_first())
+    cells = starts.union(stops).distinct().withColumn("stop", F.lead("start").over(in_order))
+    g = grants.select(F.col("token_key").alias("granted"), *[c for c in grants.columns if c != "token_key"])
+    holds = (F.col("valid_from").isNull() | (F.col("valid_from") <= F.col("start"))) & (
+        F.col("valid_until").isNull() | F.col("start").isNull() | (F.col("start") < F.col("valid_until"))
+    )
+    later = F.max(F.struct("created_at", "user_id", "seq", "position", "user", "group", "rate_limit", "expires_at"))
+    held = cells.join(g, (F.col("token_key") == F.col("granted")) & holds).groupBy("token_key", "start", "stop").agg(later.alias("t"))
+    return held.select(
+        "token_key", F.col("start").alias("valid_from"), F.col("stop").alias("valid_until"), "t.user_id", "t.user", "t.group",
+        "t.rate_limit", "t.expires_at",
+    )
+
+
 def token_preview(users: DataFrame) -> DataFrame:
     """Live keys, masked: the first eight characters, dots, the last four."""
     rows = flatten_registry(users).filter("token_key is not null and not coalesce(revoked, false)")
