@@ -15,32 +15,39 @@ from ..settings import DEFAULTS
 from .base import with_once
 from .ordering import total_before
 
-USAGE = "usage struct<prompt_tokens:string,completion_tokens:string,total_tokens:string>"
+COUNTS = ("prompt_tokens", "completion_tokens", "total_tokens")
+
+
+def _member(members: Column, name: str) -> Column:
+    """A member of a JSON object: the one of exactly this name, else the first whose name differs only in case."""
+    alike = F.map_values(F.map_filter(members, lambda key, _: F.lower(key) == name))
+    return F.coalesce(members[name], F.get(alike, F.lit(0)))
 
 
 def usage_of(body: Column) -> Column:
     """``struct<input_tokens,output_tokens>`` of a response body.
 
-    Null where the body is not JSON, a count is not a whole 64-bit number, or both counts are zero.
+    Null where the body is not JSON, a count is anything but a whole 64-bit number or null (digits in quotes and
+    fractions are not counts), or both counts are zero. Names of members match in any case.
     """
-    usage = F.from_json(body, USAGE)["usage"]
-
-    def count(name: str) -> Column:
-        return F.coalesce(usage[name].try_cast("bigint"), F.lit(0).cast("bigint"))
-
-    def sound(name: str) -> Column:
-        text = usage[name]
-        return text.isNull() | (text.rlike(r"\A-?[0-9]+\z") & text.try_cast("bigint").isNotNull())
-
-    whole = sound("prompt_tokens") & sound("completion_tokens") & sound("total_tokens")
-    used = (count("prompt_tokens") != 0) | (count("completion_tokens") != 0)
-    return F.when(
-        usage.isNotNull() & whole & used,
-        F.struct(
-            count("prompt_tokens").alias("input_tokens"), count("completion_tokens").alias("output_tokens")
+    members = "map<string,variant>"
+    whole = F.try_variant_get(F.try_parse_json(body), "$", members)
+    usage = F.try_variant_get(_member(whole, "usage"), "$", members)
+    counts = F.transform_values(
+        F.create_map(*[x for name in COUNTS for x in (F.lit(name), _member(usage, name))]),
+        lambda _, found: F.struct(
+            F.schema_of_variant(found).isin("BIGINT", "VOID").alias("sound"), F.try_variant_get(found, "$", "bigint").alias("n")
         ),
     )
 
+    def judged(found: Column) -> Column:
+        given, taken = (F.coalesce(found[name]["n"], F.lit(0).cast("bigint")) for name in COUNTS[:2])
+        sound = F.forall(F.map_values(found), lambda c: F.coalesce(c["sound"], F.lit(True)))
+        return F.when(sound & ((given != 0) | (taken != 0)), F.struct(given.alias("input_tokens"), taken.alias("output_tokens")))
+
+    # One evaluation of the counts, whatever reads them.
+    return F.get(F.transform(F.array(counts), judged), F.lit(0))
+
 
 def parse_usage(responses: DataFrame, body: str = "body") -> DataFrame:
     """Responses that report usage, with input_tokens and output_tokens; the others are dropped."""
