@@ -200,6 +200,43 @@ def authenticate(spark, sf_dir):
     return _authenticated(spark, sf_dir).select("request_id", "user_id", "user", "group", "rate_limit", "auth_error")
 
 
+_AS_OF = """select event_id as request_id, ts, case when event_id % 29 = 3 then null
+    when event_id % 3 = 1 then concat('Bearer new-', cast(user_id as string))
+    when event_id % 3 = 2 then concat('Bearer key-user', cast(user_id * 3 as string), '-0')
+    else concat('bearer key-user', cast(user_id * 3 as string), '-1') end as authorization from events"""
+
+
+# The oracle looks for every request at all grants of its key and takes the latest one that holds.
+@query(
+    "authenticate_as_of",
+    f"""with {_JUDGED}, req as ({_AS_OF}),
+    good as (select * from judged where error is null),
+    grants as (select user_id, 0 as era, token_key, -1 as seq, null::timestamp as since, timestamp '2023-01-01' as created, expires_at,
+        user_name as name, seg, rate_limit from keyed where not revoked
+      union all select a.user_id, a.era, a.token_key, a.seq, a.ts, a.ts,
+        case when expires_in_hours > 0 then a.ts + to_hours(expires_in_hours) end,
+        coalesce((select c.name from good c where c.user_id = a.user_id and c.op = 'create_user' and c.era = a.era - 1),
+          (select any_value(k.user_name) from keyed k where k.user_id = a.user_id)),
+        case when a.era = 0 then (select any_value(k.seg) from keyed k where k.user_id = a.user_id) else 'default' end,
+        case when a.era = 0 then (select any_value(k.rate_limit) from keyed k where k.user_id = a.user_id) else 5 end
+      from good a where a.op = 'add_token'),
+    ends as (select g.*, (select min(e.ts) from good e where e.user_id = g.user_id and e.era = g.era and e.seq > g.seq
+        and (e.op in ('create_user', 'delete_user') or e.op = 'revoke_token' and e.token_key = g.token_key)) as until from grants g),
+    met as (select r.request_id, r.ts, r."authorization" as header, arg_max(e, (e.created, e.seq)) filter (e.token_key is not null) as g
+      from req r left join ends e on e.token_key = substr(r."authorization", 8) and (since is null or since <= r.ts) and (until is null or r.ts < until)
+      group by all),
+    said as (select *, case when header is null then '{access.MISSING}' when g is null then '{access.INVALID}'
+      when ts > g.expires_at then '{access.EXPIRED}' end as auth_error from met)
+    select request_id, auth_error, case when auth_error is null then g.user_id end as user_id, case when auth_error is null then g.name end as "user",
+      case when auth_error is null then g.seg end as "group", case when auth_error is null then g.rate_limit end as rate_limit from said""",
+)
+def authenticate_as_of(spark, sf_dir):
+    """Keys are granted, revoked and lost with their users while the log goes on."""
+    asked = inputs._derived(spark, sf_dir, "events", _AS_OF)
+    judged = access.authenticate_as_of(asked, inputs.registry(spark, sf_dir), _changes(spark, sf_dir))
+    return judged.select("request_id", "auth_error", "user_id", "user", "group", "rate_limit")
+
+
 @query("auth_fail_reasons", f"with {_AUTH} select auth_error, count(*) as requests from auth group by auth_error")
 def auth_fail_reasons(spark, sf_dir):
     return _authenticated(spark, sf_dir).groupBy("auth_error").agg(F.count("*").alias("requests"))
@@ -271,6 +308,31 @@ def usage_parse(spark, sf_dir):
     return spend.parse_usage(inputs.responses(spark, sf_dir)).select("request_id", "input_tokens", "output_tokens")
 
 
+# One body per way of writing usage, with the counts that come of it (null: the response is ignored).
+_USAGE_FORMS = """select event_id as request_id, case event_id % 10
+    when 0 then concat('{"usage":{"prompt_tokens":', cast(event_id as string), ',"completion_tokens":7}}')
+    when 1 then concat('{"Usage":{"Prompt_Tokens":', cast(event_id as string), ',"COMPLETION_TOKENS":7}}')
+    when 2 then concat('{"usage":{"prompt_tokens":"', cast(event_id as string), '","completion_tokens":7}}')
+    when 3 then concat('{"usage":{"prompt_tokens":', cast(event_id as string), '.0,"completion_tokens":7}}')
+    when 4 then concat('{"usage":{"prompt_tokens":', cast(event_id as string), ',"completion_tokens":null}}')
+    when 5 then concat('{"usage":{"prompt_tokens":', cast(event_id as string), ',"total_tokens":"x"}}')
+    when 6 then concat('{"usage":{"prompt_tokens":', cast(event_id as string), ',"total_tokens":99999999999999999999}}')
+    when 7 then concat('[{"usage":{"prompt_tokens":', cast(event_id as string), '}}]')
+    when 8 then concat('{"usage":{"completion_tokens":-', cast(event_id as string), ',"PROMPT_tokens":1,"prompt_tokens":2}}')
+    else concat('{"usage":{"prompt_tokens":1e3,"completion_tokens":', cast(event_id as string), '}}') end as body from events"""
+
+
+@query(
+    "usage_parse_forms",
+    """select event_id as request_id, case event_id % 10 when 8 then 2 else event_id end as input_tokens,
+      case event_id % 10 when 4 then 0 when 8 then -event_id else 7 end as output_tokens
+    from events where event_id % 10 in (0, 1, 4, 8) and (event_id <> 0 or event_id % 10 <> 4)""",
+)
+def usage_parse_forms(spark, sf_dir):
+    asked = inputs._derived(spark, sf_dir, "events", _USAGE_FORMS)
+    return spend.parse_usage(asked).select("request_id", "input_tokens", "output_tokens")
+
+
 @query(
     "usage_cost",
     f"with {_USAGE} select request_id, round({_COST.format(i='input_tokens', o='output_tokens')}, 9) as cost_usd from used",

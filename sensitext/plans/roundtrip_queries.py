@@ -34,6 +34,23 @@ def registry_roundtrip(spark, sf_dir):
     return flat.select("user_id", "user", "group", "rate_limit", "position", "token_key", "label", _expires(), "revoked")
 
 
+@query(
+    "registry_replaced",
+    f"""with k as ({_KEYS}) select user_id, user_name as "user", token_key, revoked or substr(user_id, 3)::int % 10 = 3 as revoked from k""",
+)
+def registry_replaced(spark, sf_dir):
+    """Two versions of the registry in one folder and a third whose writer died before it came into force: the second counts."""
+    folder = _folder(spark, "registry")
+    first = inputs.registry(spark, sf_dir)
+    tables.publish_registry(first, folder)
+    gone = F.substring("id", 3, 20).cast("int") % 10 == 3
+    second = first.withColumn("tokens", F.transform("tokens", lambda t: t.withField("revoked", t["revoked"] | gone)))
+    tables.publish_registry(second, folder)
+    tables.write_registry(first.withColumn("name", F.lit("never")), f"{folder}/snapshot-died")
+    flat = registry.flatten_registry(tables.current_registry(spark, folder))
+    return flat.select("user_id", "user", "token_key", "revoked")
+
+
 @query(
     "requests_roundtrip",
     f"""select request_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as at, method, path, source, "authorization", target, body

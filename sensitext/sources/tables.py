@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,6 +87,70 @@ def write_registry(users: DataFrame, snapshot: str) -> None:
     users.write.mode("errorifexists").json(snapshot)
 
 
+def _pointer(spark: SparkSession, folder: str):
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    return jvm, path, path.getFileSystem(conf)
+
+
+def publish_registry(users: DataFrame, folder: str) -> str:
+    """Replaces the registry in ``folder`` by ``users`` and returns the new snapshot's name.
+
+    The whole registry goes to a new snapshot first. Then the file ``CURRENT``, which names the snapshot to read, is
+    replaced by one rename, so a reader sees the old registry or the new one, and a writer that dies before the
+    rename leaves the old one in force. Of two writers the last to rename wins. A rename is atomic on HDFS and local
+    file systems; an object store needs a connector whose rename is.
+    """
+    spark = users.sparkSession
+    jvm, root, files = _pointer(spark, folder)
+    name = f"snapshot-{uuid.uuid4().hex}"
+    write_registry(users, f"{folder}/{name}")
+    made = jvm.org.apache.hadoop.fs.Path(root, f".{name}")
+    out = files.create(made)
+    try:
+        out.write(bytearray(name, "ascii"))
+    finally:
+        out.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration())
+    context.rename(files.makeQualified(made), files.makeQualified(jvm.org.apache.hadoop.fs.Path(root, "CURRENT")), how)
+    return name
+
+
+def current_registry(spark: SparkSession, folder: str) -> DataFrame:
+    """The registry that ``publish_registry`` put in force last; an error if there is none."""
+    name = _current(spark, folder)
+    jvm, root, files = _pointer(spark, folder)
+    if not files.exists(jvm.org.apache.hadoop.fs.Path(root, f"{name}/_SUCCESS")):
+        raise ValueError(f"{folder}: the snapshot {name} that is in force is not there")
+    return read_registry(spark, f"{folder}/{name}", multi_line=False)
+
+
+def _current(spark: SparkSession, folder: str) -> str:
+    jvm, root, files = _pointer(spark, folder)
+    taken = files.open(jvm.org.apache.hadoop.fs.Path(root, "CURRENT"))
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(taken, "US-ASCII")
+    finally:
+        taken.close()
+
+
+def drop_old_snapshots(spark: SparkSession, folder: str, keep: int = 1) -> int:
+    """Deletes snapshots but the one in force and the ``keep`` latest others (readers may still hold those); returns how many.
+
+    Only finished snapshots count, so one that is being written stays."""
+    jvm, root, files = _pointer(spark, folder)
+    current = _current(spark, folder)
+    found = [s for s in files.listStatus(root) if s.getPath().getName().startswith("snapshot-") and s.getPath().getName() != current]
+    done = [s for s in found if files.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    going = sorted(done, key=lambda s: s.getModificationTime(), reverse=True)[keep:]
+    for status in going:
+        files.delete(status.getPath(), True)
+    return len(going)
+
+
 def audit_lines(events: DataFrame) -> DataFrame:
     """Events in the form they are written: empty fields null (left out of JSON), a missing ``ts`` filled in."""
     filled = events.withColumn("ts", F.coalesce("ts", rfc3339(F.current_timestamp())))
