@@ -5,7 +5,8 @@ the longest fitting rule decides. URLs that no rule fits take the decision of th
 links join URLs to components, and a component with an explicitly allowed URL is allowed, else one with an explicitly
 blocked URL is blocked, else the default holds.
 
-URLs meet rules by equal hosts (each URL looks under its host and every parent domain), so any number of rules works;
+URLs meet rules by equal hosts (each URL looks under its host and every parent domain, of at most as many labels as the
+longest rule host has, so very long hosts cost little), so any number of rules works;
 every (host, path) is judged once, and rows get the result by joins that Spark may split at hot hosts.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, fits no rule and has no alias.
@@ -52,7 +53,9 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
 def explicit_verdicts(places: DataFrame, rules: DataFrame) -> DataFrame:
     """For each distinct (host, path) that some rule fits: the longest rule and its verdict."""
     labels = F.split("host", r"\.")
-    parents = F.expr("transform(sequence(1, size(labels)), i -> array_join(slice(labels, i, size(labels)), '.'))")
+    # No rule fits under more labels than the longest rule host has.
+    most = rules.agg(F.max(F.size(F.split("rule_host", r"\.")))).first()[0] or 1
+    parents = F.expr(f"transform(sequence(greatest(1, size(labels) - {most} + 1), size(labels)), i -> array_join(slice(labels, i, size(labels)), '.'))")
     under = (
         places.select("host", "path").filter("host != ''").distinct()
         .withColumn("labels", labels).select("host", "path", F.explode(parents).alias("rule_host"))
