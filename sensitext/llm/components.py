@@ -21,8 +21,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Edges may be given in any direction, repeatedly, or as loops; edges with a null end are ignored.
     """
     kept = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    both = kept.select(F.col(a).alias("x"), F.col(b).alias("y")).union(kept.select(F.col(b), F.col(a))).distinct()
-    both = cut_lineage(both, "edges")
+    # Both directions of an edge come from one row, so the edges are computed once.
+    ways = F.array(*[F.struct(F.col(m).alias("x"), F.col(n).alias("y")) for m, n in ((a, b), (b, a))])
+    both = cut_lineage(kept.select(F.inline(ways)).distinct(), "edges")
     labels = both.select(F.col("x").alias("node"), F.col("x").alias("label")).distinct()
     both = both.filter("x != y")
     turn = 0
