@@ -9,8 +9,8 @@ coordinates give candidates; every link is then confirmed on the full shingle se
 How candidates become components without all pairs of a group:
 
 1. documents with equal sets are one vertex (its smallest doc_id), found by a fingerprint of the set;
-2. every band bucket joins its vertices to its smallest one, a star, and the components of these stars are clusters:
-   whatever shares a bucket is in one cluster;
+2. every band bucket links its vertices to one of them, within Arrow batches first, and the components of these
+   links are clusters: whatever shares a bucket is in one cluster;
 3. a cluster's full sets meet, in blocks of bounded size if there are many, and are linked in the task. Sets that are
    similar enough share one of their rarest elements (prefix filter), so candidates come from an index of those
    alone; what is known to be in one component is not compared again; only the links that join components leave the task.
@@ -176,6 +176,49 @@ def joining_links(ids: np.ndarray, sets: np.ndarray, bounds: np.ndarray, asks: n
     return links
 
 
+def _bucket_stars(vertices: DataFrame) -> DataFrame:
+    """(a, b): from (node, bands), in every band bucket links that join all its vertices.
+
+    Vertices of one Arrow batch that share a bucket are linked there, and only the first goes on under the bucket's
+    key. So the keys are shuffled once, and a bucket with a third of all vertices has one row per batch. The sorted
+    rows of a partition are then read as a stream that remembers one vertex.
+    """
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("bands")
+            key = lists.flatten().to_numpy().astype(np.int64)
+            node = np.repeat(batch.column("node").to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False))
+            order = np.lexsort((node, key))
+            key, node = key[order], node[order]
+            head = np.searchsorted(key, key)
+            first = head == np.arange(len(key))
+            links = np.unique(np.column_stack([node[head], node])[~first], axis=0)
+            # A link needs no partner: it goes anywhere.
+            anywhere = mix(links[:, 0].view(np.uint64) * _GOLD ^ links[:, 1].view(np.uint64)).view(np.int64)
+            columns = (np.concatenate(c) for c in zip((key[first], node[first], node[first]), (anywhere, links[:, 0], links[:, 1])))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "a", "b"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key = last_node = None
+        for batch in batches:
+            key, a, b = (batch.column(c).to_numpy() for c in ("key", "a", "b"))
+            linked = a != b
+            links = [np.column_stack([a[linked], b[linked]])]
+            key, node = key[~linked], a[~linked]
+            if len(key):
+                head = node[np.searchsorted(key, key)]
+                if last_key == key[0]:  # the bucket goes on from the batch before
+                    head[: np.searchsorted(key, key[0], "right")] = last_node
+                last_key, last_node = key[-1], head[-1]
+                links.append(np.column_stack([head, node])[head != node])
+            found = np.unique(np.concatenate(links), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    keyed = vertices.mapInArrow(settle, "key long, a long, b long").repartition("key").sortWithinPartitions("key")
+    return keyed.mapInArrow(join, "a long, b long")
+
+
 def _cluster_links(docs: DataFrame, clusters: DataFrame, sketch: Sketch) -> DataFrame:
     """(a, b): links that join the components of each cluster (node, component)."""
     sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / sketch.block).cast("int").alias("blocks"))
@@ -218,17 +261,12 @@ def near_duplicates(docs: DataFrame, sketch: Sketch = Sketch()) -> DataFrame:
     usable = found.filter("n > 0 and doc_id is not null")
     classes = cut_lineage(usable.groupBy("p1", "p2").agg(F.min("doc_id").alias("node")), "classes")
     vertices = usable.withColumn("node", F.col("doc_id")).join(classes, ["node", "p1", "p2"], "left_semi").select("node", "bands")
-    vertices = cut_lineage(vertices, "vertices")
-
-    members = vertices.select("node", F.explode("bands").alias("key"))
-    led = members.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
-    stars = members.join(led, "key").filter("node > least").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    clusters = cut_lineage(components(stars), "clusters")
+    clusters = cut_lineage(components(_bucket_stars(vertices)), "clusters")
     links = _cluster_links(docs, clusters, sketch)
     # A doc_id with several texts belongs to several classes; its rows are one document.
-    own = usable.select("doc_id", "p1", "p2").join(classes, ["p1", "p2"]).groupBy("doc_id")
-    several = own.agg(F.min("node").alias("a"), F.max("node").alias("b"), F.collect_set("node").alias("nodes")).filter("a != b")
-    same = several.select("a", F.explode("nodes").alias("b"))
+    own = cut_lineage(usable.select("doc_id", "p1", "p2").join(classes, ["p1", "p2"]).select("doc_id", "node"), "own")
+    several = own.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("most")).filter("a < most").drop("most")
+    same = own.join(several, "doc_id").filter("node > a").select("a", F.col("node").alias("b"))
     graph = components(links.union(same))
 
     placed = found.select("doc_id", "n", "p1", "p2").join(classes, ["p1", "p2"], "left").join(graph, "node", "left")

@@ -163,6 +163,37 @@ def test_near_duplicates_in_chains_and_without_ids(spark):
     assert missing["component_id"].isna().all() and missing["kept"].all() and len(got) == len(rows)
 
 
+@pytest.mark.parametrize("rows", [2, 10_000])
+def test_bucket_links_join_what_shares_a_bucket(spark, rows):
+    rng = random.Random(rows)
+    bands = {i: [rng.randrange(2**62), 7 if i % 3 == 0 else rng.randrange(2**62), -rng.randrange(25)] for i in range(60)}
+    bands |= {100: [-(2**63), 1, 2], 101: [2**63 - 1, 1, 3]}
+    whole = {i: {i} for i in bands}
+    for i in bands:
+        for j in bands:
+            if whole[i] is not whole[j] and set(bands[i]) & set(bands[j]):
+                whole[i] |= whole[j]
+                for k in whole[j]:
+                    whole[k] = whole[i]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        links = minhash._bucket_stars(spark.createDataFrame(list(bands.items()), "node long, bands array<long>").repartition(3))
+        assert all(set(bands[r.a]) & set(bands[r.b]) for r in links.collect())
+        got = {r.node: r.component for r in components(links).collect()}
+        assert minhash._bucket_stars(spark.createDataFrame([], "node long, bands array<long>")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {i: got.get(i, i) for i in bands} == {i: min(w) for i, w in whole.items()}
+
+
+def test_texts_of_one_id_are_one_document(spark):
+    texts = [prose(200 + i, 40) for i in range(6)]
+    rows = [(5, texts[0]), (5, texts[1]), (5, texts[2]), (3, texts[2]), (9, texts[1]), (4, texts[3]), (8, texts[4]), (8, texts[5])]
+    got = minhash.near_duplicates(frame(spark, rows)).select("doc_id", "component_id").distinct().collect()
+    assert {tuple(r) for r in got} == {(5, 3), (3, 3), (9, 3), (4, 4), (8, 8)}
+
+
 def test_sketches_agree_as_often_as_sets(spark):
     rng = np.random.default_rng(1)
     every = rng.integers(0, 2**63, 3000).astype(np.uint64)
@@ -424,6 +455,15 @@ def test_urls(spark):
     assert urls.judge_urls(pages, urls.rule_table(spark, []), urls.page_links(pages), "block").filter("verdict = 'block'").count() == len(rows)
 
 
+def test_very_long_hosts_meet_their_rules(spark):
+    long = "a." * 50_000
+    rows = [(1, f"http://{long}example.org/es/x", None), (2, f"http://{long}com", None), (3, "http://" + "." * 50_000, None), (4, f"http://{long}.org/", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rules = urls.rule_table(spark, [("allow", "org/"), ("block", "example.org/es/")])
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge_urls(pages, rules, urls.page_links(pages)).collect()}
+    assert got == {1: ("example.org/es/", "block"), 2: (None, "allow"), 3: (None, "allow"), 4: ("org/", "allow")}
+
+
 # --- WARC
 
 
