@@ -219,11 +219,29 @@ def _bucket_stars(vertices: DataFrame) -> DataFrame:
     return keyed.mapInArrow(join, "a long, b long")
 
 
+#: Bits of the filter of ids, and bits in one of its rows as Spark's bitmap functions cut them: 8 MB in 2,048 rows.
+_FILTER_BITS, _ROW_BITS = 1 << 26, 1 << 15
+
+
+def maybe_among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (doc_id, text) whose doc_id may be among ``ids`` (doc_id): all that are, and few others.
+
+    One hashed bit per id, in a table of at most 8 MB whatever the input, so it is broadcast. It keeps texts that
+    a join would drop out of the join's shuffle; the more of the bits are set, the more rows pass.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(_FILTER_BITS))
+    row, bit = F.floor(place / _ROW_BITS).cast("int").alias("_row"), (place % _ROW_BITS).cast("int").alias("_bit")
+    bitmaps = ids.select(row, bit).repartition("_row").groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = rows.select("doc_id", "text", row, bit).join(F.broadcast(bitmaps), "_row")
+    return marked.filter(F.getbit(byte, F.col("_bit") % 8) == 1).select("doc_id", "text")
+
+
 def _cluster_links(docs: DataFrame, clusters: DataFrame, sketch: Sketch) -> DataFrame:
     """(a, b): links that join the components of each cluster (node, component)."""
     sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / sketch.block).cast("int").alias("blocks"))
     placed = clusters.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", "blocks")
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(placed, "doc_id")
+    texts = maybe_among(docs.select(F.col("doc_id").cast("long"), "text"), clusters.select(F.col("node").alias("doc_id"))).join(placed, "doc_id")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):

@@ -194,6 +194,14 @@ def test_texts_of_one_id_are_one_document(spark):
     assert {tuple(r) for r in got} == {(5, 3), (3, 3), (9, 3), (4, 4), (8, 8)}
 
 
+def test_filter_of_ids_keeps_all_and_few_others(spark):
+    rows = spark.range(-20_000, 20_000).selectExpr("if(id = 7, null, id) as doc_id", "'t' as text")
+    ids = spark.range(-3_000, 60_000, 30).selectExpr("id as doc_id")
+    kept = [r.doc_id for r in minhash.maybe_among(rows, ids).collect()]
+    assert set(range(-3_000, 20_000, 30)) <= set(kept) and len(set(kept)) == len(kept) < 800
+    assert minhash.maybe_among(rows, ids.limit(0)).count() == 0
+
+
 def test_sketches_agree_as_often_as_sets(spark):
     rng = np.random.default_rng(1)
     every = rng.integers(0, 2**63, 3000).astype(np.uint64)
