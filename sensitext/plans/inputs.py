@@ -83,6 +83,10 @@ KEY_FIELDS = """concat('key-user', cast(c_custkey as string), '-', cast(j as str
   case when c_custkey % 9 = 4 then timestamp '2024-01-10 00:00:00' end as expires_at"""
 LIMIT = "cast(case when c_custkey % 4 = 0 then 0 else 1 + c_custkey % 3 end as int)"
 
+# Rows in a task: a scanned customer takes about a millisecond, an event some tens of microseconds.
+CUSTOMER_ROWS = 5_000
+EVENT_ROWS = 50_000
+
 BUDGETS = {"BUILDING": 0.5, "MACHINERY": 1.0, "AUTOMOBILE": 0.0}
 BLOCKING = {"ssn": "BLOCK", "CREDIT_CARD": "block", "email": "weird"}
 
@@ -100,22 +104,38 @@ def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
     return spread(table(spark, sf_dir, name), int(parts) if parts else None, key)
 
 
-def _derived(spark: SparkSession, sf_dir: str, name: str, sql: str, key: str | None = None) -> DataFrame:
+def dealt(spark: SparkSession, sf_dir: str, name: str, key: str, rows: int) -> DataFrame:
+    """A table of narrow rows that texts are made from, in tasks of about ``rows`` rows, one for every core at least.
+
+    A file of a few megabytes is one task or a few, but the texts made of its rows and the scans of those take a
+    hundred times as long as reading it. So the number of tasks goes by the rows, which the footers tell;
+    ``spark.sensitext.textPartitions`` overrides it.
+    """
+    given = table(spark, sf_dir, name)
+    parts = spark.conf.get("spark.sensitext.textPartitions", None)
+    if parts is None:
+        parts = max(spark.sparkContext.defaultParallelism, -(-given.count() // rows))
+    return spread(given, int(parts), key)
+
+
+def _derived(spark: SparkSession, sf_dir: str, name: str, sql: str, key: str | None = None, rows: int | None = None) -> DataFrame:
     # Braces of JSON literals are doubled: {src} alone stands for the given table.
     text = sql.replace("{", "{{").replace("}", "}}").replace(f"from {name}", "from {src}")
+    if rows:
+        return spark.sql(text, src=dealt(spark, sf_dir, name, key, rows))
     return spark.sql(text, src=texts(spark, sf_dir, name, key) if key else table(spark, sf_dir, name))
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _derived(spark, sf_dir, "customer", CUSTOMERS, "c_custkey")
+    return _derived(spark, sf_dir, "customer", CUSTOMERS, "c_custkey", CUSTOMER_ROWS)
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _derived(spark, sf_dir, "events", REQUESTS, "event_id")
+    return _derived(spark, sf_dir, "events", REQUESTS, "event_id", EVENT_ROWS)
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _derived(spark, sf_dir, "events", RESPONSES, "event_id")
+    return _derived(spark, sf_dir, "events", RESPONSES, "event_id", EVENT_ROWS)
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
