@@ -57,7 +57,8 @@ def run_splitter() -> Callable[[pd.DataFrame, list[str]], Iterator[tuple[tuple,
     def runs(batch: pd.DataFrame, names: list[str]) -> Iterator[tuple[tuple, int, int]]:
         keys = batch[names]
         starts = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
+        values = [batch[name].to_numpy() for name in names]
         for at, end in zip(starts, [*starts[1:], len(batch)]):
-            yield tuple(keys.iloc[at]), int(at), int(end)
+            yield tuple(column[at] for column in values), int(at), int(end)
 
     return runs

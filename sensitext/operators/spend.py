@@ -6,10 +6,12 @@ Costs are derived from integer token totals, so a result does not depend on the
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..functions.formats import fixed
 from ..settings import DEFAULTS
 from .base import with_once
@@ -18,10 +20,12 @@ from .ordering import total_before
 COUNTS = ("prompt_tokens", "completion_tokens", "total_tokens")
 
 
-def _member(members: Column, name: str) -> Column:
+def _member(whole: Column, name: str) -> Column:
     """A member of a JSON object: the one of exactly this name, else the first whose name differs only in case."""
+    members = F.try_variant_get(whole, "$", "map<string,variant>")
     alike = F.map_values(F.map_filter(members, lambda key, _: F.lower(key) == name))
-    return F.coalesce(members[name], F.get(alike, F.lit(0)))
+    # The map of all members is only made where no name is exact.
+    return F.coalesce(F.try_variant_get(whole, f"$.{name}", "variant"), F.get(alike, F.lit(0)))
 
 
 def usage_of(body: Column) -> Column:
@@ -30,23 +34,22 @@ def usage_of(body: Column) -> Column:
     Null where the body is not JSON, a count is anything but a whole 64-bit number or null (digits in quotes and
     fractions are not counts), or both counts are zero. Names of members match in any case.
     """
-    members = "map<string,variant>"
-    whole = F.try_variant_get(F.try_parse_json(body), "$", members)
-    usage = F.try_variant_get(_member(whole, "usage"), "$", members)
-    counts = F.transform_values(
-        F.create_map(*[x for name in COUNTS for x in (F.lit(name), _member(usage, name))]),
-        lambda _, found: F.struct(
-            F.schema_of_variant(found).isin("BIGINT", "VOID").alias("sound"), F.try_variant_get(found, "$", "bigint").alias("n")
-        ),
-    )
 
     def judged(found: Column) -> Column:
-        given, taken = (F.coalesce(found[name]["n"], F.lit(0).cast("bigint")) for name in COUNTS[:2])
-        sound = F.forall(F.map_values(found), lambda c: F.coalesce(c["sound"], F.lit(True)))
+        given, taken = (
+            F.coalesce(F.try_variant_get(found[name], "$", "bigint"), F.lit(0).cast("bigint")) for name in COUNTS[:2]
+        )
+        sound = reduce(
+            lambda a, b: a & b,
+            [F.coalesce(F.schema_of_variant(found[name]).isin("BIGINT", "VOID"), F.lit(True)) for name in COUNTS],
+        )
         return F.when(sound & ((given != 0) | (taken != 0)), F.struct(given.alias("input_tokens"), taken.alias("output_tokens")))
 
-    # One evaluation of the counts, whatever reads them.
-    return F.get(F.transform(F.array(counts), judged), F.lit(0))
+    def counts(usage: Column) -> Column:
+        return let(F.struct(*[_member(usage, name).alias(name) for name in COUNTS]), judged)
+
+    # One evaluation of each step, whatever reads it.
+    return let(F.try_parse_json(body), lambda whole: let(_member(whole, "usage"), counts))
 
 
 def parse_usage(responses: DataFrame, body: str = "body") -> DataFrame:

@@ -142,8 +142,8 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derived(spark, sf_dir, "events", ATTEMPTS_SPARK)
 
 
-def usage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Responses with ts, user and group (the market segment of the customer)."""
+def usage_log(spark: SparkSession, sf_dir: str, answers: DataFrame | None = None) -> DataFrame:
+    """Responses, or what was read from them, with ts, user and group (the market segment of the customer)."""
     log = _derived(
         spark, sf_dir, "events",
         "select event_id as request_id, ts, concat('user', cast(user_id as string)) as user from events",
@@ -152,7 +152,8 @@ def usage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, sf_dir, "customer",
         "select concat('user', cast(c_custkey as string)) as user, c_mktsegment as `group` from customer",
     )
-    return responses(spark, sf_dir).join(log, "request_id").join(segments, "user", "left")
+    answers = responses(spark, sf_dir) if answers is None else answers
+    return answers.join(log, "request_id").join(segments, "user", "left")
 
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:

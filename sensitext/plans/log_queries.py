@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formats
 from ..operators import access, attempts, audit, gateway, registry, reuse, spend
+from ..operators.base import with_once
 from ..operators.policy import Policy
 from ..settings import Settings
 from ..sources import catalog as provider_catalog
@@ -300,7 +301,8 @@ _SPEND = f"""{_USAGE}, per_user as (select user_name, cast(sum(input_tokens) as
 
 
 def _usage(spark, sf_dir):
-    return spend.parse_usage(inputs.usage_log(spark, sf_dir))
+    # Bodies are read next to the source; only the counts are shuffled.
+    return inputs.usage_log(spark, sf_dir, spend.parse_usage(inputs.responses(spark, sf_dir)).drop("body"))
 
 
 @query("usage_parse", f"with {_USAGE} select request_id, input_tokens, output_tokens from used")
@@ -432,12 +434,8 @@ _GATE = f"""with {_USAGE}, log as (select e.event_id as request_id, e.ts, concat
 
 
 def _gate(spark, sf_dir, scope):
-    log = inputs.usage_log(spark, sf_dir).withColumns(
-        {
-            "input_tokens": spend.usage_of(F.col("body"))["input_tokens"],
-            "output_tokens": spend.usage_of(F.col("body"))["output_tokens"],
-        }
-    ).drop("body")
+    counted = with_once(inputs.responses(spark, sf_dir), _u=spend.usage_of(F.col("body")))
+    log = inputs.usage_log(spark, sf_dir, counted.select("request_id", "status", "_u.*"))
     gated = spend.budget_gate(log, inputs.BUDGETS, scope=scope)
     return gated.select(
         "request_id", F.round("spent_before", 9).alias("spent_before"), F.col("budget_error").isNotNull().alias("refused")
