@@ -31,10 +31,12 @@ class Rule:
     gate: str | None = None
     any_of: tuple[str, ...] = ()
     gate_start: str | None = None
+    # What every match starts with: tested first, so that most places need no look at both sides.
+    starts: str = ""
 
     @cached_property
     def regex(self) -> str:
-        return to_spark_regex(self.pattern)
+        return (f"(?={self.starts})" if self.starts else "") + to_spark_regex(self.pattern)
 
     def may_match(self, text: Column) -> Column:
         """Necessary condition for a match; the exact pattern itself if the rule has no gate."""
@@ -61,7 +63,7 @@ BUILTIN = (
     Rule("SSN", r"\b\d{3}-\d{2}-\d{4}\b", gate=DIGIT_GROUPS),
     Rule("CREDIT_CARD", r"\b\d{4}[\s-]?\d{4}[\s-]?\d{4}[\s-]?\d{4}\b", gate=DIGIT_GROUPS),
     Rule("EMAIL", r"\b[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}\b", literals=("@",)),
-    Rule("PHONE", r"\b(?:\+1[\s.-]?)?\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}\b", gate=DIGIT_GROUPS),
+    Rule("PHONE", r"\b(?:\+1[\s.-]?)?\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}\b", gate=DIGIT_GROUPS, starts=r"[+(0-9]"),
     Rule("API_KEY", r"\bsk-[a-zA-Z0-9]{20,}\b", literals=("sk-",)),
     Rule("API_KEY", r"\bghp_[a-zA-Z0-9]{36,}\b", literals=("ghp_",)),
     Rule("API_KEY", r"\bgho_[a-zA-Z0-9]{36,}\b", literals=("gho_",)),
@@ -76,7 +78,7 @@ BUILTIN = (
     Rule("PATH", r"""(?:/home/|/Users/)[a-zA-Z0-9._\-]+/[^\s"']+""", any_of=("/home/", "/Users/")),
     Rule("IP_ADDR", r"\b(?:10\.\d{1,3}\.\d{1,3}\.\d{1,3})\b", literals=("10.",)),
     Rule("IP_ADDR", r"\b(?:192\.168\.\d{1,3}\.\d{1,3})\b", literals=("192.168.",)),
-    Rule("IP_ADDR", r"\b(?:172\.(?:1[6-9]|2\d|3[01])\.\d{1,3}\.\d{1,3})\b", literals=("172.",)),
+    Rule("IP_ADDR", r"\b(?:172\.(?:1[6-9]|2\d|3[01])\.\d{1,3}\.\d{1,3})\b", literals=("172.",), starts="1"),
 )
 
 

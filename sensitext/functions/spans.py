@@ -183,7 +183,7 @@ def scan_text(text: Column, rules: Rules = Rules(), overlaps: bool = False) -> C
             return _first_per_span(raw)
         return _without_overlaps(F.transform(raw, _as_match))
 
-    found = let(F.array_sort(_located(text, _candidates(text, active), active)), resolve)
+    found = let(F.sort_array(_located(text, _candidates(text, active), active)), resolve)
     return F.when(candidate, found).otherwise(empty_array(MATCH))
 
 
@@ -252,12 +252,12 @@ def number_matches(matches: Column) -> Column:
                     m["token_type"].alias("token_type"), ordinal.alias("ordinal"),
                 )
 
-            return F.array_sort(F.transform(items, row))
+            return F.sort_array(F.transform(items, row))
 
         return let(F.struct(counted.alias("counted"), type_starts.alias("type_starts")), numbered)
 
     def by_value(ms: Column) -> Column:
-        return F.array_sort(
+        return F.sort_array(
             F.transform(
                 ms,
                 lambda m: F.struct(
@@ -271,7 +271,7 @@ def number_matches(matches: Column) -> Column:
         matches,
         lambda ms: F.when(
             F.size(ms) > 0,
-            let(F.array_sort(let(by_value(ms), mark_first)), number).cast(f"array<{TOKENIZED}>"),
+            let(F.sort_array(let(by_value(ms), mark_first)), number).cast(f"array<{TOKENIZED}>"),
         ).otherwise(empty_array(TOKENIZED)),
     )
 
