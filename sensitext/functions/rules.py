@@ -88,6 +88,11 @@ class Rules:
 
     rules: tuple[Rule, ...] = BUILTIN
     disabled: frozenset[str] = frozenset()
+    # Texts in which most rules match are scanned in Arrow batches (``batches.py``); results are the same.
+    batched: bool = False
+
+    def in_batches(self) -> Rules:
+        return replace(self, batched=True)
 
     def add(self, type: str, pattern: str, spark: SparkSession | None = None) -> Rules:
         """Appends a rule; its name becomes the type as written. A bad pattern is a ValueError here."""

@@ -1,7 +1,7 @@
 """Column expressions for matches inside one text: find, resolve overlaps, number, replace, restore.
 
 A match is ``struct<start:int,end:int,type:string,value:string>`` with half-open character offsets.
-Everything here is a row-local expression: no shuffle, no Python worker. Scan, numbering and replacement go
+Everything here is a row-local expression: no shuffle, and no Python worker unless the rules say ``in_batches``. Scan, numbering and replacement go
 into a DataFrame one after the other (``operators/base.py: with_tokens``): nested into one expression they
 would need more passes of the analyzer than it makes.
 """
@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .arrays import empty_array, let, remembered, running_max, running_sum
+from .batches import readable, resolved_tokens_batches, scan_batches, tokens_batches
 from .rules import Rule, Rules
 
 MATCH = "struct<start:int,end:int,type:string,value:string>"
@@ -187,10 +188,20 @@ def scan_text(text: Column, rules: Rules = Rules(), overlaps: bool = False) -> C
     return F.when(candidate, found).otherwise(empty_array(MATCH))
 
 
+def in_batches(rules: Rules) -> bool:
+    return rules.batched and readable(rules)
+
+
 @remembered
 def scan_column(text: str, rules: Rules, overlaps: bool = False) -> Column:
-    """``scan_text`` of a column given by name."""
-    return scan_text(F.col(text), rules, overlaps)
+    """``scan_text`` of a column given by name, in batches if the rules say so."""
+    return (scan_batches if in_batches(rules) else scan_text)(F.col(text), rules, overlaps)
+
+
+@remembered
+def tokens_column(text: str, rules: Rules, distinct: bool = False) -> Column:
+    """The numbered matches of a text given by name, by rules in batches; ``distinct`` leaves each value once."""
+    return tokens_batches(F.col(text), rules, distinct)
 
 
 @remembered
@@ -199,6 +210,12 @@ def numbered_column(matches: str) -> Column:
     return number_matches(F.col(matches))
 
 
+@remembered
+def resolved_tokens_column(matches: str) -> Column:
+    """``number_matches`` of ``resolve_overlaps`` of a column given by name, in batches."""
+    return resolved_tokens_batches(F.col(matches))
+
+
 def match_types(matches: Column) -> Column:
     """Distinct types in order of first appearance."""
     return F.array_distinct(F.transform(matches, lambda m: m["type"]))
@@ -327,11 +344,10 @@ def redact_text(text: Column, tokenized: Column) -> Column:
     return replace_spans(text, tokenized, "token")
 
 
-def token_entries(tokenized: Column) -> Column:
-    """Distinct (token, value) pairs, as entries for a map."""
-    return F.array_distinct(
-        F.transform(tokenized, lambda m: F.struct(m["token"].alias("key"), m["value"].alias("value")))
-    )
+def token_mapping(tokenized: Column) -> Column:
+    """Map from token to value. Within a text each value has one token and each token one value, so both lists of
+    distinct ones follow first appearance; lists of strings are hashed, lists of structs compared pair by pair."""
+    return F.map_from_arrays(F.array_distinct(tokenized["token"]), F.array_distinct(tokenized["value"]))
 
 
 def placeholders_in(text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rules import Rules
-from ..functions.spans import numbered_column, scan_column
+from ..functions.spans import in_batches, numbered_column, scan_column, tokens_column
 
 
 def with_once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -27,6 +27,8 @@ def with_once(df: DataFrame, **columns: Column) -> DataFrame:
 
 def with_tokens(df: DataFrame, text: str, rules: Rules, out: str) -> DataFrame:
     """Adds the matches of a text, each with its placeholder in the scope of the row."""
+    if in_batches(rules):
+        return with_once(df, **{out: tokens_column(text, rules)})
     scanned = df.withColumn("_scanned", scan_column(text, rules))
     return with_once(scanned, **{out: numbered_column("_scanned")}).drop("_scanned")
 

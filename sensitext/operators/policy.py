@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import let
 from ..functions.rules import Rules
-from ..functions.spans import numbered_column, redaction, resolve_overlaps, scan_column
+from ..functions.spans import in_batches, numbered_column, redaction, resolve_overlaps, resolved_tokens_column, scan_column
 from .base import literal_rows, with_once, with_tokens
 
 REDACT, BLOCK = "redact", "block"
@@ -97,8 +97,11 @@ def classify(
     """
     if before_overlap:
         seen = with_once(df, _all=scan_column(text, rules, True))
-        kept = seen.withColumn("_kept", resolve_overlaps(F.col("_all")))
-        numbered = with_once(kept, _t=numbered_column("_kept")).drop("_kept")
+        if in_batches(rules):
+            numbered = with_once(seen, _t=resolved_tokens_column("_all"))
+        else:
+            kept = seen.withColumn("_kept", resolve_overlaps(F.col("_all")))
+            numbered = with_once(kept, _t=numbered_column("_kept")).drop("_kept")
     else:
         numbered = with_tokens(df, text, rules, "_t")
     judged = F.col("_all" if before_overlap else "_t")

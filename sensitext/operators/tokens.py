@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 from ..functions.rules import Rules
 from ..functions.spans import (
     has_placeholder,
+    in_batches,
     match_types,
     placeholder,
     placeholders_in,
     redaction,
     replace_spans,
     restore_text,
-    token_entries,
+    token_mapping,
+    tokens_column,
 )
 from ..settings import cut_lineage
 from .base import explode_rows, with_once, with_tokens
@@ -42,7 +44,7 @@ def redact(
     scanned = with_tokens(df, text, rules, "_t")
     columns = dict(redaction(text, "_t"))
     if with_map:
-        columns["tokens"] = F.map_from_entries(token_entries(F.col("_t")))
+        columns["tokens"] = token_mapping(F.col("_t"))
     return scanned.withColumns(columns).drop("_t")
 
 
@@ -53,7 +55,11 @@ def restore(df: DataFrame, text: str = "redacted", tokens: str = "tokens", out:
 
 def token_map(df: DataFrame, keys: list[str], text: str = "text", rules: Rules = Rules()) -> DataFrame:
     """One row per distinct value of each row: the keys, token, type, ordinal, value (raw!)."""
-    numbered = with_tokens(df.select(*dict.fromkeys([*keys, text])), text, rules, "_n")
+    texts = df.select(*dict.fromkeys([*keys, text]))
+    if in_batches(rules):
+        rows = explode_rows(with_once(texts, _n=tokens_column(text, rules, True)), keys, "_n", "token")
+        return rows.select(*keys, "token", F.col("token_type").alias("type"), "ordinal", "value")
+    numbered = with_tokens(texts, text, rules, "_n")
     distinct = F.array_distinct(
         F.transform(
             "_n",

@@ -131,4 +131,4 @@ _OPTIONAL = Rules(rules=(*BUILTIN, Rule("ORDER_ID", r"\b(?:555-)?\d{4}\b")))
 def custom_rule_optional_prefix(spark, sf_dir):
     """A word boundary before a group that may be missing."""
     rules = Rules().add("ORDER_ID", r"\b(?:555-)?\d{4}\b", spark)
-    return detect.findings(inputs.customers(spark, sf_dir), ["c_custkey"], rules=rules)
+    return detect.findings(inputs.customers(spark, sf_dir), ["c_custkey"], rules=rules.in_batches())

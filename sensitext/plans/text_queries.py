@@ -13,6 +13,8 @@ from .registered import query
 DOCS = "select doc_id, text, lang, source from documents"
 PAGES = "select page_id, html as text from pages"
 SPANS = 'start, stop as "end", type, value'
+# A customer's text has a value for nearly every rule.
+DENSE = Rules().in_batches()
 
 # A short name for each built-in rule, in rule order.
 RULE_NAMES = (
@@ -28,7 +30,7 @@ def _rule_query(name: str, rules: Rules) -> None:
         f"with {sql.found(inputs.CUSTOMERS, 'c_custkey', rules)} select c_custkey, {SPANS} from found",
     )
     def run(spark, sf_dir):
-        return detect.findings(customers(spark, sf_dir), ["c_custkey"], rules=rules)
+        return detect.findings(customers(spark, sf_dir), ["c_custkey"], rules=rules.in_batches())
 
 
 for _name, _rule in zip(RULE_NAMES, BUILTIN):
@@ -37,7 +39,7 @@ for _name, _rule in zip(RULE_NAMES, BUILTIN):
 
 @query("pii_findings_customers", f"with {sql.found(inputs.CUSTOMERS, 'c_custkey')} select c_custkey, {SPANS} from found")
 def pii_findings_customers(spark, sf_dir):
-    return detect.findings(customers(spark, sf_dir), ["c_custkey"])
+    return detect.findings(customers(spark, sf_dir), ["c_custkey"], rules=DENSE)
 
 
 @query("pii_findings_documents", f"with {sql.found(DOCS, 'doc_id')} select doc_id, {SPANS} from found")
@@ -56,7 +58,7 @@ def pii_findings_pages(spark, sf_dir):
     select c_custkey, start, stop as "end", arg_min(type, ord) as type, value from raw group by c_custkey, start, stop, value""",
 )
 def pii_findings_before_overlap_removal(spark, sf_dir):
-    scanned = detect.scan(customers(spark, sf_dir), overlaps=True)
+    scanned = detect.scan(customers(spark, sf_dir), rules=DENSE, overlaps=True)
     return scanned.select("c_custkey", F.explode("matches").alias("m")).select("c_custkey", "m.*")
 
 
@@ -161,8 +163,8 @@ def _redact_sql(source: str, key: str) -> str:
     return f"with {sql.found(source, key)}, {sql.tokens(key, key)}, {sql.redacted(key)} select {key}, redacted, items, types from red"
 
 
-def _redact(df, key, text="text"):
-    return tokens.redact(df.select(key, text), text).select(
+def _redact(df, key, text="text", rules=Rules()):
+    return tokens.redact(df.select(key, text), text, rules).select(
         key, "redacted", "items", F.array_join("types", ",").alias("types")
     )
 
@@ -174,7 +176,7 @@ def redact_documents(spark, sf_dir):
 
 @query("redact_customers", _redact_sql(inputs.CUSTOMERS, "c_custkey"))
 def redact_customers(spark, sf_dir):
-    return _redact(customers(spark, sf_dir), "c_custkey")
+    return _redact(customers(spark, sf_dir), "c_custkey", rules=DENSE)
 
 
 @query("redact_pages", _redact_sql(PAGES, "page_id"))
@@ -193,7 +195,7 @@ def token_map_documents(spark, sf_dir):
 
 @query("token_map_customers", _map_sql(inputs.CUSTOMERS, "c_custkey"))
 def token_map_customers(spark, sf_dir):
-    return tokens.token_map(customers(spark, sf_dir), ["c_custkey"])
+    return tokens.token_map(customers(spark, sf_dir), ["c_custkey"], rules=DENSE)
 
 
 @query(
@@ -202,7 +204,7 @@ def token_map_customers(spark, sf_dir):
     select c_custkey, type, count(*) as unique_values from tokens group by c_custkey, type""",
 )
 def token_stats_customers(spark, sf_dir):
-    return tokens.token_stats(tokens.token_map(customers(spark, sf_dir), ["c_custkey"]), ["c_custkey"])
+    return tokens.token_stats(tokens.token_map(customers(spark, sf_dir), ["c_custkey"], rules=DENSE), ["c_custkey"])
 
 
 @query("restore_roundtrip_documents", "select doc_id, text as restored, false as ambiguous from documents")
@@ -225,7 +227,7 @@ _REPLY = "concat('Re [EMAIL_1], [EMAIL_2] and [EMAIL_1]: [SSN_1] [PHONE_9] [', c
     from reply r join e1 on e1.c_custkey = r.c_custkey join e2 on e2.c_custkey = r.c_custkey join s1 on s1.c_custkey = r.c_custkey""",
 )
 def restore_replies(spark, sf_dir):
-    redacted = tokens.redact(customers(spark, sf_dir), with_map=True).withColumn("reply", F.expr(_REPLY))
+    redacted = tokens.redact(customers(spark, sf_dir), rules=DENSE, with_map=True).withColumn("reply", F.expr(_REPLY))
     return tokens.restore(redacted, "reply").select("c_custkey", "restored")
 
 
@@ -317,7 +319,7 @@ def policy_clean_docs(spark, sf_dir):
 )
 def policy_before_overlap_removal(spark, sf_dir):
     strict = policy.Policy({"password": "block", "email": "block", "secret": "block"})
-    rows = policy.classify(customers(spark, sf_dir), strict, before_overlap=True)
+    rows = policy.classify(customers(spark, sf_dir), strict, rules=DENSE, before_overlap=True)
     return rows.filter("blocked").select("c_custkey", F.array_join("blocked_types", ", ").alias("blocked_types"))
 
 
