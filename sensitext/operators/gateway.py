@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import empty_array
 from ..functions.rules import Rules
-from ..functions.spans import match_types, placeholders_in
+from ..functions.spans import ANY_PLACEHOLDER, match_types
 from ..settings import DEFAULTS, Settings, cut_lineage
 from .access import authenticate, rate_limit
 from .base import with_once, with_tokens
@@ -42,7 +42,8 @@ def request_facts(requests: DataFrame, policy: Policy, rules: Rules, key_columns
 
 def response_facts(responses: DataFrame) -> DataFrame:
     body = F.col("body")
-    tokens = F.transform(placeholders_in(body), lambda p: p["value"])
+    # Values alone, without places: one run of the pattern, and none over a text without brackets.
+    tokens = F.when(body.contains("["), F.regexp_extract_all(body, F.lit(ANY_PLACEHOLDER), F.lit(0))).otherwise(empty_array("string"))
     rows = with_once(responses.select("request_id", "status", "body"), _u=usage_of(body), placeholders=tokens)
     return rows.select(
         "request_id", "status", F.octet_length(body).alias("response_bytes"), "placeholders",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import formats
+from ..functions.rules import Rules
 from ..operators import access, attempts, audit, gateway, registry, reuse, spend
 from ..operators.base import with_once
 from ..operators.policy import Policy
@@ -624,7 +625,7 @@ decided as (select b.*, a.status, s.st[2] as src_id, case when b.auth_error is n
 def _decisions(spark, sf_dir):
     return gateway.gateway_decisions(
         inputs.requests(spark, sf_dir), inputs.responses(spark, sf_dir), inputs.registry(spark, sf_dir),
-        policy=_POLICY, settings=_SETTINGS,
+        policy=_POLICY, rules=Rules().in_batches(), settings=_SETTINGS,
     )
 
 

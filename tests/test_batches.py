@@ -64,3 +64,19 @@ def test_customers_are_scanned_in_batches_once(spark, name):
     """A customer's text matches most rules: neither the Java patterns nor a second scan is in the plan."""
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "ghp_(?<!" not in plan and plan.count("make_valid_utf8") + plan.count("makeValid") == 1
+
+
+def test_gateway_reads_bodies_in_batches_and_placeholders_by_value(spark, monkeypatch):
+    from sensitext.operators import gateway
+    from sensitext.plans import log_queries
+
+    given = {}
+    bodies = ["[EMAIL_1] and [EMAIL_1], [x] [[SSN_2] []_3]", "none", "", None]
+    rows = spark.createDataFrame([(i, 200, b) for i, b in enumerate(bodies)], "request_id long, status int, body string")
+    facts = gateway.response_facts(rows)
+    assert {r.request_id: r.placeholders for r in facts.collect()} == {0: ["[EMAIL_1]", "[EMAIL_1]", "[SSN_2]"], 1: [], 2: [], 3: []}
+    # Values are all that is asked for: one run of the pattern finds them.
+    assert facts._jdf.queryExecution().optimizedPlan().toString().count("_[0-9]+") == 1
+    monkeypatch.setattr(gateway, "gateway_decisions", lambda *_, **named: given.update(named))
+    log_queries._decisions(spark, SF)
+    assert given["rules"].batched
