@@ -9,7 +9,6 @@ The functions are made inside others, so that they travel to the workers by valu
 from __future__ import annotations
 
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -153,29 +152,30 @@ def _numberer(distinct: bool):
 
     def numbered(lists):
         sizes, fields = unpacked(lists)
-        tokens, kinds, ordinals, firsts, held = [], [], [], [], []
-        pairs = enumerate(zip(fields["type"].to_pylist(), fields["value"].to_pylist()))
-        for size in sizes.tolist():
-            known, counts = {}, {}
-            for at, (kind, value) in islice(pairs, size):
-                if value not in known:
-                    counts[kind] = counts.get(kind, 0) + 1
-                    known[value] = (f"[{kind}_{counts[kind]}]", kind, counts[kind])
-                    firsts.append(at)
-                elif distinct:
-                    continue
-                token, kind, ordinal = known[value]
-                tokens.append(token)
-                kinds.append(kind)
-                ordinals.append(ordinal)
-            held.append(len(known))
-        if distinct:
-            sizes = np.array(held, dtype=np.int64)
-            fields = {name: field.take(pa.array(firsts, pa.int64())) for name, field in fields.items()}
-        return listed(
-            sizes, **fields, token=pa.array(tokens, pa.string()), token_type=pa.array(kinds, pa.string()),
-            ordinal=pa.array(ordinals, pa.int32()),
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        kind, value = (fields[name].dictionary_encode() for name in ("type", "value"))
+        coded, names = kind.indices.to_numpy().astype(np.int64), kind.dictionary
+        # The first place of each value of a row, in order of place, and for each match which of them is its value's.
+        _, first, which = np.unique(
+            row * max(len(value.dictionary), 1) + value.indices.to_numpy(), return_index=True, return_inverse=True
         )
+        order = np.argsort(first)
+        first, which = first[order], np.argsort(order)[which]
+        # Counted within the row and the type: the sort is stable, so a group keeps the order of places.
+        group = row[first] * max(len(names), 1) + coded[first]
+        by_group = np.argsort(group, kind="stable")
+        opens = np.concatenate([[True], np.diff(group[by_group]) != 0])[: len(group)]
+        ordinal = np.empty(len(group), np.int32)
+        ordinal[by_group] = np.arange(len(group)) - np.flatnonzero(opens)[np.cumsum(opens) - 1] + 1
+        kinds, ordinals = names.take(pa.array(coded[first])), pa.array(ordinal)
+        parts = [kinds, pa.scalar("_"), ordinals.cast(pa.string())]
+        tokens = pc.binary_join_element_wise(pa.scalar("["), *parts, pa.scalar("]"), "")
+        if distinct:
+            sizes = np.bincount(row[first], minlength=len(sizes))
+            fields = {name: field.take(pa.array(first)) for name, field in fields.items()}
+        else:
+            tokens, kinds, ordinals = (made.take(pa.array(which)) for made in (tokens, kinds, ordinals))
+        return listed(sizes, **fields, token=tokens, token_type=kinds, ordinal=ordinals)
 
     return numbered
 

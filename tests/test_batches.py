@@ -80,3 +80,34 @@ def test_gateway_reads_bodies_in_batches_and_placeholders_by_value(spark, monkey
     monkeypatch.setattr(gateway, "gateway_decisions", lambda *_, **named: given.update(named))
     log_queries._decisions(spark, SF)
     assert given["rules"].batched
+
+
+def test_numbers_are_counted_in_arrays():
+    """Values, types and rows that share names; and work that does not go match by match through the interpreter."""
+    import sys
+
+    import pyarrow as pa
+
+    from sensitext.functions import batches
+
+    def lists(*rows):
+        made = [None if row is None else [{"start": i, "end": i + 1, "type": t, "value": v} for i, (t, v) in enumerate(row)] for row in rows]
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("type", pa.string()), ("value", pa.string())]))
+        return pa.array(made, kind)
+
+    given = lists([("A", "x"), ("B", "y"), ("A", "z"), ("B", "x"), ("A", "x")], None, [], [("B", "x"), ("A", "y"), ("B", "z")])
+    tokens = [[m["token"] for m in row] for row in batches._numberer(False)(given).to_pylist()]
+    assert tokens == [["[A_1]", "[B_1]", "[A_2]", "[A_1]", "[A_1]"], [], [], ["[B_1]", "[A_1]", "[B_2]"]]
+    once = [[(m["start"], m["token"], m["token_type"], m["ordinal"]) for m in row] for row in batches._numberer(True)(given).to_pylist()]
+    assert once == [[(0, "[A_1]", "A", 1), (1, "[B_1]", "B", 1), (2, "[A_2]", "A", 2)], [], [], [(0, "[B_1]", "B", 1), (1, "[A_1]", "A", 1), (2, "[B_2]", "B", 2)]]
+    many, calls = lists(*[[("A", str(i)) for i in range(9)]] * 2000), 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += 1
+
+    numbered = batches._numberer(True)
+    sys.setprofile(count)
+    numbered(many)
+    sys.setprofile(None)
+    assert calls < 5000
