@@ -111,3 +111,8 @@ def test_numbers_are_counted_in_arrays():
     numbered(many)
     sys.setprofile(None)
     assert calls < 5000
+
+
+def test_verdicts_alone_have_nothing_numbered(spark):
+    plan = QUERIES["policy_before_overlap_removal"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "scanned_in_batches" in plan and "resolved_in_batches" not in plan
