@@ -83,9 +83,10 @@ KEY_FIELDS = """concat('key-user', cast(c_custkey as string), '-', cast(j as str
   case when c_custkey % 9 = 4 then timestamp '2024-01-10 00:00:00' end as expires_at"""
 LIMIT = "cast(case when c_custkey % 4 = 0 then 0 else 1 + c_custkey % 3 end as int)"
 
-# Rows in a task: a scanned customer takes about a millisecond, an event some tens of microseconds.
+# Rows in a task: a scanned customer takes about a millisecond, an event or a user with keys some tens of microseconds.
 CUSTOMER_ROWS = 5_000
 EVENT_ROWS = 50_000
+USER_ROWS = 50_000
 
 BUDGETS = {"BUILDING": 0.5, "MACHINERY": 1.0, "AUTOMOBILE": 0.0}
 BLOCKING = {"ssn": "BLOCK", "CREDIT_CARD": "block", "email": "weird"}
@@ -163,6 +164,7 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"""select concat('id', cast(c_custkey as string)) as id, concat('user', cast(c_custkey as string)) as name,
             c_mktsegment as `group`, {LIMIT} as rate_limit, {KEY_FIELDS}, j
             from (select *, explode(sequence(0, 1)) as j from customer)""",
+        "c_custkey", USER_ROWS,
     )
     token = F.struct(
         F.col("token_key").alias("key"), F.lit("api-key").alias("label"),

@@ -30,6 +30,14 @@ def test_customers_are_dealt_by_rows(spark, folder, monkeypatch):
     assert detect.findings(many, ["c_custkey"]).rdd.getNumPartitions() == 24
 
 
+def test_registries_are_dealt_by_users(spark, folder, monkeypatch):
+    monkeypatch.setattr(inputs, "USER_ROWS", 500)
+    users = inputs.registry(spark, folder)
+    plan = users._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [c_custkey" in plan and "], 24" in plan
+    assert users.count() == 12000 and users.filter("size(tokens) <> 2").count() == 0
+
+
 def test_usage_is_read_once_and_by_its_own_name(spark):
     """The map of all members is for names that differ in case; the budget reads each body once."""
     from sensitext.operators import spend
