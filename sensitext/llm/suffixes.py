@@ -207,12 +207,12 @@ def _meet(rows: DataFrame, p: Passages) -> DataFrame:
             done = [form[settled], doc[settled], ~place[settled]]
             order = open_[np.lexsort((place[open_], doc[open_], form[open_], gram[open_]))]
             gram, form, doc, place = gram[order], form[order], doc[order], place[order]
-            new_gram = np.append(True, gram[1:] != gram[:-1])
-            new = new_gram | np.append(True, form[1:] != form[:-1])
+            new_gram = np.append(True, gram[1:] != gram[:-1])[: len(gram)]  # a table may hold settled rows only
+            new = new_gram | np.append(True, form[1:] != form[:-1])[: len(gram)]
             first, later = _after_first(np.arange(len(gram)), new, doc, place >> 32)
             group = np.cumsum(new_gram) - 1
             several = (np.bincount(group, weights=new) > 1)[group]
-            tied = np.append(False, (place[1:] == place[:-1]) & ~new[1:] & (doc[1:] == doc[:-1]))
+            tied = np.append(False, (place[1:] == place[:-1]) & ~new[1:] & (doc[1:] == doc[:-1]))[: len(gram)]
             ends = first & several & ~tied
             hot = (np.bincount(group, weights=ends * ((form & low) + p.length)) > p.block)[group]
             out = np.nonzero(later | ends)[0]

@@ -293,6 +293,20 @@ def test_a_passage_of_very_many_documents_gets_no_suffix_array(spark, monkeypatc
     assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.iterrows()} == repeated_bytes(made, 100)
 
 
+def test_tasks_that_meet_settled_rows_only(spark):
+    made = [(i, prose(96, 40)) for i in range(4)] + [(9, prose(95, 40))]
+    held = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = suffixes.remove_repeated(frame(spark, made).coalesce(1)).toPandas().set_index("doc_id")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.iterrows()} == repeated_bytes(made, 100)
+
+
 def test_interval_expansion():
     rng = random.Random(3)
     for length in (1, 3, 8, 20):
