@@ -66,15 +66,25 @@ def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
     """Writes ``df`` once to the scratch folder and reads it back: frozen rows with known sizes.
 
     Later steps that read it several times neither repeat the work before it nor depend on executors
-    that may be gone. The table stays until ``clean_scratch`` or the end of a ``scratch`` block.
+    that may be gone. The table stays until ``clean_scratch`` or the end of a ``scratch`` block; the shuffle
+    files behind it go at once, for else they stay until the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Of Spark 4.1 on: a statement deletes its own shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 _WRITTEN: dict[str, list[str]] = {}
 
 

@@ -1,6 +1,7 @@
 """Faults that once gave wrong answers on inputs the registered tables do not hold."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +50,22 @@ def test_rows_with_one_key_keep_their_own_texts(spark):
         assert sorted(r.restored for r in back) == sorted(t for _, _, t in rows)
 
 
+def test_no_shuffle_files_stay_behind_a_frozen_step(spark):
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for name in (files.apply(i).getName() for i in range(files.size())) if name.startswith("shuffle_")}
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = shuffles(), spark.conf.get(setting)
+    frozen = cut_lineage(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(100):  # they go in the background
+        left = shuffles() - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and frozen.count() == 7 and spark.conf.get(setting) == was
+
+
 def test_nothing_is_left_in_scratch(spark):
     folder = spark._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
     files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
